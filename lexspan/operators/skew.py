@@ -36,29 +36,46 @@ def attach_group_size(df: DataFrame, keys: Sequence[str], size: str, hot_rows: i
 
 def attach_by_key(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str,
                   values: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left-join per-key values from a table with one row and a row count per key."""
-    hot = groups.where(F.col(size) >= hot_rows).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys], *[F.col(v).alias(f"__hot_value_{v}") for v in values],
-        F.lit(True).alias("__hot"))
-    cold = groups.where(F.col(size) < hot_rows).select(
-        *[F.col(k).alias(f"__cold_{k}") for k in keys], *[F.col(v).alias(f"__cold_value_{v}") for v in values],
-        F.lit(0).alias("__cold_spread"))
+    """Left-join per-key values from a table with one row per key that counts the rows of
+    ``df`` with that key."""
+    return _attach(df, groups.where(F.col(size) >= hot_rows), groups.where(F.col(size) < hot_rows), keys, values)
+
+
+def lookup(df: DataFrame, dim: DataFrame, keys: dict[str, str], values: Sequence[str],
+           hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left-join values of a table with unique keys onto rows whose keys may be skewed.
+
+    ``keys`` maps columns of ``df`` to columns of ``dim``. Keys that own at least
+    ``hot_rows`` rows of ``df`` are joined by broadcast, also when ``dim`` lacks them.
+    """
+    named = dim.select(*[F.col(d).alias(k) for k, d in keys.items()], *values)
+    names = list(keys)
+    hot_keys = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows).select(*names)
+    for name in names:
+        hot_keys = hot_keys.where(F.col(name).isNotNull())
+    hot = hot_keys.join(named.join(F.broadcast(hot_keys), names, "left_semi"), names, "left")
+    return _attach(df, hot, named, names, values)
+
+
+def _attach(df: DataFrame, hot: DataFrame, cold: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys],
+                     *[F.col(v).alias(f"__hot_value_{v}") for v in values], F.lit(True).alias("__hot"))
+    cold = cold.select(*[F.col(k).alias(f"__cold_{k}") for k in keys],
+                       *[F.col(v).alias(f"__cold_value_{v}") for v in values], F.lit(0).cast("long").alias("__cold_spread"))
     marked = df.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns if not _is_nested(df, c)])
-    # Rows that cannot match a cold key are spread; the literal 0 never equals their hash
-    # because the hash is forced odd.
-    marked = marked.withColumn("__spread", F.when(F.col("__hot") | no_key, row_hash.bitwiseOR(1)).otherwise(F.lit(0)))
+    # Rows without a cold key get an odd hash as an extra join key: it spreads them over
+    # the tasks and never equals the 0 of the cold side.
+    apart = F.coalesce(F.col("__hot"), F.lit(False)) | no_key
+    marked = marked.withColumn("__spread", F.when(
+        apart, F.xxhash64(*[F.col(c) for c in df.columns]).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
     joined = marked.join(cold, [F.col(k) == F.col(f"__cold_{k}") for k in keys]
-                         + [F.col("__spread") == F.col("__cold_spread").cast("long")], "left")
+                         + [F.col("__spread") == F.col("__cold_spread")], "left")
     return joined.select(*[F.col(c) for c in df.columns],
-                         *[F.coalesce(F.col(f"__hot_value_{v}"), F.col(f"__cold_value_{v}")).alias(v) for v in values])
-
-
-def _is_nested(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("map", "variant")
+                         *[F.when(F.col("__hot"), F.col(f"__hot_value_{v}")).otherwise(F.col(f"__cold_value_{v}")).alias(v)
+                           for v in values])
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
