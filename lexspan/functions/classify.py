@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lexspan.functions.columns import as_col, equals, first_reason, is_true, lit_array
+from lexspan.functions.columns import as_col, equals, first_reason, is_true, let, lit_array
 from lexspan.functions.text import casefold, collapse_whitespace, contains_any, decode_entities, is_blank, norm
 
 # The words below have to be exactly these for equal results.
@@ -36,20 +36,18 @@ WORKSHEET_TERMS = r"(?iu)thử việc|hợp đồng lao động|thời giờ là
 
 
 def scope_reason(scope) -> Column:
-    value = norm(scope)
-    return first_reason(
+    return let(norm(scope), lambda value: first_reason(
         (value == "trung ương", "central_exact"),
         (value.rlike("(?U)" + LOCAL_SCOPE_PREFIXES) | value.isin(*NAMED_LOCAL_SCOPES), "exclude_local_scope"),
-        (value == "", "quarantine_missing_scope"), default="quarantine_unrecognized_scope")
+        (value == "", "quarantine_missing_scope"), default="quarantine_unrecognized_scope"))
 
 
 def issuer_signal(issuer) -> Column:
     """Local words win over unknown, unknown over central: the order is part of the rule."""
-    value = norm(decode_entities(F.coalesce(as_col(issuer), F.lit(""))))
-    return first_reason(
+    return let(norm(decode_entities(F.coalesce(as_col(issuer), F.lit("")))), lambda value: first_reason(
         (value.rlike("(?U)" + LOCAL_ISSUER_WORDS), "local_issuer_signal"),
         ((value == "") | F.contains(value, F.lit(UNKNOWN_ISSUER)), "missing_or_unknown_issuer"),
-        (value.rlike("(?U)" + CENTRAL_ISSUER_WORDS), "central_issuer_signal"), default="unrecognized_issuer")
+        (value.rlike("(?U)" + CENTRAL_ISSUER_WORDS), "central_issuer_signal"), default="unrecognized_issuer"))
 
 
 def expiry_state(expiry) -> Column:

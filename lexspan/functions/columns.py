@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -15,6 +15,12 @@ def lit_array(values: Iterable) -> Column:
     return F.array(*[F.lit(value) for value in values])
 
 
+def let(value, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names
+    it. Keeps plans small where nested CASE expressions would copy their input."""
+    return F.get(F.transform(F.array(as_col(value)), body), F.lit(0))
+
+
 def flag(condition: Column, name) -> Column:
     """The flag's name where the condition holds, else NULL (also where it is NULL)."""
     return F.when(condition, F.lit(name) if isinstance(name, str) else name)

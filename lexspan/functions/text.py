@@ -15,7 +15,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from lexspan.functions.columns import as_col, lit_array
+from lexspan.functions.columns import as_col, let, lit_array
 
 # Characters str.split() and str.isspace() treat as white space; the same
 # class is legal in Java regular expressions and in RE2.
@@ -52,10 +52,9 @@ def is_ascii(text) -> Column:
 def collapse_whitespace(text) -> Column:
     """``" ".join(text.split())``. Java's ASCII ``\\s`` is enough unless the text has an
     information separator or a character of the blocks that hold the other spaces."""
-    col = as_col(text)
-    unusual = col.rlike(r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{3000}]")
-    return F.trim(F.when(unusual, F.regexp_replace(col, WHITESPACE + "+", " "))
-                  .otherwise(F.regexp_replace(col, r"\s+", " ")))
+    return F.trim(let(text, lambda col: F.when(
+        col.rlike(r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{3000}]"), F.regexp_replace(col, WHITESPACE + "+", " "))
+        .otherwise(F.regexp_replace(col, r"\s+", " "))))
 
 
 def strip_whitespace(text) -> Column:
@@ -92,31 +91,35 @@ def _ranges(chars, gap: int = 64) -> list[tuple[int, int]]:
 
 def casefold(text) -> Column:
     """``text.casefold()``: lower case, then the folds lower case leaves open."""
-    col = as_col(text)
-    return F.when(is_ascii(col), F.lower(col)).otherwise(_fold_beyond_ascii(col))
+    return let(text, lambda col: F.when(is_ascii(col), F.lower(col)).otherwise(_fold_beyond_ascii(col)))
 
 
-def _fold_beyond_ascii(col: Column) -> Column:
+def _fold_beyond_ascii(text: Column) -> Column:
     single, multiple = _fold_tables()
-    lowered = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
     rest = {k: v for k, v in multiple.items() if k != "ß"}
     unusual = "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in _ranges({*single, *rest})) + "]"
-    # One literal that the optimizer splits once, not 150 literals in every plan.
+    # One literal that is split once, not 150 literals in every plan.
     pairs = F.split(F.lit(",".join(f"{k}={v}" for k, v in sorted(rest.items()))), ",")
-    exact = F.aggregate(pairs, F.translate(lowered, "".join(single), "".join(single.values())),
-                        lambda acc, pair: F.replace(acc, F.substring(pair, 1, 1), F.substring(pair, 3, 3)))
-    # Cheapest test first: most texts stop at three ranges.
-    return (F.when(~lowered.rlike(r"[\x{B5}\x{149}\x{17F}-\x{10FFFF}]"), lowered)
-            .when(~lowered.rlike(unusual), lowered).otherwise(exact))
+
+    def staged(lowered: Column) -> Column:
+        exact = F.aggregate(pairs, F.translate(lowered, "".join(single), "".join(single.values())),
+                            lambda acc, pair: F.replace(acc, F.substring(pair, 1, 1), F.substring(pair, 3, 3)))
+        # Cheapest test first: most texts stop at three ranges.
+        return (F.when(~lowered.rlike(r"[\x{B5}\x{149}\x{17F}-\x{10FFFF}]"), lowered)
+                .when(~lowered.rlike(unusual), lowered).otherwise(exact))
+
+    return let(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), staged)
 
 
 def nfc(text) -> Column:
     """Canonical composition. Only texts with a character outside the composed-only
     ranges reach the normaliser that ships with Spark's collation support."""
-    col = as_col(text)
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(False))
-    return (F.when(is_ascii(col) | ~col.rlike(r"[^\x{0}-\x{2FF}]"), col)
-            .when(~col.rlike(rf"(?s)^[{COMPOSED_ONLY}]*+."), col).otherwise(composed))
+    def staged(col: Column) -> Column:
+        composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(False))
+        return (F.when(is_ascii(col) | ~col.rlike(r"[^\x{0}-\x{2FF}]"), col)
+                .when(~col.rlike(rf"(?s)^[{COMPOSED_ONLY}]*+."), col).otherwise(composed))
+
+    return let(text, staged)
 
 
 def norm(text) -> Column:
@@ -131,9 +134,9 @@ def prepare_text(text) -> Column:
 
 def tokenize(text) -> Column:
     """Case-folded word tokens in text order, with repeats."""
-    col = F.coalesce(as_col(text), F.lit(""))
-    return (F.when(is_ascii(col), F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), F.lit(0)))
-            .otherwise(F.regexp_extract_all(_fold_beyond_ascii(col), F.lit(TOKEN_PATTERN), F.lit(0))))
+    return let(F.coalesce(as_col(text), F.lit("")), lambda col: F.when(
+        is_ascii(col), F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), F.lit(0)))
+        .otherwise(F.regexp_extract_all(_fold_beyond_ascii(col), F.lit(TOKEN_PATTERN), F.lit(0))))
 
 
 @F.pandas_udf(T.StringType())

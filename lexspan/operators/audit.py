@@ -13,6 +13,7 @@ from lexspan.functions.columns import first_reason, flag
 from lexspan.functions.ids import json_list, json_string, sha256
 from lexspan.functions.text import norm, text_fingerprint
 from lexspan.operators.skew import HOT_ROWS, attach_group_size, lookup
+from lexspan.session import cut_lineage
 
 IDENTITY_FIELDS = ("so_ky_hieu", "co_quan_ban_hanh", "ngay_ban_hanh")
 INCLUDE = "include_for_employment_review"
@@ -134,8 +135,10 @@ def decide(metadata: DataFrame, facts: DataFrame, members: DataFrame) -> DataFra
 
 
 def decisions(metadata: DataFrame, content: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    facts = content_facts(content)
-    return decide(metadata, facts, duplicate_members(group_keys(metadata, facts), hot_rows))
+    """The whole audit of metadata and content. The facts and keys are small next to the
+    texts and are read more than once, so both become tables: each text is parsed once."""
+    facts = cut_lineage(content_facts(content))
+    return decide(metadata, facts, duplicate_members(cut_lineage(group_keys(metadata, facts)), hot_rows))
 
 
 def orphan_content(content: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -184,8 +187,8 @@ def edge_audit(edges: DataFrame, decided: DataFrame, hot_rows: int = HOT_ROWS) -
 
     An endpoint may own a large share of the edges, so both lookups split hot keys off.
     """
-    state = decided.groupBy("id").agg(F.max(F.struct("primary_reason", "scope_reason")).alias("s"))
-    state = state.select("id", F.col("s.primary_reason").alias("state"), F.col("s.scope_reason").alias("scope"))
+    state = cut_lineage(decided.groupBy("id").agg(F.max(F.struct("primary_reason", "scope_reason")).alias("s")).select(
+        "id", F.col("s.primary_reason").alias("state"), F.col("s.scope_reason").alias("scope")))
     ends = lookup(edges, state.select("id", F.col("state").alias("source_state"), F.col("scope").alias("source_scope")),
                   {"doc_id": "id"}, ["source_state", "source_scope"], hot_rows)
     ends = lookup(ends, state.select("id", F.col("state").alias("target_state")), {"other_doc_id": "id"},

@@ -61,7 +61,8 @@ def _attach(df: DataFrame, hot: DataFrame, cold: DataFrame, keys: Sequence[str],
     hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys],
                      *[F.col(v).alias(f"__hot_value_{v}") for v in values], F.lit(True).alias("__hot"))
     cold = cold.select(*[F.col(k).alias(f"__cold_{k}") for k in keys],
-                       *[F.col(v).alias(f"__cold_value_{v}") for v in values], F.lit(0).cast("long").alias("__cold_spread"))
+                       *[F.col(v).alias(f"__cold_value_{v}") for v in values], # Always 0, but not a constant the optimizer would take out of the join key.
+                       F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("__cold_spread"))
     marked = df.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
     no_key = F.lit(False)
     for key in keys:

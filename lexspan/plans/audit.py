@@ -9,6 +9,7 @@ from lexspan.functions.text import norm
 from lexspan.operators import audit
 from lexspan.operators.skew import attach_group_size
 from lexspan.plans.registry import query
+from lexspan.session import cut_lineage
 from lexspan.plans.tables import content, metadata, relationships, spread, sql_collapse, sql_norm, sql_with, table
 
 _NO_MARKUP = ("regexp_replace({}, '(?is)<!--.*?-->|<head\\b[^>]*>.*?</head\\s*>|<script\\b[^>]*>.*?</script\\s*>"
@@ -154,7 +155,7 @@ def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
     meta, body = audit_tables(spark, folder)
-    return audit.duplicate_members(audit.group_keys(meta, audit.content_facts(body)))
+    return audit.duplicate_members(cut_lineage(audit.group_keys(meta, audit.content_facts(body))))
 
 
 _CORPUS_MEMBERS = f"{sql_with('metadata', 'content')}, {FACTS_SQL}, {MEMBERS_SQL}"
