@@ -209,6 +209,11 @@ def _decode_safely(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: unit.sub(put, text), na_action="ignore")
 
 
+# Declared so that the optimizer keeps the decoded text as a column of its own: inlined
+# into a consumer it would be decoded once per use.
+_decode_safely = _decode_safely.asNondeterministic()
+
+
 def clip_excerpt(text, size: int) -> Column:
     """First ``size`` characters, cut back to the last space unless that is the first character."""
     col = as_col(text)

@@ -47,7 +47,7 @@ def one_hop(touching: DataFrame, seed_ids: DataFrame) -> DataFrame:
 def neighbors(touching: DataFrame) -> DataFrame:
     """Distinct (id, neighbor) rows in both directions."""
     pairs = F.explode(F.array(F.struct(F.col("doc_id").alias("id"), F.col("other_doc_id").alias("neighbor")),
-                              F.struct(F.col("other_doc_id"), F.col("doc_id"))))
+                              F.struct(F.col("other_doc_id").alias("id"), F.col("doc_id").alias("neighbor"))))
     return touching.select(pairs.alias("p")).select("p.id", "p.neighbor").distinct()
 
 
