@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.functions.vectors import dot, is_valid_vector
 from lexspan.operators.skew import top_k
@@ -59,6 +60,8 @@ def _search_block(rows, queries, k, id_cols, query_id, query_vector, decimals) -
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType)]
                           + [rows.schema[c] for c in id_cols] + [T.StructField("score", T.DoubleType())])
 
+    arrow_schema = to_arrow_schema(schema)
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, query_matrix = shared.value
         best: list[pd.DataFrame | None] = [None] * len(query_names)
@@ -85,7 +88,7 @@ def _search_block(rows, queries, k, id_cols, query_id, query_vector, decimals) -
         for name, rows_q in zip(query_names, best):
             if rows_q is not None:
                 rows_q.insert(0, "query_id", [name] * len(rows_q))
-                yield pa.RecordBatch.from_pandas(rows_q, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(rows_q, schema=arrow_schema, preserve_index=False)
 
     candidates = rows.mapInArrow(nearest, schema)
     return top_k(candidates, ["query_id"], [F.desc("score"), *[F.asc(c) for c in id_cols]], k)

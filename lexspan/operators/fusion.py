@@ -42,7 +42,7 @@ def branch_ranks(hits: DataFrame) -> DataFrame:
     return grouped.unionByName(plain)
 
 
-def rrf_fuse(hits: DataFrame, branches: list[str], rrf_k: int = RRF_K) -> DataFrame:
+def rrf_fuse(hits: DataFrame, branches: list[str], rrf_k: int = RRF_K, decimals: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion: query_id, article_id, rrf_score, branches, rank.
 
     Shares are added in the order the branches are declared, so scores do not depend on
@@ -57,6 +57,8 @@ def rrf_fuse(hits: DataFrame, branches: list[str], rrf_k: int = RRF_K) -> DataFr
         F.aggregate("__shares", F.lit(0.0), lambda acc, s: acc + F.lit(1.0) / (F.lit(rrf_k) + s["rank"])).alias("rrf_score"),
         F.map_from_entries(F.transform("__shares", lambda s: F.struct(
             s["branch"], F.struct(s["rank"].alias("rank"), s["score"].alias("score"))))).alias("branches"))
+    if decimals is not None:
+        fused = fused.withColumn("rrf_score", F.round("rrf_score", decimals))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "article_id")
     return fused.withColumn("rank", F.row_number().over(order))
 

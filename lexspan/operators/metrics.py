@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def unique_ranks(hits: DataFrame) -> DataFrame:
@@ -13,19 +13,25 @@ def unique_ranks(hits: DataFrame) -> DataFrame:
 
 
 def recall_mrr(hits: DataFrame, relevant: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """recall@k and MRR@k per case. ``relevant`` holds (query_id, article_id); the recall
-    denominator is the number of relevant articles. Cases without any get 0.
+    """recall@k and MRR@k per case. ``relevant`` holds (query_id, article_id), or only
+    article_id when all cases share one set. The recall denominator is the number of
+    relevant articles; cases without any get 0.
 
-    Only the k ranked rows per case meet the relevance table, and its size per case is a
-    count, so a case with very many relevant articles never gathers them.
+    Only the k ranked rows per case meet the relevance table, and its size is a count, so
+    a case with very many relevant articles never gathers them.
     """
-    pairs = relevant.select("query_id", "article_id").distinct()
-    sizes = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    found = (unique_ranks(hits).where(F.col("rank") <= k).join(pairs, ["query_id", "article_id"])
+    keys = [c for c in ("query_id", "article_id") if c in relevant.columns]
+    pairs = relevant.select(*keys).distinct()
+    found = (unique_ranks(hits).where(F.col("rank") <= k).join(pairs, keys)
              .groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first")))
-    return (cases.select("query_id").join(sizes, "query_id", "left").join(found, "query_id", "left")
+    count = F.count(F.lit(1)).alias("relevant")
+    if "query_id" in keys:
+        rows = cases.select("query_id").join(pairs.groupBy("query_id").agg(count), "query_id", "left")
+    else:
+        rows = cases.select("query_id").crossJoin(F.broadcast(pairs.agg(count)))
+    return (rows.join(found, "query_id", "left")
             .select("query_id", F.coalesce("relevant", F.lit(0)).alias("relevant"),
-                    F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)).alias("recall_at_k"),
+                    F.coalesce(F.try_divide("found", "relevant"), F.lit(0.0)).alias("recall_at_k"),
                     F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr_at_k")))
 
 
@@ -75,8 +81,48 @@ def macro_mean(per_case: DataFrame, measured, columns: list[str]) -> DataFrame:
                         *[F.avg(F.when(measured, F.col(c))).alias(f"mean_{c}") for c in columns])
 
 
+ORDER_BUCKETS = 1_024
+
+
+def order_statistics(samples: DataFrame, value: str, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """Exact values at given 1-based ranks per key; ``ranks`` are Columns of ``samples``, the
+    number of samples.
+
+    Counts per value range find the range a rank falls into, and only the distinct values
+    of that range are ordered. No key's samples are sorted or gathered as a whole.
+    """
+    rows = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    spans = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("samples"))
+    spans = spans.select(*keys, "__low", "__high", "samples", F.explode(F.array(
+        *[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])).alias("__t"))
+    spans = spans.select(*keys, "__low", "__high", "samples", "__t.name", "__t.rank")
+    width = F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300))
+    bucket = F.least(F.floor((F.col("__v") - F.col("__low")) / width * ORDER_BUCKETS), F.lit(ORDER_BUCKETS - 1).cast("long"))
+    bounds = spans.select(*keys, "__low", "__high").distinct()
+    placed = rows.join(bounds, keys).withColumn("__b", bucket)
+    counts = placed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumn("__to", F.sum("__n").over(upto)).withColumn("__before", F.col("__to") - F.col("__n"))
+    target = spans.select(*keys, "samples", "name", "rank").join(sums, keys).where(
+        (F.col("rank") > F.col("__before")) & (F.col("rank") <= F.col("__to")))
+    wanted = target.select(*keys, "__b", "__before").distinct()
+    values = placed.join(wanted, [*keys, "__b"]).groupBy(*keys, "__b", "__before", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("__last", F.col("__before") + F.sum("__m").over(inside)).select(*keys, "__b", "__v", "__last")
+    hit = target.select(*keys, "__b", "samples", "name", "rank").join(values, [*keys, "__b"]).where(F.col("__last") >= F.col("rank"))
+    return hit.groupBy(*keys, "samples", "name").agg(F.min("__v").alias("value")).groupBy(*keys, "samples").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks])
+
+
 def latency_distribution(samples: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Samples, true median and nearest-rank (ceiling) 95th percentile."""
-    return samples.groupBy(*keys).agg(
-        F.count(value).alias("samples"), F.percentile(value, F.lit(0.5)).alias("p50"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    n = F.col("samples")
+    found = order_statistics(samples, value, keys, {
+        "__lower": F.floor((n + 1) / 2), "__upper": F.floor(n / 2) + 1, "p95": F.greatest(F.ceil(n * F.lit("0.95").cast("decimal(3,2)")), F.lit(1))})
+    return found.select(*keys, "samples", ((F.col("__lower") + F.col("__upper")) / 2).alias("p50"), "p95")
+
+
+def report_distribution(samples: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The upper-element median and the maximum some reports print instead."""
+    found = order_statistics(samples, value, keys, {"median": F.floor(F.col("samples") / 2) + 1, "max": F.col("samples")})
+    return found.select(*keys, "samples", F.round("median", 2).alias("median"), F.round("max", 2).alias("max"))

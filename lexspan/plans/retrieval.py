@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexspan.functions.text import tokenize
 from lexspan.operators import bm25, dense, fusion
 from lexspan.plans.registry import query
 from lexspan.plans.tables import queries_from_benchmark, spread, sql_tokens, table
@@ -62,7 +63,7 @@ def as_branch(hits: DataFrame, branch: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     hits = as_branch(sparse_hits(spark, folder), "bm25").unionByName(as_branch(dense_hits(spark, folder), "dense"))
-    return fusion.rrf_fuse(hits, ["bm25", "dense"])
+    return fusion.rrf_fuse(hits, ["bm25", "dense"], decimals=9)
 
 
 @query(f"""WITH tok AS (SELECT doc_id, {sql_tokens('text')} toks FROM documents),
@@ -95,3 +96,95 @@ def bm25_term_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {DENSE_SQL} SELECT query_id, doc_id, score, rank FROM der WHERE rank <= {TOP}""")
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return dense_hits(spark, folder, TOP).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH c AS (SELECT label query_id, list(v ORDER BY i) qe FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) v
+FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+s AS (SELECT query_id, vec_id, round(list_dot_product(qe, CAST(embedding AS DOUBLE[])), 6) score FROM c, embeddings WHERE label = query_id)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+WHERE query_id = 3 AND rank <= 10""")
+def dense_filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of one label nearest to that label's mean: the filter comes before the cut."""
+    points = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    means = dense.centroids(points, "label").where("query_id = 3")
+    return dense.search(points, means, 10, id_cols=["vec_id"], where=F.col("label") == 3, decimals=6).select(
+        "query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH c AS (SELECT label query_id, list(v ORDER BY i) qe FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) v
+FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+s AS (SELECT query_id, vec_id, round(list_dot_product(qe, CAST(embedding AS DOUBLE[])), 6) score FROM c, embeddings)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+WHERE rank <= 10""")
+def dense_centroid_topk(spark: SparkSession, folder: str) -> DataFrame:
+    points = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return dense.search(points, dense.centroids(points, "label"), 10, id_cols=["vec_id"], decimals=6).select(
+        "query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AS valid,
+round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) length FROM embeddings""")
+def vector_checks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return rows.select("vec_id", dense.is_valid_vector("embedding", 64).alias("valid"),
+                       F.round(F.sqrt(dense.dot("embedding", "embedding")), 6).alias("length"))
+
+
+@query(f"""WITH {HYBRID_SQL} SELECT query_id, CAST(doc_id AS VARCHAR) article_id, rrf rrf_score, rank FROM fr WHERE rank <= {TOP}""")
+def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    return hybrid(spark, folder).where(F.col("rank") <= TOP).select(
+        "query_id", "article_id", "rrf_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {BM25_SQL}, {DENSE_SQL},
+b0 AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) score
+       FROM qt JOIN df USING (term) JOIN tf USING (term), stat GROUP BY ALL),
+b0r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM b0 WHERE score <> 0),
+u AS (SELECT 'bm25' branch, query_id, doc_id, rank, score FROM bmr WHERE rank <= {DEPTH}
+      UNION ALL SELECT 'dense', query_id, doc_id, rank, score FROM der WHERE rank <= {DEPTH}
+      UNION ALL SELECT 'flat', query_id, doc_id, rank, score FROM b0r WHERE rank <= {DEPTH})
+SELECT query_id, CAST(doc_id AS VARCHAR) article_id, round(sum(1.0 / (60 + rank)), 9) rrf_score,
+string_agg(branch || ':' || rank, '|' ORDER BY branch) branches FROM u GROUP BY query_id, doc_id""")
+def rrf_three_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """Fusion of BM25, vectors and BM25 without length normalisation, with branch ranks."""
+    flat = bm25.search(_documents(spark, folder), queries_from_benchmark(spark, folder), DEPTH, id_cols=["doc_id"], b=0.0, decimals=6)
+    hits = as_branch(sparse_hits(spark, folder), "bm25").unionByName(as_branch(dense_hits(spark, folder), "dense")).unionByName(
+        as_branch(flat, "flat"))
+    fused = fusion.rrf_fuse(hits, ["bm25", "dense", "flat"], decimals=9)
+    shown = F.transform(F.array_sort(F.map_entries("branches")), lambda e: F.concat_ws(":", e["key"], e["value"]["rank"].cast("string")))
+    return fused.select("query_id", "article_id", "rrf_score", F.array_join(shown, "|").alias("branches"))
+
+
+def overlap_score(query_col: str, text_col: str):
+    """Stand-in for a cross-encoder: share of the query's distinct tokens in the text."""
+    wanted = F.array_distinct(tokenize(query_col))
+    return F.round(F.size(F.array_intersect(wanted, tokenize(text_col))) / F.greatest(F.size(wanted), F.lit(1)), 9)
+
+
+@query(f"""WITH {HYBRID_SQL}, c AS (SELECT fr.query_id, CAST(fr.doc_id AS VARCHAR) article_id, fr.rrf rrf_score,
+list_distinct({sql_tokens('b.text')}) qt, list_distinct({sql_tokens('d.text')}) dt
+FROM fr JOIN benchmark b ON b.item_id = fr.query_id JOIN documents d ON d.doc_id = fr.doc_id WHERE rank <= 20),
+r AS (SELECT query_id, article_id, rrf_score, round(len(list_intersect(qt, dt)) / greatest(len(qt), 1), 9) rerank_score FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, article_id) rerank_rank FROM r)
+SELECT query_id, article_id, rrf_score, rerank_score, rerank_rank FROM e WHERE rerank_rank <= 5""")
+def rerank_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """First 20 fused documents, reranked by a scorer, first 5 as evidence."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
+    few = F.broadcast(hybrid(spark, folder).where(F.col("rank") <= 20).select("query_id", "article_id", "rrf_score"))
+    rows = texts.join(few, "article_id").join(F.broadcast(queries_from_benchmark(spark, folder)), "query_id")
+    ranked = fusion.rerank(rows, overlap_score("query", "text")).select("query_id", "article_id", "rrf_score", "rerank_score")
+    return fusion.select_evidence(ranked, 5).select("query_id", "article_id", "rrf_score", "rerank_score",
+                                                    F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
+@query(f"""WITH {BM25_SQL}, g AS (SELECT query_id, source article_id, max(score) score,
+string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY score DESC, CAST(doc_id AS VARCHAR)) children
+FROM (SELECT * FROM bmr JOIN documents USING (doc_id) WHERE rank <= {DEPTH}) GROUP BY ALL)
+SELECT query_id, article_id, score, children, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) rank FROM g""")
+def grouped_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Document hits grouped to their source, as passages are grouped to articles."""
+    sources = table(spark, folder, "documents").select("doc_id", F.col("source").alias("article_id"))
+    hits = sources.join(F.broadcast(sparse_hits(spark, folder)), "doc_id").select(
+        "query_id", "article_id", F.col("doc_id").cast("string").alias("child_id"), "score", F.col("rank").alias("position"))
+    return fusion.group_article_hits(hits, ["query_id"]).select(
+        "query_id", "article_id", "score", F.array_join("matched_child_ids", "|").alias("children"), F.col("rank").cast("long").alias("rank"))
