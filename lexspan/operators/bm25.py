@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexspan.functions.text import tokenize
-from lexspan.operators.skew import bounded_broadcast, top_k
+from lexspan.operators.skew import BROADCAST_ROWS, top_k
+from lexspan.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -58,31 +59,68 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("repeats")))
 
 
+# Stands for "every document" among the terms; no token is empty.
+EVERY_DOCUMENT = ""
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, *, id_cols: list[str], text: str = "text",
            query_id: str = "query_id", query: str = "query", k1: float = K1, b: float = B,
            decimals: int | None = None) -> DataFrame:
-    """Top ``k`` documents per query: query_id, id columns, score, rank.
+    """Top ``k`` documents per query: query_id, id columns, score, rank."""
+    return _search(postings_with_total(term_frequencies(docs, id_cols, text), id_cols), queries, k, id_cols,
+                   query_id, query, k1, b, decimals)
+
+
+def postings_with_total(frequencies: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Posting rows plus one row per document under the empty term, so that corpus size
+    and mean length come out of the same pass as document frequencies."""
+    every = F.array(F.struct(F.lit(EVERY_DOCUMENT).alias("term"), F.lit(1).cast("long").alias("tf")))
+    return frequencies.select(*id_cols, "length", F.explode_outer(F.concat(F.col("terms"), every)).alias("p")).select(
+        *id_cols, "length", "p.term", "p.tf")
+
 
-    The vocabulary of the queries filters postings before anything is shuffled. Partial
-    sums are complete per task because a document's postings never leave it, so the
-    shuffle carries one row per (query, matching document).
+def _search(posting_rows: DataFrame, queries: DataFrame, k: int, id_cols: list[str], query_id: str, query: str,
+            k1: float, b: float, decimals: int | None) -> DataFrame:
+    """Two passes over the postings of the query vocabulary: statistics, then scores.
+
+    The vocabulary filters before anything is shuffled. The statistics are one row per
+    term and become a table. Score sums are complete per task, because a document's
+    postings stay together, so the shuffle carries one row per (query, matching document).
     """
     terms = query_terms(queries, query_id, query)
-    vocabulary = bounded_broadcast(terms.select("term").distinct())
-    frequencies = term_frequencies(docs, id_cols, text)
-    matching = postings(frequencies, id_cols).join(vocabulary, "term", "left_semi")
-    stats = corpus_statistics(docs.select(F.size(tokenize(text)).alias("length")))
-    weights = (terms.join(document_frequency(matching), "term").crossJoin(F.broadcast(stats))
-               .select("query_id", "term", "average_length",
-                       (F.col("repeats") * inverse_frequency(F.col("documents"), F.col("df"))).alias("idf")))
-    scored = (matching.join(bounded_broadcast(weights), "term")
-              .withColumn("part", F.col("idf") * term_weight(F.col("tf"), F.col("length"), F.col("average_length"), k1, b))
-              .groupBy("query_id", *id_cols).agg(F.sum("part").alias("score")).where(F.col("score") != 0))
+    # Neither the vocabulary nor the weights exceed the query terms, which are counted once.
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if small else (lambda df: df)
+    every = terms.sparkSession.createDataFrame([(EVERY_DOCUMENT,)], "term string")
+    vocabulary = side(terms.select("term").distinct().unionByName(every))
+    statistics = cut_lineage(posting_rows.join(vocabulary, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length")))
+    corpus = statistics.where(F.col("term") == EVERY_DOCUMENT).select(
+        F.col("df").alias("documents"), (F.col("total_length") / F.col("df")).alias("average_length"))
+    weights = side(terms.join(statistics, "term").crossJoin(F.broadcast(corpus)).select(
+        "query_id", "term", "average_length",
+        (F.col("repeats") * inverse_frequency(F.col("documents"), F.col("df"))).alias("idf")))
+    weight = F.col("idf") * term_weight(F.col("tf"), F.col("length"), F.col("average_length"), k1, b)
+    scored = (posting_rows.join(weights, "term").groupBy("query_id", *id_cols)
+              .agg(F.sum(weight).alias("score")).where(F.col("score") != 0))
     if decimals is not None:
         scored = scored.withColumn("score", F.round("score", decimals))
     return top_k(scored, ["query_id"], [F.desc("score"), *[F.asc(c) for c in id_cols]], k)
 
 
+def write_index(docs: DataFrame, path: str, *, id_cols: list[str], text: str = "text") -> None:
+    """Postings as a table ordered by term and document, so that a query reads only the
+    row groups of its terms. Ranges include the ids: a very common term spans many files."""
+    rows = postings_with_total(term_frequencies(docs, id_cols, text), id_cols)
+    rows.repartitionByRange("term", *id_cols).sortWithinPartitions("term", *id_cols).write.mode("errorifexists").parquet(path)
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, *, id_cols: list[str],
+                 query_id: str = "query_id", query: str = "query", k1: float = K1, b: float = B,
+                 decimals: int | None = None) -> DataFrame:
+    return _search(spark.read.parquet(path), queries, k, id_cols, query_id, query, k1, b, decimals)
+
+
 def search_terms(docs: DataFrame, terms: list[str], k: int, *, id_cols: list[str], text: str = "text",
                  k1: float = K1, b: float = B, decimals: int | None = None) -> DataFrame:
     """Top ``k`` documents for one short query given as its term list.

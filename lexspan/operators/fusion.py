@@ -34,12 +34,13 @@ def branch_ranks(hits: DataFrame) -> DataFrame:
     they are: a repeated article is dropped but still uses up its position.
     """
     keys = ["query_id", "branch"]
-    by_branch = Window.partitionBy(*keys)
-    marked = hits.withColumn("__grouped", F.max(F.col("child_id").isNotNull()).over(by_branch))
-    grouped = group_article_hits(marked.where("__grouped"), keys).select(*keys, "article_id", "rank", "score")
-    plain = marked.where("NOT __grouped").groupBy(*keys, "article_id").agg(
-        F.min("position").alias("rank"), F.min_by("score", "position").alias("score"))
-    return grouped.unionByName(plain)
+    per_article = hits.groupBy(*keys, "article_id").agg(
+        F.min("position").alias("position"), F.min_by("score", "position").alias("first_score"),
+        F.max(F.coalesce("score", F.lit(0.0))).alias("best"), F.max(F.col("child_id").isNotNull()).alias("has_child"))
+    grouped = F.max("has_child").over(Window.partitionBy(*keys))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("best"), "article_id"))
+    return per_article.select(*keys, "article_id", F.when(grouped, place).otherwise(F.col("position")).alias("rank"),
+                              F.when(grouped, F.col("best")).otherwise(F.col("first_score")).alias("score"))
 
 
 def rrf_fuse(hits: DataFrame, branches: list[str], rrf_k: int = RRF_K, decimals: int | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.operators import evaluation, metrics
+from lexspan.operators import evaluation, fusion, metrics
 from lexspan.plans.registry import query
 from lexspan.plans.retrieval import BM25_SQL, DENSE_SQL, HYBRID_SQL, as_branch, dense_hits, hybrid, sparse_hits
 from lexspan.plans.tables import queries_from_benchmark, table
+from lexspan.session import cut_lineage
 
 K = 5
 
@@ -23,8 +24,11 @@ m AS (SELECT branch, query_id, coalesce(found, 0) / (SELECT count(*) FROM rel) r
 
 
 def _branches(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    fused = hybrid(spark, folder).select("query_id", "article_id", F.col("rank").alias("position"))
-    return {"bm25": as_branch(sparse_hits(spark, folder), "bm25"), "dense": as_branch(dense_hits(spark, folder), "dense"), "rrf": fused}
+    """The three rankings; the two searches run once and are read from their hit tables."""
+    sparse, dense = (cut_lineage(as_branch(hits, name)) for hits, name in (
+        (sparse_hits(spark, folder), "bm25"), (dense_hits(spark, folder), "dense")))
+    fused = fusion.rrf_fuse(sparse.unionByName(dense), ["bm25", "dense"], decimals=9)
+    return {"bm25": sparse, "dense": dense, "rrf": fused.select("query_id", "article_id", F.col("rank").alias("position"))}
 
 
 def _relevant(spark: SparkSession, folder: str) -> DataFrame:

@@ -170,16 +170,16 @@ _QUOTES_SQL = f"""{BM25_SQL}, q AS (SELECT query_id, doc_id, d.text, b.text quot
 JOIN benchmark b ON b.item_id = query_id WHERE rank = 1)"""
 
 
-@query(f"""WITH {_QUOTES_SQL}, s AS (SELECT *, instr(text, quote) at FROM q)
-SELECT query_id, doc_id, CASE WHEN at > 0 AND instr(substr(text, at + 1), quote) = 0 THEN at - 1 END span_start,
-CASE WHEN at > 0 AND instr(substr(text, at + 1), quote) = 0 THEN at - 1 + length(quote) END span_end FROM s""")
+@query(f"""WITH {_QUOTES_SQL}, s AS (SELECT *, instr(text, quote) pos FROM q)
+SELECT query_id, doc_id, CASE WHEN pos > 0 AND instr(substr(text, pos + 1), quote) = 0 THEN pos - 1 END span_start,
+CASE WHEN pos > 0 AND instr(substr(text, pos + 1), quote) = 0 THEN pos - 1 + length(quote) END span_end FROM s""")
 def unique_span_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = _quotes(spark, folder).withColumn("span", citations.unique_span(F.col("text"), F.col("query")))
     return rows.select("query_id", "doc_id", F.col("span.span_start").cast("long").alias("span_start"), F.col("span.span_end").cast("long").alias("span_end"))
 
 
-@query(f"""WITH {_QUOTES_SQL}, s AS (SELECT *, instr(text, quote) at FROM q) SELECT CAST(query_id AS VARCHAR) answer_id, at > 0 valid,
-'' unknown_ids, '' uncited_claims, CASE WHEN at > 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END invalid_citations FROM s""")
+@query(f"""WITH {_QUOTES_SQL}, s AS (SELECT *, instr(text, quote) pos FROM q) SELECT CAST(query_id AS VARCHAR) answer_id, pos > 0 valid,
+'' unknown_ids, '' uncited_claims, CASE WHEN pos > 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END invalid_citations FROM s""")
 def citation_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Provisional answers that quote an item from its first BM25 document at its first place there."""
     rows = _quotes(spark, folder).select(F.col("query_id").cast("string").alias("answer_id"), F.col("doc_id").cast("string").alias("evidence_id"),
