@@ -65,10 +65,15 @@ EVERY_DOCUMENT = ""
 
 def search(docs: DataFrame, queries: DataFrame, k: int, *, id_cols: list[str], text: str = "text",
            query_id: str = "query_id", query: str = "query", k1: float = K1, b: float = B,
-           decimals: int | None = None) -> DataFrame:
-    """Top ``k`` documents per query: query_id, id columns, score, rank."""
-    return _search(postings_with_total(term_frequencies(docs, id_cols, text), id_cols), queries, k, id_cols,
-                   query_id, query, k1, b, decimals)
+           decimals: int | None = None, eligible: Column | None = None) -> DataFrame:
+    """Top ``k`` documents per query: query_id, id columns, score, rank. ``eligible`` keeps
+    documents out of the ranking but not out of the corpus statistics."""
+    if eligible is None:
+        rows = postings_with_total(term_frequencies(docs, id_cols, text), id_cols)
+        return _search(rows, queries, k, id_cols, query_id, query, k1, b, decimals)
+    keys = [*id_cols, "__eligible"]
+    rows = postings_with_total(term_frequencies(docs.withColumn("__eligible", eligible), keys, text), keys)
+    return _search(rows, queries, k, id_cols, query_id, query, k1, b, decimals, F.col("__eligible"))
 
 
 def postings_with_total(frequencies: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -80,7 +85,7 @@ def postings_with_total(frequencies: DataFrame, id_cols: list[str]) -> DataFrame
 
 
 def _search(posting_rows: DataFrame, queries: DataFrame, k: int, id_cols: list[str], query_id: str, query: str,
-            k1: float, b: float, decimals: int | None) -> DataFrame:
+            k1: float, b: float, decimals: int | None, eligible: Column | None = None) -> DataFrame:
     """Two passes over the postings of the query vocabulary: statistics, then scores.
 
     The vocabulary filters before anything is shuffled. The statistics are one row per
@@ -101,7 +106,8 @@ def _search(posting_rows: DataFrame, queries: DataFrame, k: int, id_cols: list[s
         "query_id", "term", "average_length",
         (F.col("repeats") * inverse_frequency(F.col("documents"), F.col("df"))).alias("idf")))
     weight = F.col("idf") * term_weight(F.col("tf"), F.col("length"), F.col("average_length"), k1, b)
-    scored = (posting_rows.join(weights, "term").groupBy("query_id", *id_cols)
+    ranked = posting_rows if eligible is None else posting_rows.where(eligible)
+    scored = (ranked.join(weights, "term").groupBy("query_id", *id_cols)
               .agg(F.sum(weight).alias("score")).where(F.col("score") != 0))
     if decimals is not None:
         scored = scored.withColumn("score", F.round("score", decimals))

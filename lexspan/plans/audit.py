@@ -16,13 +16,17 @@ _NO_MARKUP = ("regexp_replace({}, '(?is)<!--.*?-->|<head\\b[^>]*>.*?</head\\s*>|
               "|<style\\b[^>]*>.*?</style\\s*>|<title\\b[^>]*>.*?</title\\s*>', ' ', 'g')")
 
 
+def sql_entities(expr: str) -> str:
+    """Decodes the entities the given tables use."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
+                         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return expr
+
+
 def sql_visible(expr: str) -> str:
-    """Visible text; the entities replaced here are those the given tables use."""
     stripped = f"regexp_replace({_NO_MARKUP.format(expr)}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        stripped = f"replace({stripped}, '{entity}', '{char}')"
-    return sql_collapse(f"nfc_normalize({stripped})")
+    return sql_collapse(f"nfc_normalize({sql_entities(stripped)})")
 
 
 def _scope(expr: str) -> str:

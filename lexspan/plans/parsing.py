@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.operators import chunks, parse
+from lexspan.plans.audit import _NO_MARKUP, sql_entities
 from lexspan.plans.registry import query
 from lexspan.plans.tables import spread, sql_collapse, table
 
@@ -89,6 +90,11 @@ def parse_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "article_count", "status", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query()
+_SEPARATORS = "|".join(parse.SEPARATOR_TAGS)
+_SHOWN = (f"regexp_replace(regexp_replace({_NO_MARKUP.format('html').replace(chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g', chr(39) * 2 + ', ' + chr(39) + 'g')}, "
+          f"'(?i)</?\\s*(?:{_SEPARATORS})(?:[^\\w:>-][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')")
+
+
+@query(f"SELECT page_id id, {sql_collapse(sql_entities(_SHOWN))} canonical_text FROM pages")
 def visible_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("id", parse.visible_text("content_html").alias("canonical_text"))
