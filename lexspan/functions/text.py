@@ -139,31 +139,48 @@ def tokenize(text) -> Column:
         .otherwise(F.regexp_extract_all(_fold_beyond_ascii(col), F.lit(TOKEN_PATTERN), F.lit(0))))
 
 
-@F.pandas_udf(T.StringType())
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+_KNOWN = "|".join(entity[1:] for entity, _ in COMMON_ENTITIES)
 
 
-def _decode_common(col: Column) -> Column:
+def _decode_common(text: Column) -> Column:
+    decoded = text
     for entity, char in COMMON_ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def _has_unusual_entity(text: Column) -> Column:
+    return F.contains(text, F.lit("&")) & text.rlike(rf"&(?!(?:{_KNOWN}))[^\t\n\f <&;]")
+
+
+@F.pandas_udf(T.StringType())
+def _decode_entities(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def decode_entities(text) -> Column:
-    """``html.unescape``; texts whose ampersands are all common entities stay in the JVM."""
+    """``html.unescape``. Arrow evaluation is not lazy, so rows whose ampersands are all
+    common entities send NULL to Python and are decoded in the JVM."""
     col = as_col(text)
-    known = "|".join(entity[1:] for entity, _ in COMMON_ENTITIES)
-    unusual = col.rlike(rf"&(?!(?:{known}))[^\t\n\f <&;]")
-    # The condition is repeated inside the call because Arrow evaluation is not lazy:
-    # rows on the common path send NULL to Python instead of their text.
-    return F.when(unusual, _decode_entities(F.when(unusual, col))).otherwise(_decode_common(col))
+    return F.coalesce(_decode_entities(F.when(_has_unusual_entity(col), col)), let(col, _decode_common))
+
+
+@F.pandas_udf(T.StringType())
+def _show_unusual(texts: pd.Series) -> pd.Series:
+    hidden = re.compile(r"<!--.*?-->|<(head|script|style|title)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+    return texts.map(lambda text: html.unescape(re.sub(r"<[^>]*>", " ", hidden.sub(" ", text))), na_action="ignore")
 
 
 def text_fingerprint(markup) -> Column:
     """Visible text for duplicate and emptiness checks; every tag is a word break."""
-    col = F.regexp_replace(F.coalesce(as_col(markup), F.lit("")), IGNORED_MARKUP, " ")
-    return collapse_whitespace(nfc(decode_entities(F.regexp_replace(col, r"(?s)<[^>]*>", " "))))
+    col = as_col(markup)
+
+    def stripped(raw: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(raw, IGNORED_MARKUP, " "), r"(?s)<[^>]*>", " ")
+        return F.when(F.contains(raw, F.lit("<")), plain).otherwise(raw)
+
+    usual = let(let(F.coalesce(col, F.lit("")), stripped), _decode_common)
+    return collapse_whitespace(nfc(F.coalesce(_show_unusual(F.when(_has_unusual_entity(col), col)), usual)))
 
 
 def visible_text(markup) -> Column:
@@ -190,9 +207,8 @@ def decode_unusual_entities(markup) -> Column:
     """Decode entities outside the common set, escaping the markup characters they may
     stand for. Rows without such entities send NULL to Python and keep their text."""
     col = as_col(markup)
-    known = "|".join(entity[1:] for entity, _ in COMMON_ENTITIES)
-    unusual = col.rlike(rf"&(?!(?:{known}))[^;]*;")
-    return F.when(unusual, _decode_safely(F.when(unusual, col))).otherwise(col)
+    unusual = F.contains(col, F.lit("&")) & col.rlike(rf"&(?!(?:{_KNOWN}))[^;]*;")
+    return F.coalesce(_decode_safely(F.when(unusual, col)), col)
 
 
 @F.pandas_udf(T.StringType())
