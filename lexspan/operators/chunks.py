@@ -74,7 +74,7 @@ def embedding_records(articles: DataFrame, prefix: str = "lexspan") -> DataFrame
     """Encoder records of the retrieval candidates, one per window. A candidate that breaks
     the evidence policy fails the job."""
     rows = articles.where(is_true("retrieval_index_candidate")).withColumn("__why", record_violation())
-    guarded = F.when(F.col("__why").isNull(), F.col("canonical_text")).otherwise(F.raise_error("__why").cast("string"))
+    guarded = F.when(F.col("__why").isNull(), F.col("canonical_text")).otherwise(F.raise_error(F.col("__why")).cast("string"))
     keys = ["article_id", "article_version_id", "document_id", "document_version_id", "label", "topic_candidates", "pham_vi"]
     cut = word_windows(rows.withColumn("__guarded", guarded), keys, "__guarded")
     child = F.concat_ws(":", "article_version_id", F.col("char_start").cast("string"), F.col("char_end").cast("string"))

@@ -53,13 +53,14 @@ def search(points: DataFrame, queries: DataFrame, k: int, *, id_cols: list[str],
 def _search_block(rows, queries, k, id_cols, query_id, query_vector, decimals) -> DataFrame:
     held = queries.select(query_id, query_vector).toArrow()
     names = held.column(0).to_pylist()
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType)]
+                          + [rows.schema[c] for c in id_cols] + [T.StructField("score", T.DoubleType())])
+    if not names:
+        return top_k(rows.sparkSession.createDataFrame([], schema), ["query_id"], [F.desc("score")], k)
     matrix = np.array(held.column(1).to_pylist(), dtype="float64").reshape(len(names), -1)
-    if matrix.size and not np.isfinite(matrix).all():
+    if not np.isfinite(matrix).all():
         raise ValueError("query vectors must be finite")
     shared = rows.sparkSession.sparkContext.broadcast((names, matrix))
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType)]
-                          + [rows.schema[c] for c in id_cols] + [T.StructField("score", T.DoubleType())])
-
     arrow_schema = to_arrow_schema(schema)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

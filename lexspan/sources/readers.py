@@ -27,7 +27,7 @@ def read_edges_touching(spark: SparkSession, path: str, ids: Sequence[str]) -> D
 def read_ledger(spark: SparkSession, path: str, ids: Sequence[str] | None = None, key: str = "id") -> DataFrame:
     """CSV ledger with header, quoted line breaks and, possibly, a byte order mark; all text."""
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     return rows if ids is None else require_unique(rows.where(F.col(key).isin(*ids)), [key], "ledger ids")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 def write_ledger(df: DataFrame, path: str) -> None:
     """CSV with header and byte order mark in every part file."""
-    names = [("﻿" if i == 0 else "") + name for i, name in enumerate(df.columns)]
+    names = [("\ufeff" if i == 0 else "") + name for i, name in enumerate(df.columns)]
     df.toDF(*names).write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
 
 
