@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexspan.functions.classify import content_state, expiry_state, issuer_signal, scope_reason
 from lexspan.functions.columns import first_reason, flag
 from lexspan.functions.ids import json_list, json_string, sha256
-from lexspan.functions.text import norm, text_fingerprint
+from lexspan.functions.text import is_blank, norm, text_fingerprint
 from lexspan.operators.skew import HOT_ROWS, attach_group_size, lookup
 from lexspan.session import cut_lineage
 
@@ -148,11 +148,15 @@ def orphan_content(content: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def flag_counts(decided: DataFrame) -> DataFrame:
     """Rows per flag. A row with several flags counts under each."""
-    return decided.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("count"))
+    sets = decided.groupBy("flags").agg(F.count(F.lit(1)).alias("n"))
+    return sets.select("n", F.explode("flags").alias("flag")).groupBy("flag").agg(F.sum("n").alias("count"))
 
 
 def summary(decided: DataFrame) -> DataFrame:
-    """All overlapping and exclusive counts in one pass, as (metric, value, count)."""
+    """All overlapping and exclusive counts in one pass, as (metric, value, count). Rows
+    are first counted per combination of states; only the combinations are unfolded."""
+    decided = decided.groupBy("scope_reason", "primary_reason", "content_state", "expiry_state", "reported_status", "flags").agg(
+        F.count(F.lit(1)).alias("n"))
     central = F.col("scope_reason") == "central_exact"
     blank = F.col("expiry_state") == "unknown_expiry"
 
@@ -169,8 +173,8 @@ def summary(decided: DataFrame) -> DataFrame:
         item("blank_expiry_all", "", blank), item("blank_expiry_central", "", blank & central),
         item("blank_expiry_by_reported_status", F.col("reported_status"), blank)))
     flags = F.transform("flags", lambda name: F.struct(F.lit("overlapping_issue_counts").alias("metric"), name.alias("value")))
-    return decided.select(F.explode(F.concat(items, flags)).alias("item")).groupBy("item.metric", "item.value").agg(
-        F.count(F.lit(1)).alias("count"))
+    return decided.select("n", F.explode(F.concat(items, flags)).alias("item")).groupBy("item.metric", "item.value").agg(
+        F.sum("n").alias("count"))
 
 
 def reconcile(decided: DataFrame) -> DataFrame:
@@ -202,14 +206,17 @@ def edge_audit(edges: DataFrame, decided: DataFrame, hot_rows: int = HOT_ROWS) -
         flag(source == "missing_metadata", "source_missing_metadata"),
         flag(target == "missing_metadata", "target_missing_metadata"),
         flag(F.col("doc_id") == F.col("other_doc_id"), "self_edge"),
-        flag(norm("relationship") == "", "missing_relationship_label"),
+        flag(is_blank("relationship"), "missing_relationship_label"),
         flag((source == INCLUDE) & unavailable, "included_source_target_unavailable_after_audit"),
         flag(central & unavailable, "central_source_target_unavailable_after_audit")))
     return ends.select(*edges.columns, "source_state", "target_state", central.alias("central_source"), flags.alias("flags"))
 
 
 def edge_metrics(audited: DataFrame) -> DataFrame:
-    """All edge counts in one pass, as (metric, value, count)."""
+    """All edge counts in one pass, as (metric, value, count), from counts per combination."""
+    audited = audited.groupBy("relationship", "central_source", "source_state", "target_state", "flags").agg(
+        F.count(F.lit(1)).alias("n"))
+
     def item(metric: str, value, condition: Column = F.lit(True)) -> Column:
         text = F.coalesce(value, F.lit("None")) if isinstance(value, Column) else F.lit(value)
         return F.when(condition, F.struct(F.lit(metric).alias("metric"), text.alias("value")))
@@ -220,8 +227,8 @@ def edge_metrics(audited: DataFrame) -> DataFrame:
         item("included_source_edges", "", F.col("source_state") == INCLUDE),
         item("central_source_target_states", F.col("target_state"), F.col("central_source"))))
     flags = F.transform("flags", lambda name: F.struct(F.lit("flag").alias("metric"), name.alias("value")))
-    return audited.select(F.explode(F.concat(items, flags)).alias("item")).groupBy("item.metric", "item.value").agg(
-        F.count(F.lit(1)).alias("count"))
+    return audited.select("n", F.explode(F.concat(items, flags)).alias("item")).groupBy("item.metric", "item.value").agg(
+        F.sum("n").alias("count"))
 
 
 def absent_endpoints(audited: DataFrame) -> DataFrame:

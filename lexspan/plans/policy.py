@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.functions.classify import CENTRAL_SCOPE, topic_candidates
-from lexspan.functions.ids import ordinal_day, stable_id, uuid5
-from lexspan.functions.text import casefold, clip_excerpt
+from lexspan.functions.ids import ordinal_day, stable_id
+from lexspan.functions.text import clip_excerpt
 from lexspan.operators import citations, evidence, policy, trace
 from lexspan.plans.registry import query
 from lexspan.plans.retrieval import BM25_SQL, sparse_hits
-from lexspan.plans.tables import queries_from_benchmark, spread, table
+from lexspan.plans.tables import queries_from_benchmark, table
+from lexspan.session import cut_lineage
 
 LEGAL_DAY = 729_390  # 1998-01-01
 
@@ -161,7 +162,7 @@ def excerpt_clips(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Each benchmark item as a quote from its first BM25 document."""
-    best = sparse_hits(spark, folder, 1).select("query_id", "doc_id")
+    best = cut_lineage(sparse_hits(spark, folder, 1).select("query_id", "doc_id"))
     texts = table(spark, folder, "documents").select("doc_id", "text")
     return texts.join(F.broadcast(best), "doc_id").join(queries_from_benchmark(spark, folder), "query_id")
 
@@ -225,9 +226,6 @@ def recent_events(spark: SparkSession, folder: str) -> DataFrame:
     return trace.recent(rows, "ts_us")
 
 
-_FOLDED = "replace(lower(p_name), 'ß', 'ss')"
-
-
 @query("""WITH c AS (SELECT p_partkey, p_size, p_brand identity FROM part), n AS (SELECT p_size number, identity, count(DISTINCT p_partkey) n, min(p_partkey) only_key FROM c GROUP BY ALL),
 w AS (SELECT DISTINCT l_quantity::INT number FROM lineitem), f AS (SELECT number, sum(n) n, min(only_key) only_key FROM n GROUP BY number)
 SELECT CAST(w.number AS VARCHAR) query_id, CASE WHEN coalesce(n, 0) = 1 THEN 'resolved' ELSE 'requested_article_not_unambiguous' END status,
