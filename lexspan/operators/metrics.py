@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexspan.operators.skew import lookup
+
 
 def unique_ranks(hits: DataFrame) -> DataFrame:
     """First occurrence of each article per query, re-ranked without gaps."""
@@ -99,14 +101,15 @@ def order_statistics(samples: DataFrame, value: str, keys: list[str], ranks: dic
     width = F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300))
     bucket = F.least(F.floor((F.col("__v") - F.col("__low")) / width * ORDER_BUCKETS), F.lit(ORDER_BUCKETS - 1).cast("long"))
     bounds = spans.select(*keys, "__low", "__high").distinct()
-    placed = rows.join(bounds, keys).withColumn("__b", bucket)
+    same = {key: key for key in keys}
+    placed = lookup(rows, bounds, same, ["__low", "__high"]).where(F.col("__low").isNotNull()).withColumn("__b", bucket)
     counts = placed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     sums = counts.withColumn("__to", F.sum("__n").over(upto)).withColumn("__before", F.col("__to") - F.col("__n"))
     target = spans.select(*keys, "samples", "name", "rank").join(sums, keys).where(
         (F.col("rank") > F.col("__before")) & (F.col("rank") <= F.col("__to")))
     wanted = target.select(*keys, "__b", "__before").distinct()
-    values = placed.join(wanted, [*keys, "__b"]).groupBy(*keys, "__b", "__before", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    values = lookup(placed, wanted, {**same, "__b": "__b"}, ["__before"]).where(F.col("__before").isNotNull()).groupBy(*keys, "__b", "__before", "__v").agg(F.count(F.lit(1)).alias("__m"))
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("__last", F.col("__before") + F.sum("__m").over(inside)).select(*keys, "__b", "__v", "__last")
     hit = target.select(*keys, "__b", "samples", "name", "rank").join(values, [*keys, "__b"]).where(F.col("__last") >= F.col("rank"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.operators import staging
+from lexspan.operators import curation, staging
 from lexspan.plans.audit import DECISIONS_SQL, _scope, decided
 from lexspan.plans.registry import query
-from lexspan.plans.tables import metadata, relationships, sql_with
+from lexspan.plans.policy import _HEADING, TOPICS
+from lexspan.plans.tables import metadata, relationships, sql_with, table
 from lexspan.session import cut_lineage
 
 # Title terms that occur in the given tables, in place of the employment terms.
@@ -112,3 +113,40 @@ FROM relationships WHERE relationship = 'Sửa đổi, bổ sung' AND (doc_id IN
 AND NOT (doc_id IN ({_CORE}) AND other_doc_id IN ({_CORE}))""")
 def related_documents(spark: SparkSession, folder: str) -> DataFrame:
     return staging.related_documents(staging.amendment_boundary(relationships(spark, folder), CORE_IDS), CORE_IDS)
+
+
+@query(f"""{DECISIONS_SQL} SELECT id, CASE WHEN content_state = 'missing_content_row' THEN 'missing source or audit record'
+WHEN scope_reason <> 'central_exact' THEN 'not central' WHEN content_state <> 'present' OR visible_characters = 0 THEN 'content quality'
+WHEN issuer_signal <> 'central_issuer_signal' THEN 'issuer conflict' WHEN len(flags) > 0 THEN 'unresolved audit flags'
+WHEN primary_reason <> 'include_for_employment_review' THEN 'audit disposition' END reason FROM decided""")
+def core_record_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return curation.core_gate(decided(spark, folder))
+
+
+_TOPIC_LIST = "list_filter([" + ", ".join(
+    f"CASE WHEN {' OR '.join(f'contains({_HEADING}, {chr(39)}{t}{chr(39)})' for t in terms)} THEN '{name}' END" for name, terms in TOPICS.items()) \
+    + "], lambda x: x IS NOT NULL)"
+
+
+def _curated(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as articles: the language as document, the source as label, the first line as heading."""
+    docs = table(spark, folder, "documents")
+    articles = docs.select(F.col("lang").alias("document_id"), F.col("source").alias("label"), F.col("doc_id").cast("string").alias("article_id"),
+                           F.substring_index("text", "\n", 1).alias("heading"))
+    parents = docs.select(F.col("lang").alias("id")).distinct().withColumn("reported_status", F.upper("id"))
+    return curation.curate(articles, parents, {"en": ("src1", "src2"), "de": ("src3",)}, TOPICS)
+
+
+_CURATED_SQL = f"""cu AS (SELECT lang document_id, source AS label, CAST(doc_id AS VARCHAR) article_id, {_TOPIC_LIST} topics FROM documents),
+cd AS (SELECT *, CASE WHEN len(topics) > 0 THEN 'in_scope_topic' WHEN document_id = 'en' AND label IN ('src1', 'src2') OR document_id = 'de' AND label = 'src3'
+THEN 'explicit_dependency' ELSE 'out_of_scope' END index_disposition FROM cu)"""
+
+
+@query(f"WITH {_CURATED_SQL} SELECT document_id, article_id, label, index_disposition, index_disposition <> 'out_of_scope' retrieval_index_candidate, upper(document_id) reported_status FROM cd")
+def index_dispositions(spark: SparkSession, folder: str) -> DataFrame:
+    return _curated(spark, folder).select("document_id", "article_id", "label", "index_disposition", "retrieval_index_candidate", "reported_status")
+
+
+@query(f"WITH {_CURATED_SQL} SELECT DISTINCT document_id, unnest(topics) topic, label FROM cd")
+def topic_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return curation.topic_labels(_curated(spark, folder))
