@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.operators import curation, staging
-from lexspan.plans.audit import DECISIONS_SQL, _scope, decided
+from lexspan.plans.audit import DECISIONS_SQL, decided
 from lexspan.plans.registry import query
 from lexspan.plans.policy import _HEADING, TOPICS
 from lexspan.plans.tables import metadata, relationships, sql_with, table
