@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import prefix_hash, quality
+from lexspan.llm import language_id, ngram_jaccard, prefix_hash, quality
 from lexspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,15 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, folder, "documents"))
+
+
+@_query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, docs.where(language_id.fold("doc_id", 3) != 1))
+    return found.select("doc_id", (language_id.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
