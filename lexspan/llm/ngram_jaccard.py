@@ -38,7 +38,7 @@ from lexspan.llm.components import components
 
 SHINGLE_WORDS, PERCENT = 5, 75
 # Postings a task holds before it sends them; documents at most, so that two bytes name one.
-FLUSH_POSTINGS, FLUSH_DOCS = 4_000_000, 60_000
+FLUSH_POSTINGS, FLUSH_DOCS = 1_500_000, 60_000
 # A column with as many entries goes to the end of the order; at most so many do, the most
 # frequent ones, which bounds what tasks are sent.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
