@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import language_id, ngram_jaccard, prefix_hash, quality
+from lexspan.llm import language_id, ngram_jaccard, packing, prefix_hash, quality, suffix_tree
 from lexspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _query(function):
     QUERIES[function.__name__] = function
     return function
@@ -38,3 +43,14 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language_id.identify(docs, docs.where(language_id.fold("doc_id", 3) != 1))
     return found.select("doc_id", (language_id.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@_query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return suffix_tree.score(docs, language_id.fold("doc_id", 5) != 1)
