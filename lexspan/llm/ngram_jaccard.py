@@ -16,10 +16,11 @@ something to find:
    most documents have no shared shingle there and are done.
 3. *Stars.* In every column the entries are compared with one pivot. Copies by the
    thousand become one component by as many comparisons.
-4. *Product.* Columns that still hold several components are multiplied block by block:
-   overlap counts of pairs in different components are accumulated, pairs whose count plus
-   what can follow behind the prefixes stays below ceil(3(n+m)/7) are discarded, and the
-   rest is decided on the whole sets of 64-bit hashes.
+4. *Product.* Columns that still hold several components are multiplied block by block.
+   Sets that link share ceil(3(n+m)/7) shingles, and the first column they share has all
+   of them at or behind its places in both lists: pairs in different components whose places
+   leave less are discarded. For the others the overlap is accumulated over the whole sets
+   of 64-bit hashes.
 
 Nothing is capped: the order of shingles and the pivots decide only how much work it takes.
 """
@@ -42,6 +43,8 @@ FLUSH_POSTINGS, FLUSH_DOCS = 1_500_000, 60_000
 # A column with as many entries goes to the end of the order; at most so many do, the most
 # frequent ones, which bounds what tasks are sent.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
+# Rounds with further pivots before the product.
+MORE_STARS = 1
 
 SETS = "doc_id long, n_shingles long, class long, class_check long, merged long"
 
@@ -194,21 +197,24 @@ def _prefixes(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
         for batch in batches:
-            columns, classes, sizes, spare = [], [], [], []
+            columns, classes, sizes, spare, places, lengths = [], [], [], [], [], []
             for klass, n, merged, entries in zip(*(batch.column(k) for k in ("class", "n_shingles", "merged", "entries")), strict=True):
                 n, merged = n.as_py(), merged.as_py()
                 own = np.sort(entries.values.to_numpy())
                 late = np.isin(own, last, assume_unique=True)
                 own = np.concatenate([own[~late], own[late]])
                 reach = n - (-(-n * PERCENT // 100)) + 1 + merged
-                own = own[:max(0, reach - (n - merged - len(own)))]
+                length = len(own)
+                own = own[:max(0, reach - (n - merged - length))]
                 columns.append(own)
                 classes.append(np.full(len(own), klass.as_py()))
                 sizes.append(np.full(len(own), n))
                 spare.append(np.full(len(own), merged))
+                places.append(np.arange(len(own)))
+                lengths.append(np.full(len(own), length))
             if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (columns, classes, sizes, spare)],
-                                                 ["column", "class", "n", "merged"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (columns, classes, sizes, spare, places, lengths)],
+                                                 ["column", "class", "n", "merged", "place", "listed"])
 
     return run
 
@@ -217,6 +223,21 @@ def _least_share(small: str, large: str):
     return F.col(small) * 100 >= F.col(large) * PERCENT
 
 
+def _within_bounds(n, m, listed, other_listed, place, other_place, merged):
+    """Whether two sets that share the entries at these places of their lists of shared
+    shingles can still link: what precedes in both lists, the entry and what follows in both."""
+    reach = F.least(place, other_place) + 1 + F.least(F.col(listed) - F.col(place), F.col(other_listed) - F.col(other_place)) - 1 + F.col(merged)
+    needed = F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+    return _least_share(n, m) & _least_share(m, n) & (reach >= needed)
+
+
+def _apart(prefixes: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries, with their component, of the columns that hold several components."""
+    placed = prefixes.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    apart = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("column")
+    return cut_lineage(placed.join(apart, "column", "left_semi"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are alike enough."""
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha"))
@@ -269,32 +290,37 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             least = 1 << (row["power"] + 1)
             break
     late = np.sort(np.array([r["column"] for r in counts.where(F.col("df") >= least).select("column").collect()], dtype=np.int64))
-    prefixes = cut_lineage(alive.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "column long, class long, n long, merged long"))
+    prefixes = cut_lineage(alive.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "column long, class long, n long, merged long, place long, listed long"))
     whole = cut_lineage(_whole_sets(docs, alive.select("doc_id", "class"), id_col, text_col, size))
     # Stars: every entry of a column against one of its classes.
     pivots = prefixes.groupBy("column").agg(F.min(F.struct("class", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = (prefixes.join(pivots, "column").select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("x"), "n")
              .where((F.col("a") != F.col("b")) & _least_share("x", "n") & _least_share("n", "x")).select("a", "b").distinct())
     star_links = cut_lineage(_linked(stars, whole))
-    known = components(star_links)
+    open_rows = _apart(prefixes, components(star_links))
+    # A few more pivots, others for each of four sets of columns, for what is still apart.
+    for turn in range(MORE_STARS):
+        lot = F.xxhash64("class", F.pmod("column", F.lit(4)), F.lit(turn))
+        pivots = open_rows.groupBy("column").agg(F.min_by(F.struct("class", "n", "component", "place", "listed"), lot).alias("p"))
+        stars = (open_rows.join(pivots, "column")
+                 .where((F.col("p.component") != F.col("component")) & _within_bounds("p.n", "n", "p.listed", "listed", "p.place", "place", "merged"))
+                 .select(F.greatest("p.class", "class").alias("a"), F.least("p.class", "class").alias("b")).distinct())
+        star_links = cut_lineage(star_links.unionByName(_linked(stars, whole)))
+        open_rows = _apart(prefixes, components(star_links))
     # Product of what is still apart, column by column.
-    placed = prefixes.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("column")
-    open_rows = cut_lineage(placed.join(apart, "column", "left_semi"))
     salts = 8
     left = open_rows.select("column", F.pmod("class", F.lit(salts)).alias("salt"), F.col("class").alias("a"), F.col("n").alias("na"),
-                            F.col("merged").alias("ma"), F.col("component").alias("ca"))
+                            F.col("merged").alias("ma"), F.col("component").alias("ca"), F.col("place").alias("pa"), F.col("listed").alias("la"))
     right = open_rows.select("column", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt"), F.col("class").alias("b"),
-                             F.col("n").alias("nb"), F.col("merged").alias("mb"), F.col("component").alias("cb"))
-    product = (left.join(right, ["column", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                                           & _least_share("na", "nb") & _least_share("nb", "na"))
-               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-                                      F.first("ma").alias("ma"), F.first("mb").alias("mb")))
-    # Behind the shorter reaching prefix at most ceil(3n/4) - 1 shingles follow.
-    behind = F.ceil(F.greatest("na", "nb") * PERCENT / 100) - 1
+                             F.col("n").alias("nb"), F.col("merged").alias("mb"), F.col("component").alias("cb"),
+                             F.col("place").alias("pb"), F.col("listed").alias("lb"))
+    # The first column that two sets share has all they share at or behind it in both lists.
     needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
-    left_over = product.where(F.col("overlap") + behind + F.col("ma") + F.col("mb") >= needed).select("a", "b")
-    links = star_links.unionByName(cut_lineage(_linked(left_over, whole)))
+    follows = F.least(F.col("la") - F.col("pa"), F.col("lb") - F.col("pb")) + F.col("ma")
+    product = (left.join(right, ["column", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _least_share("na", "nb")
+                                                           & _least_share("nb", "na") & (follows >= needed))
+               .select("a", "b").distinct())
+    links = star_links.unionByName(cut_lineage(_linked(product, whole)))
     return sets, links
 
 

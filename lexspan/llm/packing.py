@@ -44,6 +44,7 @@ class Encoder:
 
     _awkward = re.compile(r"\s\s\s|\s\s\Z")
     _any_space = re.compile(r"\s")
+    _marks = ".,;:!?*#$%&|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +53,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         mark = self._encode(["\n"])[0]
         self.mark = int(np.frombuffer(mark, self.kind)[0]) if len(mark) == self.kind.itemsize else None
 
@@ -59,21 +61,40 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
+        """Remember chunks. Letters with punctuation behind them split there, so such a
+        chunk is its letters' ids and its punctuation's."""
         if len(self.known) + len(chunks) > REMEMBERED:
             self.known.clear()
-        plain, odd = [], []
+        plain, odd, joined = set(), [], []
         for chunk in chunks:
-            (odd if self.mark is None or not chunk or self._any_space.search(chunk) else plain).append(chunk)
+            core = chunk.rstrip(self._marks)
+            if len(core) < len(chunk) and core.isalpha():
+                joined.append((chunk, core, chunk[len(core):]))
+                if core not in self.known:
+                    plain.add(core)
+            elif self.mark is None or not chunk or self._any_space.search(chunk):
+                odd.append(chunk)
+            else:
+                plain.add(chunk)
         self.known.update(zip(odd, self._encode([" " + c for c in odd]), strict=True))
+        plain, width = list(plain), self.kind.itemsize
         # Many chunks at once, a line feed between them.
         for at in range(0, len(plain), 2_000):
             part = plain[at:at + 2_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + c for c in part])], add_special_tokens=False)[0].ids, self.kind)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark))
-            encoded = [pieces[0].tobytes(), *[p[1:].tobytes() for p in pieces[1:]]]
-            if len(encoded) != len(part):
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) == len(part):
+                raw, bounds = ids.tobytes(), (ends * width).tolist()
+                encoded = [raw[a:b] for a, b in zip([0, *[e + width for e in bounds[:-1]]], bounds, strict=True)]
+            else:
                 encoded = self._encode([" " + c for c in part])
             self.known.update(zip(part, encoded, strict=True))
+        for tail in {tail for _, _, tail in joined} - self.tails.keys():
+            self.tails[tail] = self._encode([tail])[0]
+        known, tails = self.known, self.tails
+        known.update([(chunk, known[core] + tails[tail]) for chunk, core, tail in joined])
+        if len(tails) > REMEMBERED // 50:
+            tails.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         result: list[bytes | None] = [None] * len(texts)
@@ -81,21 +102,29 @@ class Encoder:
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
             result[k] = ids
         split = {k: text.split(" ") for k, text in enumerate(texts) if result[k] is None}
-        heads = self._encode([chunks[0] for chunks in split.values()])
-        at = list(split)
+        heads = self._encode([chunks.pop(0) for chunks in split.values()])
+        open_ = {}
+        for k, chunks in split.items():
+            found = list(map(self.known.get, chunks))
+            if None in found:
+                open_[k] = chunks
+            else:
+                result[k] = b"".join(found)
+        at = list(open_)
         while at:  # a few texts at a time, so that what they need fits what is remembered
-            part, size = [], 0
-            while at and (not part or size + len(split[at[-1]]) <= REMEMBERED // 4):
-                size += len(split[at[-1]])
+            part, need, size = [], set(), 0
+            while at and (not part or size + len(open_[at[-1]]) <= REMEMBERED // 4):
+                size += len(open_[at[-1]])
                 part.append(at.pop())
-            need = set().union(*(split[k][1:] for k in part))
-            fresh = need - self.known.keys()
-            if fresh:
-                self._learn(fresh)
-                if not need <= self.known.keys():  # forgotten meanwhile
-                    self._learn(need - self.known.keys())
             for k in part:
-                result[k] = b"".join([self.known[c] for c in split[k][1:]])
+                need.update([c for c in open_[k] if c not in self.known])
+            if need:
+                held = len(self.known)
+                self._learn(need)
+                if len(self.known) < held:  # forgotten meanwhile
+                    self._learn(set().union(*(open_[k] for k in part)) - self.known.keys())
+            for k in part:
+                result[k] = b"".join(map(self.known.__getitem__, open_[k]))
         for k, head in zip(split, heads, strict=True):
             result[k] = head + result[k]
         return result
