@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.llm import language_id, ngram_jaccard, packing, prefix_hash, quality, suffix_tree
+from lexspan.llm import (language_id, licenses, line_chunks, mixing, ngram_jaccard, packing, prefix_hash, quality,
+                         suffix_tree, unit_dedup)
 from lexspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,36 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return suffix_tree.score(docs, language_id.fold("doc_id", 5) != 1)
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return unit_dedup.removals(table(spark, folder, "documents")).drop("tie")
+
+
+# Production parameters of the mix: weights by level, relative to siblings.
+MIX = [{"0": 5.0, "1": 3.0, "2": 2.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, {}]
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Sources belong to one of three domains, by the number in their name."""
+    return docs.withColumn("domain", (F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(0)) % 3).cast("string"))
+
+
+@_query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.select(with_domain(table(spark, folder, "documents")), MIX, share=0.8, max_epochs=2)
+    return taken.drop("__tie")
+
+
+@_query
+def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+ORACLES["op9_line_chunks"] = line_chunks.SQL
+
+
+@_query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
