@@ -102,7 +102,7 @@ class Scorer:
         self.model = model
         self.known = dict(model.tables[0])
         self.fixed = len(self.known)
-        self.rows = np.concatenate([model.scores[0].reshape(-1, len(model.languages)),
+        self.rows = np.concatenate([model.scores[0],
                                     np.zeros((REMEMBERED, len(model.languages)), dtype=np.float32)])
         self.added: list[str] = []
 
