@@ -18,10 +18,6 @@ from lexspan.session import cut_lineage
 IDENTITY_FIELDS = ("so_ky_hieu", "co_quan_ban_hanh", "ngay_ban_hanh")
 INCLUDE = "include_for_employment_review"
 
-# Groups up to this size also carry their member list as one JSON value; larger groups
-# have it NULL and are read from the member rows.
-INLINE_MEMBERS = 1_000
-
 
 def value_inventory(metadata: DataFrame, column: str) -> DataFrame:
     """Raw values with counts, NULL and blanks kept apart, most frequent first."""
@@ -85,12 +81,9 @@ def duplicate_members(keys: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return attach_group_size(keys, ["kind", "group_id"], "record_count", hot_rows).where(F.col("record_count").isNotNull())
 
 
-def duplicate_ledger(members: DataFrame, inline: int = INLINE_MEMBERS) -> DataFrame:
-    """One row per group; the sorted member list inline for groups up to ``inline`` rows."""
-    small = F.when(F.col("record_count") <= inline, F.col("id"))
-    return members.groupBy("kind", "group_id").agg(
-        F.first("record_count").alias("record_count"), F.array_sort(F.collect_list(small)).alias("__ids")).select(
-        "kind", "group_id", "record_count", F.when(F.col("record_count") <= inline, json_list("__ids")).alias("ids_json"))
+def duplicate_ledger(members: DataFrame) -> DataFrame:
+    """One row per group. Its members are the rows of ``duplicate_members``, whatever their number."""
+    return members.groupBy("kind", "group_id").agg(F.count(F.lit(1)).alias("record_count"))
 
 
 def duplicate_summary(members: DataFrame) -> DataFrame:

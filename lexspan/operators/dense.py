@@ -20,10 +20,11 @@ QUERY_BLOCK = 2_048
 def search_vector(points: DataFrame, vector: list[float], k: int, *, id_cols: list[str],
                   vector_col: str = "vector", where: Column | None = None,
                   decimals: int | None = None) -> DataFrame:
-    """Top ``k`` points for one query vector; the filter applies before the cut."""
+    """Top ``k`` points for one query vector; the filter applies before the cut. A vector of
+    another length, or with a value that is not finite, is an error."""
     rows = points if where is None else points.where(where)
-    rows = rows.where(is_valid_vector(vector_col, len(vector)))
-    score = dot(vector_col, F.array(*[F.lit(float(x)) for x in vector]))
+    score = F.when(is_valid_vector(vector_col, len(vector)), dot(vector_col, F.array(*[F.lit(float(x)) for x in vector]))).otherwise(
+        F.raise_error(F.lit("invalid vector")))
     scored = rows.select(*id_cols, (F.round(score, decimals) if decimals is not None else score).alias("score"))
     return scored.orderBy(F.desc("score"), *id_cols).limit(k)
 

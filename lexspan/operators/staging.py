@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexspan.functions.classify import EMPLOYMENT_TERMS, WORKSHEET_TERMS, employment_reasons, scope_reason
 from lexspan.functions.columns import first_reason
-from lexspan.functions.ids import json_list
 from lexspan.operators.audit import INCLUDE
 from lexspan.operators.skew import HOT_ROWS, lookup, top_k
 
@@ -14,7 +13,6 @@ AMENDMENT_RELATIONS = (
     "Sửa đổi, bổ sung", "Văn bản được sửa đổi", "Văn bản bổ sung", "Hợp nhất", "Thay thế", "Bãi bỏ",
     "Văn bản hết hiệu lực", "Văn bản quy định hết hiệu lực", "Văn bản bị hết hiệu lực 1 phần",
     "Văn bản quy định hết hiệu lực 1 phần")
-INLINE_NEIGHBORS = 1_000
 
 
 def seeds(metadata: DataFrame, decided: DataFrame, terms: tuple[str, ...] = EMPLOYMENT_TERMS) -> DataFrame:
@@ -51,13 +49,9 @@ def neighbors(touching: DataFrame) -> DataFrame:
     return touching.select(pairs.alias("p")).select("p.id", "p.neighbor").distinct()
 
 
-def neighbor_sets(pairs: DataFrame, inline: int = INLINE_NEIGHBORS) -> DataFrame:
-    """Degree per id, and the sorted neighbours as JSON up to ``inline`` of them; the rows
-    of ``neighbors`` hold the larger sets."""
-    degree = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbors"))
-    few = lookup(pairs, degree, {"id": "id"}, ["neighbors"]).where(F.col("neighbors") <= inline)
-    lists = few.groupBy("id").agg(json_list(F.array_sort(F.collect_list("neighbor"))).alias("dependency_ids_json"))
-    return degree.join(lists, "id", "left")
+def neighbor_sets(pairs: DataFrame) -> DataFrame:
+    """Degree per id. The sets themselves are the rows of ``neighbors``."""
+    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbors"))
 
 
 def directed_edges(touching: DataFrame) -> DataFrame:

@@ -165,8 +165,7 @@ def _members(spark: SparkSession, folder: str) -> DataFrame:
 _CORPUS_MEMBERS = f"{sql_with('metadata', 'content')}, {FACTS_SQL}, {MEMBERS_SQL}"
 
 
-@query(f"""{_CORPUS_MEMBERS} SELECT kind, group_id, record_count, CASE WHEN record_count <= {audit.INLINE_MEMBERS}
-THEN '[' || string_agg('"' || id || '"', ', ' ORDER BY id) || ']' END ids_json FROM members GROUP BY kind, group_id, record_count""")
+@query(f"""{_CORPUS_MEMBERS} SELECT DISTINCT kind, group_id, record_count FROM members""")
 def duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
     return audit.duplicate_ledger(_members(spark, folder))
 

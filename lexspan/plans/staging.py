@@ -60,10 +60,15 @@ def one_hop_expansion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""{STAGE_SQL}, pairs AS (SELECT DISTINCT id, neighbor FROM (SELECT doc_id id, other_doc_id neighbor FROM touching
-UNION ALL SELECT other_doc_id, doc_id FROM touching)) SELECT id, count(*) neighbors, CASE WHEN count(*) <= {staging.INLINE_NEIGHBORS}
-THEN '[' || string_agg('"' || neighbor || '"', ', ' ORDER BY neighbor) || ']' END dependency_ids_json FROM pairs GROUP BY id""")
+UNION ALL SELECT other_doc_id, doc_id FROM touching)) SELECT id, count(*) neighbors FROM pairs GROUP BY id""")
 def neighbor_sets(spark: SparkSession, folder: str) -> DataFrame:
-    return staging.neighbor_sets(cut_lineage(staging.neighbors(_touching(spark, folder)[3])))
+    return staging.neighbor_sets(staging.neighbors(_touching(spark, folder)[3]))
+
+
+@query(f"""{STAGE_SQL} SELECT DISTINCT id, neighbor FROM (SELECT doc_id id, other_doc_id neighbor FROM touching
+UNION ALL SELECT other_doc_id, doc_id FROM touching)""")
+def neighbor_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return staging.neighbors(_touching(spark, folder)[3])
 
 
 @query(f"""{STAGE_SQL} SELECT doc_id id, doc_id source, other_doc_id target, relationship, 'outgoing' direction FROM touching WHERE source_seed
