@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexspan.llm.common import cut_lineage
+
 UNKNOWN = "unknown"
 MIN_PROBABILITY, MIN_SIMILARITY, SURE_SIMILARITY = 0.5, 0.5, 0.8
 # Bounds of the sample: paragraphs that mention a licence, and others.
@@ -93,7 +95,8 @@ class Classifier:
 
     def _scores(self, rows: DataFrame) -> DataFrame:
         found = self.model.transform(self.features.transform(rows))
-        return found.withColumn("__p", vector_to_array("__probability"))
+        # As a generator's output the scores are made once: filters on them stay above it.
+        return found.select(*rows.columns, F.inline(F.array(F.struct(vector_to_array("__probability").alias("__p")))))
 
     def apply(self, rows: DataFrame) -> DataFrame:
         found = self._scores(rows).withColumn("__licence", 1 - F.get("__p", F.lit(0)))
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Clas
     sample = _labelled(docs, id_col, text_col)
     index = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
     sample = sample.withColumn("__label", index.cast("double")).withColumn("__part", F.pmod(F.xxhash64(F.lit(5), "body"), F.lit(4)))
-    sample = sample.cache()
+    sample = cut_lineage(sample)
     tokens = RegexTokenizer(inputCol="body", outputCol="__words", pattern="[^a-z0-9]+", toLowercase=True)
     pairs = NGram(n=2, inputCol="__words", outputCol="__pairs")
     both = pairs.transform(tokens.transform(sample.where(F.col("family") != UNKNOWN)))
@@ -125,7 +128,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Clas
     found = Classifier(features, model, None)
     held = found._scores(sample.where("__part = 0 or __label > 0")).select((1 - F.get("__p", F.lit(0))).alias("__licence"), (F.col("__label") > 0).cast("double").alias("__is"))
     found.calibration = IsotonicRegression(featuresCol="__licence", labelCol="__is", predictionCol="probability").fit(held)
-    sample.unpersist()
     return found
 
 
@@ -138,5 +140,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classifier the notices. Other columns are not read.
     """
     found = fit(docs, id_col, text_col).apply(paragraphs(docs, id_col, text_col))
-    found = found.where(F.col("family") != UNKNOWN).withColumn("similarity", similarity(_runs(F.col("body")), F.col("family")))
+    found = found.where(F.col("family") != UNKNOWN)
+    found = found.select("*", F.inline(F.array(F.struct(_runs(F.col("body")).alias("runs"))))).withColumn("similarity", similarity(F.col("runs"), F.col("family")))
     return found.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= MIN_SIMILARITY).alias("confirmed"))
