@@ -15,6 +15,7 @@ last window is cut into lengths that are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,23 +29,51 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexspan.llm.common import cut_lineage
 
 WINDOW, CYCLE = 1024, 1024
-# Chunks of text whose tokens a worker remembers.
-REMEMBERED = 500_000
+# Fixed value: how byte-level vocabularies split a text.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 TOKENS = "doc_id long, source string, block int, before long, doc_tokens long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
 
-class Encoder:
-    """Token ids of texts by a tokenizer file.
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for
+    themselves, the others in order from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
+
+
+def _byte_pairs(path: str):
+    """The tokenizer file as byte-pair ranks, or None if it has more than these: another
+    split or normaliser, tokens taken out of the text, or ids that are not in merge order."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, split = content["model"], content.get("pre_tokenizer") or {}
+    vocabulary, merges = model.get("vocab", {}), model.get("merges", [])
+    special = {t["content"] for t in content.get("added_tokens", []) if t.get("special")}
+    letters = _bytes_of_letters()
+    plain = (model.get("type") == "BPE" and content.get("normalizer") is None and len(special) == len(content.get("added_tokens", []))
+             and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+             and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+    if not plain or not all(c in vocabulary for c in letters):
+        return None
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    words = {token: rank for token, rank in vocabulary.items() if token not in special}
+    if (any(x >= y for x, y in zip(made, made[1:])) or (made and made[0] <= max(vocabulary[c] for c in letters))
+            or len(words) != len(letters) + len(made) or not all(c in letters for token in words for c in token)):
+        return None
+    import tiktoken
+    return tiktoken.Encoding("byte-pairs", pat_str=SPLIT, special_tokens={},
+                             mergeable_ranks={bytes(letters[c] for c in token): rank for token, rank in words.items()})
+
 
-    The byte-level vocabulary splits before a space that a word follows, so a text is
-    encoded as its chunks between spaces, each remembered. Longer runs of white space are
-    split elsewhere: texts that have them are encoded whole."""
+class Encoder:
+    """Token ids of texts by a tokenizer file, whole texts at a time.
 
-    _awkward = re.compile(r"\s\s\s|\s\s\Z")
-    _any_space = re.compile(r"\s")
-    _marks = ".,;:!?*#$%&|"
+    A file that is nothing but byte-level pairs is run by the byte-pair coder of tiktoken,
+    which gives the same ids in about half the time; any other file, and a text whose
+    white space is too much for that coder's splitter, by tokenizers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,82 +81,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        mark = self._encode(["\n"])[0]
-        self.mark = int(np.frombuffer(mark, self.kind)[0]) if len(mark) == self.kind.itemsize else None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember chunks. Letters with punctuation behind them split there, so such a
-        chunk is its letters' ids and its punctuation's."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        plain, odd, joined = set(), [], []
-        for chunk in chunks:
-            core = chunk.rstrip(self._marks)
-            if len(core) < len(chunk) and core.isalpha():
-                joined.append((chunk, core, chunk[len(core):]))
-                if core not in self.known:
-                    plain.add(core)
-            elif self.mark is None or not chunk or self._any_space.search(chunk):
-                odd.append(chunk)
-            else:
-                plain.add(chunk)
-        self.known.update(zip(odd, self._encode([" " + c for c in odd]), strict=True))
-        plain, width = list(plain), self.kind.itemsize
-        # Many chunks at once, a line feed between them.
-        for at in range(0, len(plain), 2_000):
-            part = plain[at:at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + c for c in part])], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) == len(part):
-                raw, bounds = ids.tobytes(), (ends * width).tolist()
-                encoded = [raw[a:b] for a, b in zip([0, *[e + width for e in bounds[:-1]]], bounds, strict=True)]
-            else:
-                encoded = self._encode([" " + c for c in part])
-            self.known.update(zip(part, encoded, strict=True))
-        for tail in {tail for _, _, tail in joined} - self.tails.keys():
-            self.tails[tail] = self._encode([tail])[0]
-        known, tails = self.known, self.tails
-        known.update([(chunk, known[core] + tails[tail]) for chunk, core, tail in joined])
-        if len(tails) > REMEMBERED // 50:
-            tails.clear()
+        self.pairs = _byte_pairs(path)
+
+    def _ids(self, text: str) -> np.ndarray:
+        if self.pairs is not None:
+            try:
+                return self.pairs.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # a run of white space too long for its splitter
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        result: list[bytes | None] = [None] * len(texts)
-        whole = [k for k, text in enumerate(texts) if self._awkward.search(text)]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            result[k] = ids
-        split = {k: text.split(" ") for k, text in enumerate(texts) if result[k] is None}
-        heads = self._encode([chunks.pop(0) for chunks in split.values()])
-        open_ = {}
-        for k, chunks in split.items():
-            found = list(map(self.known.get, chunks))
-            if None in found:
-                open_[k] = chunks
-            else:
-                result[k] = b"".join(found)
-        at = list(open_)
-        while at:  # a few texts at a time, so that what they need fits what is remembered
-            part, need, size = [], set(), 0
-            while at and (not part or size + len(open_[at[-1]]) <= REMEMBERED // 4):
-                size += len(open_[at[-1]])
-                part.append(at.pop())
-            for k in part:
-                need.update([c for c in open_[k] if c not in self.known])
-            if need:
-                held = len(self.known)
-                self._learn(need)
-                if len(self.known) < held:  # forgotten meanwhile
-                    self._learn(set().union(*(open_[k] for k in part)) - self.known.keys())
-            for k in part:
-                result[k] = b"".join(map(self.known.__getitem__, open_[k]))
-        for k, head in zip(split, heads, strict=True):
-            result[k] = head + result[k]
-        return result
+        return [self._ids(text).astype(self.kind).tobytes() for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
