@@ -44,14 +44,26 @@ def iso_ordinal(text) -> Column:
     return ordinal_day(F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(col, F.lit("yyyy-MM-dd")).cast("date")))
 
 
+# Control characters without a short escape whose number has a letter in it.
+_LETTERED = [k for k in range(0x20) if k % 16 > 9 and k not in (0x0A, 0x0C, 0x0D)]
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string; control characters as Python's encoder writes them, in lower case."""
+    plain = F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]\z", 1)
+    lowered = plain
+    for code in _LETTERED:
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), lowered).otherwise(plain)
+
+
 def json_string(text) -> Column:
     """A JSON string or null with the separators Python's encoder uses."""
     col = as_col(text)
-    return F.when(col.isNull(), F.lit("null")).otherwise(
-        F.regexp_extract(F.to_json(F.array(col)), r"(?s)^\[(.*)\]\z", 1))
+    return F.when(col.isNull(), F.lit("null")).otherwise(_quoted(col))
 
 
 def json_list(items) -> Column:
     """A JSON list of texts, ``", "`` between items."""
-    parts = F.transform(as_col(items), lambda item: F.regexp_extract(F.to_json(F.array(item)), r"(?s)^\[(.*)\]\z", 1))
+    parts = F.transform(as_col(items), _quoted)
     return F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))

@@ -1,4 +1,5 @@
 import html
+import json
 import re
 import unicodedata
 import uuid
@@ -80,3 +81,8 @@ def test_vectors(values):
     assert values([[3.0, 4.0]], vectors.l2_normalize, "array<double>") == [[0.6, 0.8]]
     assert values([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]], lambda c: vectors.masked_mean(c, F.array(F.lit(1), F.lit(1), F.lit(0))),
                   "array<array<double>>") == [[2.0, 3.0]]
+
+
+def test_json_control_characters_as_python_writes_them(values):
+    texts = ["a\x1fb\x0b", "\\u001F", "\\\x1f\x1f\n\x0c", "plain", 'q"\x7f\x01']
+    assert values(texts, ids.json_string) == [json.dumps(t, ensure_ascii=False) for t in texts]
