@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
 import numpy as np
 import pytest
 
-from lexspan.llm import (language_id, line_chunks, mixing, ngram_jaccard, packing, prefix_hash, quality, suffix_tree, unit_dedup)
+from lexspan.llm import (language_id, licenses, line_chunks, mixing, ngram_jaccard, packing, prefix_hash, quality, suffix_tree, unit_dedup)
 from lexspan.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -235,3 +236,48 @@ def test_mixing_reaches_budgets(docs, empty):
     again = mixing.select(docs, weights, share=0.5, max_epochs=2, levels=("lang", "source")).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert mixing.select(empty, weights, levels=("lang", "source")).count() == 0
+
+
+def test_encoder_gives_the_tokenizers_ids(tmp_path):
+    path = tokenizer_path()
+    encoder = packing.Encoder(path)
+    assert encoder.pairs is not None
+    texts = ["", " ", "a" * 5000, " " * 2_000_000 + "b", " \n" * 3000, "<|endoftext|> it's 12³ ½€", "東京 é  x \x00", _text(3, 500)]
+    rng = np.random.default_rng(4)
+    letters = list(" \n\t\ra Zé1²'sdt.,#$€你𝒜")
+    texts += ["".join(rng.choice(letters, 30)) for _ in range(500)]
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == wanted
+    # A file that does more than byte pairs goes to the other library.
+    content = json.loads(open(path, encoding="utf-8").read())
+    content["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(content), encoding="utf-8")
+    lower = packing.Encoder(str(other))
+    assert lower.pairs is None
+    assert np.frombuffer(lower.encode(["ABC Def"])[0], lower.kind).tolist() == lower.tokenizer.encode("abc def", add_special_tokens=False).ids
+
+
+def _pairs(text):
+    words = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    return {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
+
+
+def test_licence_paragraphs(spark, docs, empty):
+    notices = [(1000 + k, f"{_text(k, 30)}\n{notice}\n\n{_text(k + 50, 30)}", notice) for k, (_, notice) in enumerate(licenses.NOTICES)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([n[:2] for n in notices] + [notices[0][:2], (None, notices[1][1])], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in table.collect()}
+    found = licenses.scan(table).collect()
+    at = {i: t.split("\n").index(notice) for i, t, notice in notices}
+    hits = collections.Counter((r.doc_id, r.paragraph) for r in found if r.doc_id is not None and r.confirmed)
+    assert hits == collections.Counter({(i, k): 2 if i == notices[0][0] else 1 for i, k in at.items()})
+    assert any(r.doc_id is None for r in found)
+    family = {i: licenses.NOTICES[i - 1000][0] for i, _, _ in notices}
+    for r in found:
+        body = (text[r.doc_id] or "").split("\n")[r.paragraph]
+        own = _pairs(body)
+        best = max(len(own & _pairs(n)) / len(own | _pairs(n)) for f, n in licenses.NOTICES if f == r.family)
+        assert abs(r.similarity - best) < 1e-9 and r.confirmed == (best >= licenses.MIN_SIMILARITY) and 0.5 <= r.probability <= 1
+        if r.confirmed and r.doc_id is not None:
+            assert r.family == family[r.doc_id]
+    assert licenses.scan(empty).count() == 0
