@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexspan.llm.common import cut_lineage
 
+# Edges a task writes: tables of a few thousand links are not kept in a file per shuffle partition.
+ROWS_PER_TASK = 250_000
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -16,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (a, b) of longs; the component is
     the smallest node that links reach. Each round hangs the larger neighbours of a node,
     then the smaller ones, on its least neighbour; rounds grow with the logarithm of the
-    number of nodes. Every round is a written table; nothing is gathered at the driver."""
+    number of nodes. Every round is a written table; nothing is gathered at the driver.
+    Earlier results may be among the edges, as (node, component): they need no more rounds."""
     flat = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(flat)
     while state[0]:
@@ -28,9 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(parent, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                                                                 F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         flat = cut_lineage(small.select("e.a", "e.b").where("a != b").select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(-(-state[0] // ROWS_PER_TASK)))
         last, state = state, _state(flat)
         if state == last:
             break
-    return flat.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
+    # What no round changes is stars: one row for each node that is not the least of its component.
+    return flat.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         flat.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -238,6 +238,11 @@ def _apart(prefixes: DataFrame, known: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(apart, "column", "left_semi"))
 
 
+def _as_links(known: DataFrame) -> DataFrame:
+    """Components as the links (a, b) of each node to the least one."""
+    return known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are alike enough."""
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha"))
@@ -266,8 +271,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents with the class of their set, links (a, b) between classes). The links
-    connect exactly the classes that all links together would connect."""
+    """(documents with the class of their set, pairs (a, b) of classes). The pairs connect
+    exactly the classes that all links together would connect."""
     spark = docs.sparkSession
     blocks = 4 * shuffle_partitions(spark)
     sets = cut_lineage(shingle_sets(docs, id_col, text_col, blocks, size))
@@ -296,8 +301,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pivots = prefixes.groupBy("column").agg(F.min(F.struct("class", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = (prefixes.join(pivots, "column").select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("x"), "n")
              .where((F.col("a") != F.col("b")) & _least_share("x", "n") & _least_share("n", "x")).select("a", "b").distinct())
-    star_links = cut_lineage(_linked(stars, whole))
-    open_rows = _apart(prefixes, components(star_links))
+    known = components(_linked(stars, whole))
+    open_rows = _apart(prefixes, known)
     # A few more pivots, others for each of four sets of columns, for what is still apart.
     for turn in range(MORE_STARS):
         lot = F.xxhash64("class", F.pmod("column", F.lit(4)), F.lit(turn))
@@ -305,8 +310,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         stars = (open_rows.join(pivots, "column")
                  .where((F.col("p.component") != F.col("component")) & _within_bounds("p.n", "n", "p.listed", "listed", "p.place", "place", "merged"))
                  .select(F.greatest("p.class", "class").alias("a"), F.least("p.class", "class").alias("b")).distinct())
-        star_links = cut_lineage(star_links.unionByName(_linked(stars, whole)))
-        open_rows = _apart(prefixes, components(star_links))
+        known = components(_as_links(known).unionByName(_linked(stars, whole)))
+        open_rows = _apart(prefixes, known)
     # Product of what is still apart, column by column.
     salts = 8
     left = open_rows.select("column", F.pmod("class", F.lit(salts)).alias("salt"), F.col("class").alias("a"), F.col("n").alias("na"),
@@ -320,8 +325,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     product = (left.join(right, ["column", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _least_share("na", "nb")
                                                            & _least_share("nb", "na") & (follows >= needed))
                .select("a", "b").distinct())
-    links = star_links.unionByName(cut_lineage(_linked(product, whole)))
-    return sets, links
+    return sets, _as_links(known).unionByName(_linked(product, whole))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
