@@ -42,7 +42,7 @@ def _choose(column: str, values: dict[str, str], default: str | None):
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """One metadata row per document and per benchmark item (the latter without content)."""
     docs = table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("title"),
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"),
         F.concat(F.col("n_chars").cast("string"), F.lit("/"), F.upper("lang")).alias("so_ky_hieu"),
         _choose("lang", SCOPE_OF_LANGUAGE, None).alias("pham_vi"),
         _choose("source", ISSUER_OF_SOURCE, "Bộ Tư pháp").alias("co_quan_ban_hanh"),
@@ -50,7 +50,7 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("lang") == "fr", " ").when(F.col("lang") == "de", "31/12/2021").alias("ngay_het_hieu_luc"),
         F.when(F.col("lang") == "en", "Còn hiệu lực").otherwise("Hết hiệu lực").alias("tinh_trang_hieu_luc"))
     items = table(spark, folder, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 60).alias("title"),
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("title"),
         F.lit(None).cast("string").alias("so_ky_hieu"), F.lit(None).cast("string").alias("pham_vi"),
         F.lit(None).cast("string").alias("co_quan_ban_hanh"), F.lit(None).cast("string").alias("ngay_ban_hanh"),
         F.lit(None).cast("string").alias("ngay_het_hieu_luc"), F.lit(None).cast("string").alias("tinh_trang_hieu_luc"))
@@ -84,13 +84,13 @@ def _sql_case(column: str, values: dict[str, str], default: str) -> str:
 
 VIEWS_SQL = {
     "metadata": f"""metadata AS (
-  SELECT CAST(doc_id AS VARCHAR) id, substr(text, 1, 60) title, n_chars || '/' || upper(lang) so_ky_hieu,
+  SELECT CAST(doc_id AS VARCHAR) id, text title, n_chars || '/' || upper(lang) so_ky_hieu,
          {_sql_case('lang', SCOPE_OF_LANGUAGE, 'NULL')} pham_vi,
          {_sql_case('source', ISSUER_OF_SOURCE, "'Bộ Tư pháp'")} co_quan_ban_hanh, '15/06/2020' ngay_ban_hanh,
          CASE lang WHEN 'fr' THEN ' ' WHEN 'de' THEN '31/12/2021' END ngay_het_hieu_luc,
          CASE lang WHEN 'en' THEN 'Còn hiệu lực' ELSE 'Hết hiệu lực' END tinh_trang_hieu_luc
   FROM documents
-  UNION ALL SELECT 'b' || item_id, substr(text, 1, 60), NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
+  UNION ALL SELECT 'b' || item_id, text, NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
     "content": """content AS (
   SELECT CAST(doc_id AS VARCHAR) id, text content_html, doc_id row_index FROM documents
   UNION ALL SELECT 'p' || page_id, html, page_id FROM pages)""",
