@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key with at least this many rows is hot. Hot keys number at most
-# rows / HOT_ROWS, which is what makes the table of hot keys safe to broadcast.
-HOT_ROWS = 1_000_000
+# A key with at least this many rows is hot. Only the MOST_HOT largest of them are broadcast,
+# whatever the number of rows; the keys after them own less than one part in MOST_HOT each
+# and go through the shuffle like any other.
+HOT_ROWS, MOST_HOT = 1_000_000, 10_000
 
 # Upper size of a side that is broadcast after its size has been measured.
 BROADCAST_ROWS = 500_000
@@ -38,7 +39,11 @@ def attach_by_key(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
                   values: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join per-key values from a table with one row per key that counts the rows of
     ``df`` with that key."""
-    return _attach(df, groups.where(F.col(size) >= hot_rows), groups.where(F.col(size) < hot_rows), keys, values)
+    return _attach(df, _hottest(groups, keys, size, hot_rows), groups, keys, values)
+
+
+def _hottest(groups: DataFrame, keys: Sequence[str], size: str, hot_rows: int) -> DataFrame:
+    return groups.where(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(MOST_HOT)
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: dict[str, str], values: Sequence[str],
@@ -50,9 +55,10 @@ def lookup(df: DataFrame, dim: DataFrame, keys: dict[str, str], values: Sequence
     """
     named = dim.select(*[F.col(d).alias(k) for k, d in keys.items()], *values)
     names = list(keys)
-    hot_keys = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows).select(*names)
+    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     for name in names:
-        hot_keys = hot_keys.where(F.col(name).isNotNull())
+        counts = counts.where(F.col(name).isNotNull())
+    hot_keys = _hottest(counts, names, "__n", hot_rows).select(*names)
     hot = hot_keys.join(named.join(F.broadcast(hot_keys), names, "left_semi"), names, "left")
     return _attach(df, hot, named, names, values)
 

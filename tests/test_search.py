@@ -108,7 +108,9 @@ def test_composed_searches(spark):
     assert [r.article_id for r in legal["sparse"].collect()] == ["a"]
 
 
-def test_skewed_joins_agree_with_plain_ones(spark):
+@pytest.mark.parametrize("most", [skew.MOST_HOT, 2])
+def test_skewed_joins_agree_with_plain_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(skew, "MOST_HOT", most)
     rows = [(i, "hot" if i % 3 == 0 else ("ghost" if i % 5 == 0 else (None if i % 7 == 0 else f"k{i % 11}"))) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, key string").repartition(4)
     dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 10 + i) for i in range(11)], "name string, value int")
