@@ -281,3 +281,57 @@ def test_licence_paragraphs(spark, docs, empty):
         if r.confirmed and r.doc_id is not None:
             assert r.family == family[r.doc_id]
     assert licenses.scan(empty).count() == 0
+
+
+def _tree_score(train, texts):
+    """Suffix tree scores by the module's definition, in plain Python."""
+    count = collections.Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    root = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    entries, rests = [], []
+
+    def predict(context, word, depth):
+        if depth == 0:
+            return root(word)
+        context = context[len(context) - depth:]
+        if (context, word) in entries[depth - 1]:
+            return entries[depth - 1][context, word]
+        return rests[depth - 1].get(context, 1.0) * predict(context, word, depth - 1)
+
+    while len(rests) < 2 or rests[-1]:
+        depth, follow = len(rests) + 1, collections.defaultdict(collections.Counter)
+        for t in train:
+            for k in range(depth, len(t)):
+                follow[tuple(t[k - depth:k])][t[k]] += 1
+        new, factors = {}, {}
+        for context, nexts in follow.items():
+            if depth > 2 and context[1:] not in rests[-1]:
+                continue
+            total = nexts.total()
+            rows = [(w, c, (c - suffix_tree.DISCOUNT) / total, predict(context, w, depth - 1)) for w, c in nexts.items() if c >= suffix_tree.MIN_COUNT]
+            rows = [r for r in rows if r[1] * abs(np.log(r[2] / r[3])) >= suffix_tree.ENTRY_GAIN]
+            factor = max(1e-9, 1 - sum(r[2] for r in rows)) / max(1e-9, 1 - sum(r[3] for r in rows))
+            if rows and sum(c * np.log(p / q) for _, c, p, q in rows) + (total - sum(r[1] for r in rows)) * np.log(factor) >= suffix_tree.STATE_GAIN:
+                factors[context] = factor
+                new |= {(context, w): p for w, _, p, _ in rows}
+        entries.append(new)
+        rests.append(factors)
+    return len([r for r in rests if r]), [sum(np.log10(predict(tuple(t[:k]), w, min(k, len(rests)))) for k, w in enumerate(t)) for t in texts]
+
+
+@pytest.mark.parametrize("share", [None, 0.02])
+def test_tree_is_whole(spark, monkeypatch, share):
+    from pyspark.sql import functions as F
+    if share:  # most words and runs take the join
+        monkeypatch.setattr(suffix_tree, "KNOWN_SHARE", share)
+        monkeypatch.setattr(suffix_tree, "RUN_SHARE", share)
+    rng = np.random.default_rng(3)
+    # What follows "x y z" depends on the word before it, and words are rare.
+    parts = [[f"{a} x y z {b}" for a, b in zip("pqrs", "efgh")] + ["x y z k", "y z m", "z o"], [f"r{k} s{k} t{k}" for k in range(30)]]
+    texts = [" ".join(parts[int(rng.random() < 0.3)][int(rng.integers(0, 7))] for _ in range(60)) + f" u{k}" for k in range(24)] + [None, ""]
+    tokens = [[*WORD.findall(t or ""), "\0"] for t in texts]
+    depth, expected = _tree_score([t for k, t in enumerate(tokens) if k % 5], tokens)
+    assert depth >= 3
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree.score(table, F.col("doc_id") % 5 != 0).collect()}
+    assert len(got) == len(texts) and all(abs(got[k] - e) < 1e-6 * max(1, -e) for k, e in enumerate(expected))
