@@ -59,7 +59,7 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return unit_dedup.removals(table(spark, folder, "documents")).drop("tie")
+    return unit_dedup.removals(table(spark, folder, "documents"), nested=False).drop("tie")
 
 
 # Production parameters of the mix: weights by level, relative to siblings.

@@ -335,3 +335,15 @@ def test_tree_is_whole(spark, monkeypatch, share):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in suffix_tree.score(table, F.col("doc_id") % 5 != 0).collect()}
     assert len(got) == len(texts) and all(abs(got[k] - e) < 1e-6 * max(1, -e) for k, e in enumerate(expected))
+
+
+def test_lines_of_short_sentences_go(spark):
+    short = "En la des et. Tai. Réle eau.\nTwo words\n\nYes."
+    wide = "これは長い文の一つである。別の文がここに続いている。"
+    rows = [(1, short), (2, "Own line.\n" + short), (3, short), (4, wide + "終わり。"), (5, "始まり。" + wide),
+            (6, "One sentence has six whole words. Tail a."), (7, "Head b. One sentence has six whole words.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text.strip() for r in unit_dedup.remove(table).collect()}
+    assert left == {1: short, 2: "Own line.", 3: "", 4: rows[3][1], 5: "始まり。", 6: rows[5][1], 7: "Head b."}
+    found = sorted((r.doc_id, r.start, r.length) for r in unit_dedup.removals(table, nested=False).collect())
+    assert all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(found, found[1:]))
