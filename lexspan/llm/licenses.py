@@ -2,7 +2,8 @@
 
 Paragraphs (lines) become sparse counts of words and word pairs; a multinomial logistic
 regression names a licence family or ``unknown``. It is fitted on the notices below and on
-a bounded sample of paragraphs, which a comparison with the notices labels. An isotonic
+a bounded sample of distinct paragraphs, which a comparison with the notices labels; each
+family and the paragraphs that only mention a licence have rows of their own. An isotonic
 fit on the notices and the other paragraphs that were left out turns 1 - P(unknown) into the probability of a licence,
 and a prediction stands if that is at least ``MIN_PROBABILITY``; everything else is the
 unknown class. Comparison with the family's notices then confirms the prediction.
@@ -15,14 +16,15 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexspan.llm.common import cut_lineage
 
 UNKNOWN = "unknown"
 MIN_PROBABILITY, MIN_SIMILARITY, SURE_SIMILARITY = 0.5, 0.5, 0.8
-# Bounds of the sample: paragraphs that mention a licence, and others.
-CUED_ROWS, OTHER_ROWS = 2_000, 4_000
+# Bounds of the sample of distinct paragraphs: those of a family, those that mention a
+# licence without being a notice, and others.
+FAMILY_ROWS, CUED_ROWS, OTHER_ROWS = 500, 2_000, 4_000
 CUE = r"(?i)licen[cs]e|copyright|public domain|creative commons|permission is|without warranty|redistribut"
 
 # Public notices by licence family.
@@ -72,17 +74,30 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .where(F.trim("body") != ""))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
+def _sampled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct (body, family) that mention a licence, and distinct (body) that do not."""
     lines = paragraphs(docs, id_col, text_col).select("body")
     order = F.xxhash64(F.lit(31), "body")
-    cued = lines.where(F.col("body").rlike(CUE)).orderBy(order, "body").limit(CUED_ROWS)
-    others = lines.where(~F.col("body").rlike(CUE)).orderBy(order, "body").limit(OTHER_ROWS)
-    runs = _runs(F.col("body"))
-    marked = cued.select("body", runs.alias("runs"))
-    best = F.greatest(*[F.struct(similarity(F.col("runs"), F.lit(name)).alias("s"), F.lit(name).alias("family")) for name in FAMILIES[1:]])
-    cued = marked.withColumn("best", best).where((F.col("best.s") >= SURE_SIMILARITY) | (F.col("best.s") < MIN_SIMILARITY)).select(
-        "body", F.when(F.col("best.s") >= SURE_SIMILARITY, F.col("best.family")).otherwise(UNKNOWN).alias("family"))
+    cue, best = F.col("body").rlike(CUE), F.greatest(*[F.struct(similarity(F.col("runs"), F.lit(name)).alias("s"), F.lit(name).alias("family"))
+                                                       for name in FAMILIES[1:]])
+    # Compared once each: as a table, and as a generator's output, filters stay above them.
+    cued = cut_lineage(lines.where(cue).distinct()).select("body", F.inline(F.array(F.struct(_runs(F.col("body")).alias("runs")))))
+    cued = cued.select("body", F.inline(F.array(F.struct(best.alias("best")))))
+    cued = cut_lineage(cued.where((F.col("best.s") >= SURE_SIMILARITY) | (F.col("best.s") < MIN_SIMILARITY)).select(
+        "body", F.when(F.col("best.s") >= SURE_SIMILARITY, F.col("best.family")).otherwise(UNKNOWN).alias("family")))
+    place, known = F.row_number().over(Window.partitionBy("family").orderBy(order, "body")), F.col("family") != UNKNOWN
+    # Each limit by itself, so that tasks cut their rows before the shuffle.
+    cued = (cued.where(known).withColumn("place", place).where(F.col("place") <= FAMILY_ROWS).drop("place")
+            .unionByName(cued.where(~known).orderBy(order, "body").limit(CUED_ROWS)))
+    # Only hashes are shuffled for the distinct others: their bound, then the lines up to it.
+    last = lines.where(~cue).select(order.alias("h")).distinct().orderBy("h").limit(OTHER_ROWS).agg(F.max("h")).first()[0]
+    others = lines.where(~cue & (order <= F.lit(last))).distinct() if last is not None else lines.limit(0)
+    return cued, others
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    cued, others = _sampled(docs, id_col, text_col)
     fixed = spark.createDataFrame([(notice, family) for family, notice in NOTICES for _ in range(5)], "body string, family string")
     return cued.unionByName(others.withColumn("family", F.lit(UNKNOWN))).unionByName(fixed)
 
@@ -109,7 +124,7 @@ class Classifier:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Classifier from the notices and at most CUED_ROWS + OTHER_ROWS paragraphs."""
+    """Classifier from the notices and a bounded sample of distinct paragraphs."""
     sample = _labelled(docs, id_col, text_col)
     index = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
     sample = sample.withColumn("__label", index.cast("double")).withColumn("__part", F.pmod(F.xxhash64(F.lit(5), "body"), F.lit(4)))

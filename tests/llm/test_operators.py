@@ -347,3 +347,19 @@ def test_lines_of_short_sentences_go(spark):
     assert left == {1: short, 2: "Own line.", 3: "", 4: rows[3][1], 5: "始まり。", 6: rows[5][1], 7: "Head b."}
     found = sorted((r.doc_id, r.start, r.length) for r in unit_dedup.removals(table, nested=False).collect())
     assert all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_licence_sample_is_of_distinct_lines(spark, monkeypatch):
+    for name, bound in (("FAMILY_ROWS", 2), ("CUED_ROWS", 5), ("OTHER_ROWS", 7)):
+        monkeypatch.setattr(licenses, name, bound, raising=False)
+    hot = ["Released under the MIT License.", "a licence fee of ten", "plain text line"]
+    lines = hot * 300 + [notice for _, notice in licenses.NOTICES] + [f"the licence number {k}" for k in range(20)] + [f"other line {k}" for k in range(20)]
+    rows = licenses._labelled(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), "doc_id", "text").collect()
+    fixed = collections.Counter((notice, family) for family, notice in licenses.NOTICES for _ in range(5))
+    found = collections.Counter((r.body, r.family) for r in rows)
+    found.subtract(fixed)
+    found = +found
+    assert set(found.values()) == {1}
+    families = collections.Counter(family for _, family in found)
+    assert families[licenses.UNKNOWN] == 12 and all(families[f] in (1, 2) for f in licenses.FAMILIES[1:])
+    assert sum(bool(re.search(licenses.CUE, body)) for body, family in found if family == licenses.UNKNOWN) == 5
