@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.llm import (language_id, licenses, line_chunks, mixing, ngram_jaccard, packing, prefix_hash, quality,
-                         suffix_tree, unit_dedup)
+from lexspan.llm import (configuration_packing, language_id, licenses, line_chunks, mask_search, merkle, mixing, ngram_jaccard, packing,
+                         prefix_hash, quality, suffix_tree, unit_dedup)
 from lexspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,24 @@ ORACLES["op9_line_chunks"] = line_chunks.SQL
 @_query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@_query
+def op11_mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return mask_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=10)
+
+
+ORACLES["op11_mask_search"] = mask_search.SQL
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.SQL
+
+
+@_query
+def op13_configuration_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return configuration_packing.pack(table(spark, folder, "documents"), tokenizer_path())

@@ -94,7 +94,6 @@ def test_fingerprints(spark, rows, empty):
 def test_packing_is_a_partition_of_all_tokens(docs, rows, empty):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows[:-2]}
     pieces = packing.pack(docs.where("doc_id < 29"), tokenizer_path()).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
