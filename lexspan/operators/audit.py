@@ -53,7 +53,7 @@ def latest_content(facts: DataFrame) -> DataFrame:
 
 def _metadata_json(metadata: DataFrame) -> Column:
     parts = []
-    for name in sorted(c for c in metadata.columns if c != "id"):
+    for name in sorted(c for c in metadata.columns if c not in ("id", "row_index")):
         parts += [F.lit(f'{", " if parts else ""}"{name}": '), json_string(F.col(name).cast("string"))]
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
@@ -102,7 +102,7 @@ def decide(metadata: DataFrame, facts: DataFrame, members: DataFrame) -> DataFra
     kinds = members.groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     rows = metadata.join(latest_content(facts).withColumn("joined", F.lit(True)), "id", "left").join(kinds, "id", "left")
     rows = rows.select(
-        "id", "title", "so_ky_hieu", F.col("pham_vi").alias("pham_vi_raw"), scope_reason("pham_vi").alias("scope_reason"),
+        "row_index", "id", "title", "so_ky_hieu", F.col("pham_vi").alias("pham_vi_raw"), scope_reason("pham_vi").alias("scope_reason"),
         F.col("co_quan_ban_hanh").alias("issuer"), issuer_signal("co_quan_ban_hanh").alias("issuer_signal"),
         F.coalesce("content_state", F.lit("missing_content_row")).alias("content_state"),
         F.coalesce("raw_sha256", F.lit("")).alias("raw_sha256"), F.coalesce("text_sha256", F.lit("")).alias("text_sha256"),
@@ -134,6 +134,27 @@ def decisions(metadata: DataFrame, content: DataFrame, hot_rows: int = HOT_ROWS)
     return decide(metadata, facts, duplicate_members(cut_lineage(group_keys(metadata, facts)), hot_rows))
 
 
+def latest_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per id: of repeated ids the last one in input order; combines map-side."""
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "row_index").alias("last")).select("id", "last.*")
+
+
+def corpus_counts(metadata: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows, distinct ids and distinct scope values, as (metric, value, count). Distinct
+    values are rows of an aggregate, so no set is built in one task."""
+    def total(metric: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit(metric).alias("metric"), F.lit("").alias("value"), "count")
+
+    ids, bodies, scopes = metadata.select("id").distinct(), facts.groupBy("id").agg(F.count(F.lit(1)).alias("n")), metadata.select("pham_vi").distinct()
+    parts = [total("metadata_unique_ids", ids), total("content_rows", facts), total("content_unique_ids", bodies),
+             total("orphan_content_ids", bodies.join(ids, "id", "left_anti")), total("scope_raw_value_count", scopes),
+             total("scope_normalized_value_count", scopes.select(norm("pham_vi").alias("value")).distinct())]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionAll(part)
+    return found
+
+
 def orphan_content(content: DataFrame, metadata: DataFrame) -> DataFrame:
     return (content.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
             .join(metadata.select("id"), "id", "left_anti"))
@@ -184,8 +205,8 @@ def edge_audit(edges: DataFrame, decided: DataFrame, hot_rows: int = HOT_ROWS) -
 
     An endpoint may own a large share of the edges, so both lookups split hot keys off.
     """
-    state = cut_lineage(decided.groupBy("id").agg(F.max(F.struct("primary_reason", "scope_reason")).alias("s")).select(
-        "id", F.col("s.primary_reason").alias("state"), F.col("s.scope_reason").alias("scope")))
+    state = cut_lineage(latest_rows(decided, "primary_reason", "scope_reason").select(
+        "id", F.col("primary_reason").alias("state"), F.col("scope_reason").alias("scope")))
     ends = lookup(edges, state.select("id", F.col("state").alias("source_state"), F.col("scope").alias("source_scope")),
                   {"doc_id": "id"}, ["source_state", "source_scope"], hot_rows)
     ends = lookup(ends, state.select("id", F.col("state").alias("target_state")), {"other_doc_id": "id"},
@@ -243,6 +264,13 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("doc_id", "other_doc_id", "relationship").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
+def duplicate_edge_counts(edges: DataFrame) -> DataFrame:
+    """Groups of equal edges and the rows beyond the first of each, as (metric, value, count)."""
+    sums = duplicate_edges(edges).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("excess"))
+    return sums.select(F.expr("stack(2, 'duplicate_groups', groups, 'duplicate_excess_rows', excess) AS (metric, count)")).select(
+        "metric", F.lit("").alias("value"), "count")
+
+
 def dangling_edges(edges: DataFrame, metadata: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges with an end that has no metadata, each once."""
     known = metadata.select("id").distinct().withColumn("known", F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexspan.functions.classify import EMPLOYMENT_TERMS, WORKSHEET_TERMS, employment_reasons, scope_reason
 from lexspan.functions.columns import first_reason
-from lexspan.operators.audit import INCLUDE
+from lexspan.operators.audit import INCLUDE, latest_rows
 from lexspan.operators.skew import HOT_ROWS, lookup, top_k
 
 AMENDMENT_RELATIONS = (
@@ -64,10 +64,11 @@ def directed_edges(touching: DataFrame) -> DataFrame:
 
 
 def review_roles(metadata: DataFrame, decided: DataFrame, seed_ids: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Role and eligibility of every document to review. Ids without metadata dangle."""
+    """Role and eligibility of every document to review. Ids without metadata dangle; of
+    repeated ids the last row counts."""
     review = seed_ids.select("id", F.lit(True).alias("seed")).unionByName(dependencies.select("id", F.lit(False).alias("seed")))
-    meta = metadata.dropDuplicates(["id"]).select("id", "title", "so_ky_hieu", "pham_vi", F.lit(True).alias("known"))
-    audit = decided.dropDuplicates(["id"]).select("id", "primary_reason", "content_state")
+    meta = latest_rows(metadata, "title", "so_ky_hieu", "pham_vi").withColumn("known", F.lit(True))
+    audit = latest_rows(decided, "primary_reason", "content_state")
     rows = review.join(meta, "id", "left").join(audit, "id", "left")
     scope = scope_reason("pham_vi")
     role = first_reason((F.col("known").isNull(), "dangling_dependency"), (F.col("seed"), "employment_seed"),

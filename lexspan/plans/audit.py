@@ -71,7 +71,7 @@ members AS (SELECT * FROM (SELECT kind, group_id, id, count(*) OVER (PARTITION B
 DECISIONS_SQL = f"""{sql_with('metadata', 'content')}, {FACTS_SQL}, {MEMBERS_SQL},
 kinds AS (SELECT id, list_sort(list_distinct(list('duplicate_' || kind))) kinds FROM members GROUP BY id),
 lastrow AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_index DESC) = 1),
-base AS (SELECT m.id, m.title, m.pham_vi, {_scope('m.pham_vi')} scope_reason, m.co_quan_ban_hanh issuer,
+base AS (SELECT m.row_index, m.id, m.title, m.pham_vi, {_scope('m.pham_vi')} scope_reason, m.co_quan_ban_hanh issuer,
   {_issuer('m.co_quan_ban_hanh')} issuer_signal, coalesce(f.content_state, 'missing_content_row') content_state,
   coalesce(f.raw_sha256, '') raw_sha256, coalesce(f.text_sha256, '') text_sha256,
   coalesce(f.visible_characters, 0) visible_characters,
@@ -85,15 +85,16 @@ flagged AS (SELECT *, list_concat(list_filter([
     CASE WHEN issuer_signal IN ('missing_or_unknown_issuer', 'unrecognized_issuer') THEN issuer_signal END,
     CASE WHEN content_state <> 'present' THEN content_state END], lambda x: x IS NOT NULL), coalesce(kinds, [])) flags FROM base),
 decided AS (SELECT *, CASE WHEN scope_reason <> 'central_exact' THEN scope_reason WHEN len(flags) > 0
-    THEN 'quarantine_' || flags[1] ELSE 'include_for_employment_review' END primary_reason FROM flagged)"""
+    THEN 'quarantine_' || flags[1] ELSE 'include_for_employment_review' END primary_reason FROM flagged),
+audits AS (SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_index DESC) = 1)"""
 
 
-def audit_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return metadata(spark, folder), spread(content(spark, folder), "id")
+def audit_tables(spark: SparkSession, folder: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    return metadata(spark, folder, ordered), spread(content(spark, folder, ordered), "id")
 
 
 def decided(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.decisions(*audit_tables(spark, folder))
+    return audit.decisions(*audit_tables(spark, folder, ordered=True))
 
 
 @query(f"""{sql_with('metadata')} SELECT {_QUOTE.format('pham_vi')} raw_value_json, {sql_norm('pham_vi')} normalized_value,
@@ -120,11 +121,11 @@ def html_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
         "text_sha256", F.sha2("visible", 256))
 
 
-@query(f"""{DECISIONS_SQL} SELECT id, title, pham_vi pham_vi_raw, scope_reason, issuer, issuer_signal, content_state, raw_sha256, text_sha256,
+@query(f"""{DECISIONS_SQL} SELECT row_index, id, title, pham_vi pham_vi_raw, scope_reason, issuer, issuer_signal, content_state, raw_sha256, text_sha256,
 visible_characters, expiry_state, reported_status, primary_reason, array_to_string(flags, '|') flags FROM decided""")
 def document_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return decided(spark, folder).select(
-        "id", "title", "pham_vi_raw", "scope_reason", "issuer", "issuer_signal", "content_state", "raw_sha256", "text_sha256",
+        "row_index", "id", "title", "pham_vi_raw", "scope_reason", "issuer", "issuer_signal", "content_state", "raw_sha256", "text_sha256",
         "visible_characters", "expiry_state", "reported_status", "primary_reason", F.array_join("flags", "|").alias("flags"))
 
 
@@ -152,9 +153,18 @@ UNION ALL SELECT 'blank_expiry_all', '' FROM decided WHERE expiry_state = 'unkno
 UNION ALL SELECT 'blank_expiry_central', '' FROM decided WHERE expiry_state = 'unknown_expiry' AND scope_reason = 'central_exact'
 UNION ALL SELECT 'blank_expiry_by_reported_status', coalesce(reported_status, 'None') FROM decided WHERE expiry_state = 'unknown_expiry'
 UNION ALL SELECT 'overlapping_issue_counts', unnest(flags) FROM decided)
-SELECT metric, value, count(*) count FROM items GROUP BY ALL""")
+SELECT metric, value, count(*) count FROM items GROUP BY ALL
+UNION ALL SELECT 'metadata_unique_ids', '', count(DISTINCT id) FROM metadata
+UNION ALL SELECT 'content_rows', '', count(*) FROM content
+UNION ALL SELECT 'content_unique_ids', '', count(DISTINCT id) FROM content
+UNION ALL SELECT 'orphan_content_ids', '', count(DISTINCT id) FROM content WHERE id NOT IN (SELECT id FROM metadata)
+UNION ALL SELECT 'scope_raw_value_count', '', count(*) FROM (SELECT DISTINCT pham_vi FROM metadata)
+UNION ALL SELECT 'scope_normalized_value_count', '', count(DISTINCT {sql_norm('pham_vi')}) FROM metadata""")
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.summary(decided(spark, folder))
+    meta, body = audit_tables(spark, folder, ordered=True)
+    facts = cut_lineage(audit.content_facts(body))
+    rows = audit.decide(meta, facts, audit.duplicate_members(cut_lineage(audit.group_keys(meta, facts))))
+    return audit.summary(rows).unionByName(audit.corpus_counts(meta, facts))
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,7 +234,7 @@ def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
 EDGES_SQL = f"""{DECISIONS_SQL}, {sql_with('relationships')[5:]},
 ends AS (SELECT e.*, coalesce(s.primary_reason, 'missing_metadata') source_state, coalesce(t.primary_reason, 'missing_metadata') target_state,
   coalesce(s.scope_reason = 'central_exact', false) central_source
-  FROM relationships e LEFT JOIN decided s ON e.doc_id = s.id LEFT JOIN decided t ON e.other_doc_id = t.id),
+  FROM relationships e LEFT JOIN audits s ON e.doc_id = s.id LEFT JOIN audits t ON e.other_doc_id = t.id),
 audited AS (SELECT *, list_filter([
   CASE WHEN source_state = 'missing_metadata' THEN 'source_missing_metadata' END,
   CASE WHEN target_state = 'missing_metadata' THEN 'target_missing_metadata' END,
@@ -252,9 +262,12 @@ UNION ALL SELECT 'relationship_types', coalesce(relationship, 'None') FROM audit
 UNION ALL SELECT 'central_source_edges', '' FROM audited WHERE central_source
 UNION ALL SELECT 'included_source_edges', '' FROM audited WHERE source_state = 'include_for_employment_review'
 UNION ALL SELECT 'central_source_target_states', target_state FROM audited WHERE central_source
-UNION ALL SELECT 'flag', unnest(flags) FROM audited) SELECT metric, value, count(*) count FROM items GROUP BY ALL""")
+UNION ALL SELECT 'flag', unnest(flags) FROM audited),
+twice AS (SELECT count(*) n FROM relationships GROUP BY doc_id, other_doc_id, relationship HAVING count(*) > 1)
+SELECT metric, value, count(*) count FROM items GROUP BY ALL
+UNION ALL SELECT 'duplicate_groups', '', count(*) FROM twice UNION ALL SELECT 'duplicate_excess_rows', '', coalesce(sum(n - 1), 0) FROM twice""")
 def edge_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.edge_metrics(_edges(spark, folder))
+    return audit.edge_metrics(_edges(spark, folder)).unionByName(audit.duplicate_edge_counts(relationships(spark, folder)))
 
 
 @query(f"""{EDGES_SQL}, r AS (SELECT 'missing_source' AS role, doc_id id FROM audited WHERE source_state = 'missing_metadata'

@@ -26,14 +26,14 @@ review AS (SELECT id, true seed FROM seeds UNION ALL SELECT id, false FROM deps)
 roles AS (SELECT r.id, d.title, CASE WHEN d.id IS NOT NULL THEN d.scope_reason END source_scope_reason, d.primary_reason audit_primary_reason,
   d.content_state, CASE WHEN d.id IS NULL THEN 'dangling_dependency' WHEN seed THEN 'employment_seed'
     WHEN d.scope_reason = 'central_exact' THEN 'central_dependency_candidate' ELSE 'excluded_dependency' END stage_role
-  FROM review r LEFT JOIN decided d ON r.id = d.id),
+  FROM review r LEFT JOIN audits d ON r.id = d.id),
 staged AS (SELECT *, coalesce(stage_role IN ('employment_seed', 'central_dependency_candidate')
   AND audit_primary_reason = 'include_for_employment_review' AND content_state = 'present', false) searchable_candidate FROM roles)"""
 
 
 def _seeds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    meta = metadata(spark, folder)
-    audit = cut_lineage(decided(spark, folder).select("id", "primary_reason", "content_state"))
+    meta = metadata(spark, folder, ordered=True)
+    audit = cut_lineage(decided(spark, folder).select("id", "row_index", "primary_reason", "content_state"))
     return meta, audit, staging.seeds(meta, audit, TERMS)
 
 

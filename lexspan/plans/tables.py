@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexspan.sources.readers import read_in_order
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -39,9 +41,23 @@ def _choose(column: str, values: dict[str, str], default: str | None):
     return chain.otherwise(F.lit(default).cast("string"))
 
 
-def metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """One metadata row per document and per benchmark item (the latter without content)."""
-    docs = table(spark, folder, "documents").select(
+def _shared_id(number: str, prefix: str):
+    """Odd numbers stand for the id of a document, which so occurs again; even ones for ids of their own."""
+    return F.when(F.col(number) % 2 == 1, F.col(number).cast("string")).otherwise(F.concat(F.lit(prefix), F.col(number).cast("string")))
+
+
+def _rows(spark: SparkSession, folder: str, names: list[str], ordered: bool) -> list[DataFrame]:
+    if ordered:
+        return read_in_order(spark, *(f"{folder}/{name}.parquet" for name in names))
+    return [table(spark, folder, name).withColumn("row_index", F.lit(None).cast("long")) for name in names]
+
+
+def metadata(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
+    """One metadata row per document and per benchmark item; every second item repeats the
+    id of a document. ``row_index`` is the place in the input if ``ordered``, else NULL."""
+    texts, listed = _rows(spark, folder, ["documents", "benchmark"], ordered)
+    docs = texts.select(
+        "row_index",
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"),
         F.concat(F.col("n_chars").cast("string"), F.lit("/"), F.upper("lang")).alias("so_ky_hieu"),
         _choose("lang", SCOPE_OF_LANGUAGE, None).alias("pham_vi"),
@@ -49,22 +65,20 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("15/06/2020").alias("ngay_ban_hanh"),
         F.when(F.col("lang") == "fr", " ").when(F.col("lang") == "de", "31/12/2021").alias("ngay_het_hieu_luc"),
         F.when(F.col("lang") == "en", "Còn hiệu lực").otherwise("Hết hiệu lực").alias("tinh_trang_hieu_luc"))
-    items = table(spark, folder, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("title"),
+    items = listed.select(
+        "row_index", _shared_id("item_id", "b").alias("id"), F.col("text").alias("title"),
         F.lit(None).cast("string").alias("so_ky_hieu"), F.lit(None).cast("string").alias("pham_vi"),
         F.lit(None).cast("string").alias("co_quan_ban_hanh"), F.lit(None).cast("string").alias("ngay_ban_hanh"),
         F.lit(None).cast("string").alias("ngay_het_hieu_luc"), F.lit(None).cast("string").alias("tinh_trang_hieu_luc"))
     return docs.unionByName(items)
 
 
-def content(spark: SparkSession, folder: str) -> DataFrame:
-    """Content rows in input order: every document text, then every page under its own id."""
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content_html"), F.col("doc_id").alias("row_index"))
-    pages = table(spark, folder, "pages").select(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("content_html"),
-        F.col("page_id").alias("row_index"))
-    return docs.unionByName(pages)
+def content(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
+    """Content rows: every document text, then every page; every second page is a later row
+    of a document."""
+    texts, pages = _rows(spark, folder, ["documents", "pages"], ordered)
+    return texts.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content_html"), "row_index").unionByName(
+        pages.select(_shared_id("page_id", "p").alias("id"), F.col("html").alias("content_html"), "row_index"))
 
 
 def relationships(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,16 +98,18 @@ def _sql_case(column: str, values: dict[str, str], default: str) -> str:
 
 VIEWS_SQL = {
     "metadata": f"""metadata AS (
-  SELECT CAST(doc_id AS VARCHAR) id, text title, n_chars || '/' || upper(lang) so_ky_hieu,
+  SELECT row_number() OVER () - 1 row_index, CAST(doc_id AS VARCHAR) id, text title, n_chars || '/' || upper(lang) so_ky_hieu,
          {_sql_case('lang', SCOPE_OF_LANGUAGE, 'NULL')} pham_vi,
          {_sql_case('source', ISSUER_OF_SOURCE, "'Bộ Tư pháp'")} co_quan_ban_hanh, '15/06/2020' ngay_ban_hanh,
          CASE lang WHEN 'fr' THEN ' ' WHEN 'de' THEN '31/12/2021' END ngay_het_hieu_luc,
          CASE lang WHEN 'en' THEN 'Còn hiệu lực' ELSE 'Hết hiệu lực' END tinh_trang_hieu_luc
   FROM documents
-  UNION ALL SELECT 'b' || item_id, text, NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
+  UNION ALL SELECT (SELECT count(*) FROM documents) + row_number() OVER () - 1, CASE WHEN item_id % 2 = 1 THEN '' ELSE 'b' END || item_id, text,
+         NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
     "content": """content AS (
-  SELECT CAST(doc_id AS VARCHAR) id, text content_html, doc_id row_index FROM documents
-  UNION ALL SELECT 'p' || page_id, html, page_id FROM pages)""",
+  SELECT CAST(doc_id AS VARCHAR) id, text content_html, row_number() OVER () - 1 row_index FROM documents
+  UNION ALL SELECT CASE WHEN page_id % 2 = 1 THEN '' ELSE 'p' END || page_id, html,
+         (SELECT count(*) FROM documents) + row_number() OVER () - 1 FROM pages)""",
     "relationships": f"""relationships AS (
   SELECT CAST(l_orderkey AS VARCHAR) doc_id, CAST(l_partkey AS VARCHAR) other_doc_id,
          {_sql_case('l_returnflag', RELATION_OF_FLAG, 'NULL')} relationship FROM lineitem)""",

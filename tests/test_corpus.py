@@ -4,18 +4,18 @@ from pyspark.sql import functions as F
 from lexspan.operators import audit, chunks, parse, staging
 
 META = ("id string, title string, so_ky_hieu string, pham_vi string, co_quan_ban_hanh string, ngay_ban_hanh string, "
-        "ngay_het_hieu_luc string, tinh_trang_hieu_luc string")
+        "ngay_het_hieu_luc string, tinh_trang_hieu_luc string, row_index long")
 
 
 @pytest.fixture(scope="module")
 def small(spark):
     meta = spark.createDataFrame([
-        ("1", "Thử việc", "1/L", "Trung ương", "Bộ Lao động", "01/01/2020", None, "x"),
-        ("2", "Thử việc", "2/L", "Trung ương", "UBND tỉnh A", "01/01/2020", " ", "x"),
-        ("3", "t", "3/L", "Tỉnh A", "Bộ Lao động", "01/01/2020", "d", "x"),
-        ("4", "t", " 4/l ", "Trung ương", "Bộ  Lao động", "01/01/2020", None, "y"),
-        ("5", "t", "4/L", "Trung ương", "bộ lao động", "01/01/2020", None, "z"),
-        ("6", "Nghỉ lễ", "6/L", "Trung ương", "Chính phủ", "01/01/2020", None, None)], META)
+        ("1", "Thử việc", "1/L", "Trung ương", "Bộ Lao động", "01/01/2020", None, "x", 0),
+        ("2", "Thử việc", "2/L", "Trung ương", "UBND tỉnh A", "01/01/2020", " ", "x", 1),
+        ("3", "t", "3/L", "Tỉnh A", "Bộ Lao động", "01/01/2020", "d", "x", 2),
+        ("4", "t", " 4/l ", "Trung ương", "Bộ  Lao động", "01/01/2020", None, "y", 3),
+        ("5", "t", "4/L", "Trung ương", "bộ lao động", "01/01/2020", None, "z", 4),
+        ("6", "Nghỉ lễ", "6/L", "Trung ương", "Chính phủ", "01/01/2020", None, None, 5)], META)
     body = spark.createDataFrame([("1", "<p>A</p>", 0), ("2", "<p>B</p>", 1), ("3", "<p>C</p>", 2), ("4", "<p>D</p>", 3), ("5", "<p> D </p>", 4),
                                   ("1", "<p>A2</p>", 5), ("9", "<p>E</p>", 6), ("6", "<p>F</p>", 7)], "id string, content_html string, row_index long")
     return meta, body, audit.decisions(meta, body)
@@ -32,6 +32,25 @@ def test_decisions_flags_and_primary_reason(small):
     assert total.rows == total.scope_total == total.primary_total == 6 and total.central_rows == total.central_primary_total == 5
 
 
+def test_last_row_of_a_repeated_id_wins(spark, small):
+    meta, body, _ = small
+    later = meta.where("id = '6'").withColumns({"pham_vi": F.lit(None).cast("string"), "title": F.lit("later"), "row_index": F.lit(99).cast("long")})
+    both = meta.unionByName(later).repartition(5)
+    decided = audit.decisions(both, body)
+    assert [(r.primary_reason, r.row_index) for r in decided.where("id = '6'").orderBy("row_index").collect()] == [
+        ("quarantine_duplicate_bibliographic_identity", 5), ("quarantine_missing_scope", 99)]
+    edges = spark.createDataFrame([("6", "6", "x")], "doc_id string, other_doc_id string, relationship string")
+    assert audit.edge_audit(edges, decided).first().source_state == "quarantine_missing_scope"
+    seed = spark.createDataFrame([("6",)], "id string")
+    role = staging.review_roles(both, decided, seed, seed.where("false")).first()
+    assert (role.title, role.audit_primary_reason, role.source_scope_reason) == ("later", "quarantine_missing_scope", "quarantine_missing_scope")
+    counts = {r.metric: r["count"] for r in audit.corpus_counts(both, audit.content_facts(body)).collect()}
+    assert counts == {"metadata_unique_ids": 6, "content_rows": 8, "content_unique_ids": 7, "orphan_content_ids": 1,
+                      "scope_raw_value_count": 3, "scope_normalized_value_count": 3}
+    twice = edges.unionAll(edges).unionAll(edges)
+    assert {r.metric: r["count"] for r in audit.duplicate_edge_counts(twice).collect()} == {"duplicate_groups": 1, "duplicate_excess_rows": 2}
+
+
 def test_duplicate_ledger_splits_hot_groups(small):
     keys = audit.group_keys(small[0], audit.content_facts(small[1]))
     plain = sorted(audit.duplicate_members(keys).collect())

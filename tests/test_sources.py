@@ -133,3 +133,16 @@ def test_streams_match_the_batch(spark, tmp_path):
         encode.encode_available(spark, source, raw.schema, lambda df: df.select("trace_id"), vectors, progress, 1)
         assert spark.read.parquet(vectors).count() == count
         raw.write.mode("append").parquet(source)
+
+
+def test_row_index_is_the_place_in_the_input(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for folder, files in (("a", [("2", 3), ("1", 70), ("3", 0)]), ("b", [("1", 5)])):
+        (tmp_path / folder).mkdir()
+        for name, n in files:
+            pq.write_table(pa.table({"x": [f"{folder}{name}-{k}" for k in range(n)]}), tmp_path / folder / f"{name}.parquet", row_group_size=8)
+    first, second = readers.read_in_order(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    got = [r.x for r in sorted(first.collect() + second.collect(), key=lambda r: r.row_index)]
+    assert got == [f"a1-{k}" for k in range(70)] + [f"a2-{k}" for k in range(3)] + [f"b1-{k}" for k in range(5)]
+    assert sorted(r.row_index for r in first.repartition(3).collect()) == list(range(73))
