@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from lexspan.functions.classify import EMPLOYMENT_TERMS, WORKSHEET_TERMS, employment_reasons, scope_reason
 from lexspan.functions.columns import first_reason
 from lexspan.operators.audit import INCLUDE, latest_rows
+from lexspan.operators import parse
 from lexspan.operators.skew import HOT_ROWS, lookup, top_k
+from lexspan.session import cut_lineage
 
 AMENDMENT_RELATIONS = (
     "Sửa đổi, bổ sung", "Văn bản được sửa đổi", "Văn bản bổ sung", "Hợp nhất", "Thay thế", "Bãi bỏ",
@@ -87,6 +89,27 @@ def role_counts(roles: DataFrame) -> DataFrame:
                                            F.count_if("searchable_candidate").alias("eligible"))
 
 
+def stage_documents(content: DataFrame, roles: DataFrame, patterns: parse.Patterns = parse.Patterns(),
+                    max_chars: int = parse.MAX_CHARS) -> tuple[DataFrame, dict[str, int]]:
+    """Parsed documents with their status, of all that may be searched, and the counters of
+    the step. The counters are observed while the rows are written, without another scan."""
+    chosen = content.join(roles.where("searchable_candidate").select("id"), "id", "left_semi")
+    rows = parse.with_status(parse.parse_documents(chosen, patterns=patterns, max_chars=max_chars))
+    status, seen = F.col("status"), Observation()
+    staged = cut_lineage(rows.observe(
+        seen, F.count(F.lit(1)).alias("attempted_documents"),
+        F.count_if(status == "segmented").alias("documents_with_successful_article_segmentation"),
+        F.count_if(status == "zero_article").alias("zero_article_documents"),
+        F.count_if(status == "quarantined_layout").alias("quarantined_layout_documents"),
+        F.coalesce(F.sum(F.when(status == "segmented", F.col("article_count"))), F.lit(0)).alias("article_versions")))
+    return staged, seen.get
+
+
+def staged_articles(staged: DataFrame, prefix: str = "lexspan") -> DataFrame:
+    """Articles of the documents that the ledger does not hold back."""
+    return parse.articles(staged.where(F.col("status") == "segmented"), prefix)
+
+
 # Rows of the review list per bucket.
 PRIORITY_SIZES = {"employment_seed": 20, "central_dependency_candidate": 15, "not_included_dependency": 10,
                   "dangling_dependency": 5}

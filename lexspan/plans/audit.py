@@ -47,7 +47,7 @@ def _issuer(expr: str) -> str:
 
 _QUOTE = "CASE WHEN {0} IS NULL THEN 'null' ELSE CAST(to_json({0}) AS VARCHAR) END"
 _META_FIELDS = sorted(("title", "so_ky_hieu", "pham_vi", "co_quan_ban_hanh", "ngay_ban_hanh", "ngay_het_hieu_luc",
-                       "tinh_trang_hieu_luc"))
+                       "tinh_trang_hieu_luc", "linh_vuc"))
 _META_JSON = "'{' || " + " || ', ' || ".join(f"'\"{c}\": ' || {_QUOTE.format(c)}" for c in _META_FIELDS) + " || '}'"
 
 FACTS_SQL = f"""vis AS (SELECT id, row_index, content_html body, {sql_visible('content_html')} shown FROM content),
@@ -71,7 +71,7 @@ members AS (SELECT * FROM (SELECT kind, group_id, id, count(*) OVER (PARTITION B
 DECISIONS_SQL = f"""{sql_with('metadata', 'content')}, {FACTS_SQL}, {MEMBERS_SQL},
 kinds AS (SELECT id, list_sort(list_distinct(list('duplicate_' || kind))) kinds FROM members GROUP BY id),
 lastrow AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_index DESC) = 1),
-base AS (SELECT m.row_index, m.id, m.title, m.pham_vi, {_scope('m.pham_vi')} scope_reason, m.co_quan_ban_hanh issuer,
+base AS (SELECT m.row_index, m.id, m.title, m.linh_vuc, m.pham_vi, {_scope('m.pham_vi')} scope_reason, m.co_quan_ban_hanh issuer,
   {_issuer('m.co_quan_ban_hanh')} issuer_signal, coalesce(f.content_state, 'missing_content_row') content_state,
   coalesce(f.raw_sha256, '') raw_sha256, coalesce(f.text_sha256, '') text_sha256,
   coalesce(f.visible_characters, 0) visible_characters,

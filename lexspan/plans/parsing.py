@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexspan.functions import spans
 from lexspan.operators import chunks, parse
-from lexspan.plans.audit import _NO_MARKUP, sql_entities
+from lexspan.plans import parse_sql
 from lexspan.plans.registry import query
 from lexspan.plans.tables import spread, sql_collapse, table
 
 # Patterns that occur in the given pages, in place of the legal headings.
-PATTERNS = parse.Patterns(heading=r"(?u)^(\p{Lu}\p{L}*) ", chapter=r"(?u)\b(?:The|Und|Les|Las)\b", section=r"(?u)\b(?:Of|Die|Des|De)\b",
+PATTERNS = parse.Patterns(heading=r"(?u)^(\p{Lu}\p{L}*) ", chapter=r"(?u)(?<!\p{L})(?:The|Und|Les|Las)(?!\p{L})", section=r"(?u)(?<!\p{L})(?:Of|Die|Des|De)(?!\p{L})",
                           clause=r"^\s*(\d+)\.\s+", point=r"(?iu)^\s*([a-z])\)\s+")
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content_html")), "id")
+    return spread(table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("content_html")), "id")
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,41 +61,60 @@ def token_windows_440_48(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.word_windows(docs, ["doc_id"], "text").select("doc_id", "word_start", "word_end", "char_start", "text")
 
 
-@query()
+_SRC = "src AS (SELECT CAST(page_id AS VARCHAR) id, html FROM pages)"
+_LAYOUT = f"WITH RECURSIVE {_SRC}, {parse_sql.LAYOUT}"
+_ARTICLES = _LAYOUT + ", " + parse_sql.articles(r"^(\p{Lu}\p{L}*) ", r"(?:^|\P{L})(The|Und|Les|Las)(?:\P{L}|$)", r"(?:^|\P{L})(Of|Die|Des|De)(?:\P{L}|$)",
+                                               r"(?i)^\s*([a-z])\)\s+")
+_CHUNKS = f"{_ARTICLES}, {parse_sql.CHARACTERS}, {parse_sql.chunks(600)}"
+
+
+@query(f'{_LAYOUT} SELECT id, "start", "end", text FROM blocks')
 def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return parse.html_blocks(_pages(spark, folder))
 
 
-@query()
+@query(f"{_LAYOUT} SELECT id, reason, source_start, source_end FROM anomalies")
 def layout_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return parse.layout_anomalies(_pages(spark, folder))
 
 
-@query()
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return parse.parse_documents(_pages(spark, folder), patterns=PATTERNS, max_chars=600)
+
+
+@query(f"""{_CHUNKS} SELECT id document_id, article_id, label, chapter, section, source_start, source_end, canonical_text,
+(SELECT count(*) FROM pieces p WHERE p.article_id = s.article_id) children,
+(SELECT count(*) FROM nodes n WHERE n.id = s.id AND n.article = s.article) nodes FROM shown s""")
 def parse_articles(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = parse.parse_documents(_pages(spark, folder), patterns=PATTERNS)
-    return parse.articles(parsed, 600).select("document_id", "article_id", "label", "chapter", "section", "source_start", "source_end",
-                                              "canonical_text", F.size("chunks").alias("children"), F.size("hierarchy").alias("nodes"))
+    return parse.articles(_parsed(spark, folder)).select("document_id", "article_id", "label", "chapter", "section", "source_start", "source_end",
+                                                         "canonical_text", F.size("chunks").alias("children"), F.size("hierarchy").alias("nodes"))
 
 
-@query()
+@query(f"""{_CHUNKS} SELECT {parse_sql.sql_uuid5("'lexspan:' || article_id || ':' || child_index")} child_id, article_id parent_article_id, id document_id, child_index,
+CASE WHEN len(path) > 1 THEN path[len(path)] END AS label, source_start, source_end, {parse_sql.sql_shown("substr(html, source_start + 1, source_end - source_start)")} canonical_text
+FROM pieces""")
 def char_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = parse.parse_documents(_pages(spark, folder), patterns=PATTERNS)
-    return parse.children(parse.articles(parsed, 600)).select(
+    return parse.children(parse.articles(_parsed(spark, folder))).select(
         "child_id", "parent_article_id", "document_id", "child_index", "label", "source_start", "source_end", "canonical_text")
 
 
-@query()
+@query(f"{_ARTICLES}, {parse_sql.LEDGER} SELECT document_id, article_count, status, array_to_string(reasons, '|') reasons FROM ledger")
 def parse_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    rows = parse.parse_ledger(parse.parse_documents(_pages(spark, folder), patterns=PATTERNS))
+    rows = parse.parse_ledger(_parsed(spark, folder))
     return rows.select("document_id", "article_count", "status", F.array_join("reasons", "|").alias("reasons"))
 
 
-_SEPARATORS = "|".join(parse.SEPARATOR_TAGS)
-_SHOWN = (f"regexp_replace(regexp_replace({_NO_MARKUP.format('html').replace(chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g', chr(39) * 2 + ', ' + chr(39) + 'g')}, "
-          f"'(?i)</?\\s*(?:{_SEPARATORS})(?:[^\\w:>-][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')")
+@query(f"""WITH {_SRC}, {parse_sql.CHARACTERS},
+q AS (SELECT id, text, bs, es, trim(substr(text, length(text) // 3 + 1, 60)) quote FROM page),
+f AS (SELECT *, strpos(text, quote) ix FROM q)
+SELECT id, quote, CAST(ix - 1 AS INT) text_start, bs[ix] source_start, es[ix + length(quote) - 1] source_end FROM f""")
+def quote_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where sixty characters from the middle of each page's visible text stand in its markup."""
+    shown = _pages(spark, folder).withColumn("text", parse.visible_text("content_html"))
+    quoted = shown.select("id", "content_html", F.trim(F.substring("text", (F.length("text") / 3).cast("int") + 1, F.lit(60))).alias("quote"))
+    return spans.quote_spans(quoted, "content_html", "quote")
 
 
-@query(f"SELECT page_id id, {sql_collapse(sql_entities(_SHOWN))} canonical_text FROM pages")
+@query(f"SELECT CAST(page_id AS VARCHAR) id, {parse_sql.sql_shown('html')} canonical_text FROM pages")
 def visible_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("id", parse.visible_text("content_html").alias("canonical_text"))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.operators import curation, staging
+from lexspan.functions import classify
+from lexspan.operators import curation, parse, staging
+from lexspan.plans import parse_sql
 from lexspan.plans.audit import DECISIONS_SQL, decided
 from lexspan.plans.registry import query
 from lexspan.plans.policy import _HEADING, TOPICS
-from lexspan.plans.tables import metadata, relationships, sql_with, table
+from lexspan.plans.tables import metadata, relationships, sql_with, statutes, table
 from lexspan.session import cut_lineage
 
-# Title terms that occur in the given tables, in place of the employment terms.
-TERMS = ("and", "tion", "eau", "ion")
 CORE_IDS = ["1", "7", "42", "120"]
 
-_HAS_TERM = " OR ".join(f"contains(replace(lower(title), 'ß', 'ss'), '{t}')" for t in TERMS)
+_TITLE = "replace(lower(title), 'ß', 'ss')"
+_HAS_TERM = " OR ".join(f"contains({_TITLE}, '{t}')" for t in classify.EMPLOYMENT_TERMS) + (
+    f" OR contains({_TITLE}, 'hợp đồng') AND contains({_TITLE} || ' ' || lower(coalesce(linh_vuc, '')), 'lao động')")
 STAGE_SQL = f"""{DECISIONS_SQL}, {sql_with('relationships')[5:]},
 seeds AS (SELECT id FROM decided WHERE scope_reason = 'central_exact' AND primary_reason = 'include_for_employment_review' AND ({_HAS_TERM})),
 touching AS (SELECT * FROM (SELECT *, doc_id IN (SELECT id FROM seeds) source_seed, other_doc_id IN (SELECT id FROM seeds) target_seed
@@ -34,7 +36,7 @@ staged AS (SELECT *, coalesce(stage_role IN ('employment_seed', 'central_depende
 def _seeds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     meta = metadata(spark, folder, ordered=True)
     audit = cut_lineage(decided(spark, folder).select("id", "row_index", "primary_reason", "content_state"))
-    return meta, audit, staging.seeds(meta, audit, TERMS)
+    return meta, audit, staging.seeds(meta, audit)
 
 
 def _touching(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -101,6 +103,54 @@ def priority_topn(spark: SparkSession, folder: str) -> DataFrame:
     return staging.priority_list(_roles(spark, folder)).drop("title", "so_ky_hieu")
 
 
+# Visible characters per passage of the staged markup.
+PASSAGE_CHARS = 400
+_STAGED_SQL = "WITH RECURSIVE " + STAGE_SQL.removeprefix("WITH ") + f""", {sql_with('statutes')[5:]},
+src AS (SELECT * FROM statutes WHERE id IN (SELECT id FROM staged WHERE searchable_candidate)), {parse_sql.LAYOUT},
+{parse_sql.LEGAL_ARTICLES}, {parse_sql.LEDGER}"""
+
+
+def _staged(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
+    return staging.stage_documents(statutes(spark, folder), cut_lineage(_roles(spark, folder)), max_chars=PASSAGE_CHARS)
+
+
+@query(f"{_STAGED_SQL} SELECT document_id, article_count, status, array_to_string(reasons, '|') reasons FROM ledger")
+def staging_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return _staged(spark, folder)[0].select("document_id", "article_count", "status", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(f"""{_STAGED_SQL} SELECT unnest(['attempted_documents', 'documents_with_successful_article_segmentation', 'zero_article_documents',
+'quarantined_layout_documents', 'article_versions']) counter, unnest([count(*), count(*) FILTER (status = 'segmented'), count(*) FILTER (status = 'zero_article'),
+count(*) FILTER (status = 'quarantined_layout'), coalesce(sum(article_count) FILTER (status = 'segmented'), 0)]) count FROM ledger""")
+def staging_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(list(_staged(spark, folder)[1].items()), "counter string, count long")
+
+
+@query(f"""{_STAGED_SQL} SELECT article_id, id document_id, label, chapter, section, source_start, source_end, canonical_text,
+array_to_string(list_sort(list_distinct(regexp_extract_all(canonical_text, '{parse_sql.REFERENCE}')[2:])), '|') cross_references,
+(SELECT string_agg(n.path || '@' || n."start" || '-' || n."end", '|' ORDER BY n."start", length(n.path)) FROM nodes n WHERE n.id = s.id AND n.article = s.article) hierarchy
+FROM shown s WHERE id IN (SELECT document_id FROM ledger WHERE status = 'segmented')""")
+def staged_articles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = staging.staged_articles(_staged(spark, folder)[0])
+    node = F.transform("hierarchy", lambda n: F.concat(F.array_join(n["structure_path"], " > "), F.lit("@"), n["source_start"].cast("string"), F.lit("-"),
+                                                       n["source_end"].cast("string")))
+    return rows.select("article_id", "document_id", "label", "chapter", "section", "source_start", "source_end", "canonical_text",
+                       F.array_join("cross_references", "|").alias("cross_references"), F.array_join(node, "|").alias("hierarchy"))
+
+
+@query(f"""{_STAGED_SQL}, {parse_sql.CHARACTERS}, {parse_sql.chunks(PASSAGE_CHARS)},
+good AS (SELECT document_id FROM ledger WHERE status = 'segmented')
+SELECT article_id, article_id || ':article' child_id, canonical_text, NULL AS path FROM shown WHERE id IN (FROM good) AND article_id NOT IN (SELECT article_id FROM pieces)
+UNION ALL SELECT article_id, {parse_sql.sql_uuid5("'lexspan:' || article_id || ':' || child_index")}, {parse_sql.sql_shown("substr(html, source_start + 1, source_end - source_start)")},
+array_to_string(path, ' > ') FROM pieces WHERE id IN (FROM good)""")
+def staged_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Children where an article has them, else the article."""
+    rows = cut_lineage(staging.staged_articles(_staged(spark, folder)[0]))
+    parts = parse.children(rows)
+    paths = parts.select("child_id", F.array_join("structure_path", " > ").alias("path"))
+    return parse.passages(rows, parts).join(paths, "child_id", "left").select("article_id", "child_id", "canonical_text", "path")
+
+
 _CORE = ", ".join(f"'{i}'" for i in CORE_IDS)
 
 

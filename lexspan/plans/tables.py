@@ -30,6 +30,10 @@ ISSUER_OF_SOURCE = {
     "src0": "Bộ Tài chính, UBND tỉnh An Giang", "src1": "Bộ Lao động", "src2": "Chính phủ", "src3": "Chưa xác định",
     "src4": "Quốc hội", "src5": "Sở Tư pháp", "src6": "Bộ  Nội vụ", "src7": "", "src8": "Thủ tướng Chính phủ",
     "src9": "Công ty A", "src10": "Ngân hàng Nhà nước Việt Nam", "src11": "Ngân hàng Nhà nước Việt Nam, Chưa xác định"}
+# What the titles of some sources begin with, and the field of the sources' documents.
+TITLE_OF_SOURCE = {"src1": "Hợp đồng lao động: ", "src2": "Nghỉ PHÉP và thử việc: ", "src4": "Hợp đồng số: ", "src6": "HỢP ĐỒNG thuê: ", "src8": "Tiền lương: ",
+                   "src9": "Làm thêm giờ: ", "src10": "Thời giờ làm việc: "}
+FIELD_OF_SOURCE = {"src4": "Lao động - Tiền lương", "src6": "Đất đai"}
 RELATION_OF_FLAG = {"R": "Sửa đổi, bổ sung", "A": "Căn cứ", "N": "  "}
 
 
@@ -58,7 +62,8 @@ def metadata(spark: SparkSession, folder: str, ordered: bool = False) -> DataFra
     texts, listed = _rows(spark, folder, ["documents", "benchmark"], ordered)
     docs = texts.select(
         "row_index",
-        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(_choose("source", TITLE_OF_SOURCE, ""), F.col("text")).alias("title"), _choose("source", FIELD_OF_SOURCE, None).alias("linh_vuc"),
         F.concat(F.col("n_chars").cast("string"), F.lit("/"), F.upper("lang")).alias("so_ky_hieu"),
         _choose("lang", SCOPE_OF_LANGUAGE, None).alias("pham_vi"),
         _choose("source", ISSUER_OF_SOURCE, "Bộ Tư pháp").alias("co_quan_ban_hanh"),
@@ -66,7 +71,7 @@ def metadata(spark: SparkSession, folder: str, ordered: bool = False) -> DataFra
         F.when(F.col("lang") == "fr", " ").when(F.col("lang") == "de", "31/12/2021").alias("ngay_het_hieu_luc"),
         F.when(F.col("lang") == "en", "Còn hiệu lực").otherwise("Hết hiệu lực").alias("tinh_trang_hieu_luc"))
     items = listed.select(
-        "row_index", _shared_id("item_id", "b").alias("id"), F.col("text").alias("title"),
+        "row_index", _shared_id("item_id", "b").alias("id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("linh_vuc"),
         F.lit(None).cast("string").alias("so_ky_hieu"), F.lit(None).cast("string").alias("pham_vi"),
         F.lit(None).cast("string").alias("co_quan_ban_hanh"), F.lit(None).cast("string").alias("ngay_ban_hanh"),
         F.lit(None).cast("string").alias("ngay_het_hieu_luc"), F.lit(None).cast("string").alias("tinh_trang_hieu_luc"))
@@ -88,6 +93,28 @@ def relationships(spark: SparkSession, folder: str) -> DataFrame:
         _choose("l_returnflag", RELATION_OF_FLAG, None).alias("relationship"))
 
 
+# Markup for one line of a document, by its number from 0 modulo 12; {k} is the number, {t} the escaped line.
+STATUTE_LINES = (
+    "<h2>CHƯƠNG {k}</h2><p>{t}</p>", "<p>Điều {k}. {t}</p>", "<p>1. {t}</p>", "<p>a) {t}</p>", "<li>{t} <b>theo</b> điều {k}/2a và Điều {k}</li>", "<p>2. {t}</p>",
+    "<td>Đ) {t}</td>", "<p>Mục {k}</p><div>- Điều {k}b {t}</div>", "<!-- {t} --><div>&nbsp;Điều {k} {t}</div>", "{t}<br>", "<p>b) {t}</p><style>p</style>",
+    "<div>{t}<p>3. {t}</p></div>")
+
+
+def statutes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as markup with chapters, sections, articles, clauses and points: a line is a
+    block or two. One in twelve stays open, a twelfth line makes mixed content."""
+    def block(line, number):
+        markup = F.element_at(F.array(*[F.lit(m) for m in STATUTE_LINES]), (number % 12 + 1).cast("int"))
+        return F.replace(F.replace(markup, F.lit("{k}"), (number + 1).cast("string")), F.lit("{t}"), line)
+
+    text = F.coalesce("text", F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    markup = F.array_join(F.transform(F.split(text, "\n"), block), "\n")
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.when(F.col("doc_id") % 12 == 5, "<div>").otherwise(""), markup).alias("content_html"))
+
+
 def queries_from_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -98,18 +125,22 @@ def _sql_case(column: str, values: dict[str, str], default: str) -> str:
 
 VIEWS_SQL = {
     "metadata": f"""metadata AS (
-  SELECT row_number() OVER () - 1 row_index, CAST(doc_id AS VARCHAR) id, text title, n_chars || '/' || upper(lang) so_ky_hieu,
+  SELECT row_number() OVER () - 1 row_index, CAST(doc_id AS VARCHAR) id,
+         {_sql_case('source', TITLE_OF_SOURCE, "''")} || text title, {_sql_case('source', FIELD_OF_SOURCE, 'NULL')} linh_vuc, n_chars || '/' || upper(lang) so_ky_hieu,
          {_sql_case('lang', SCOPE_OF_LANGUAGE, 'NULL')} pham_vi,
          {_sql_case('source', ISSUER_OF_SOURCE, "'Bộ Tư pháp'")} co_quan_ban_hanh, '15/06/2020' ngay_ban_hanh,
          CASE lang WHEN 'fr' THEN ' ' WHEN 'de' THEN '31/12/2021' END ngay_het_hieu_luc,
          CASE lang WHEN 'en' THEN 'Còn hiệu lực' ELSE 'Hết hiệu lực' END tinh_trang_hieu_luc
   FROM documents
   UNION ALL SELECT (SELECT count(*) FROM documents) + row_number() OVER () - 1, CASE WHEN item_id % 2 = 1 THEN '' ELSE 'b' END || item_id, text,
-         NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark)""",
     "content": """content AS (
   SELECT CAST(doc_id AS VARCHAR) id, text content_html, row_number() OVER () - 1 row_index FROM documents
   UNION ALL SELECT CASE WHEN page_id % 2 = 1 THEN '' ELSE 'p' END || page_id, html,
          (SELECT count(*) FROM documents) + row_number() OVER () - 1 FROM pages)""",
+    "statutes": f"""statutes AS (SELECT CAST(doc_id AS VARCHAR) id, CASE WHEN doc_id % 12 = 5 THEN '<div>' ELSE '' END || array_to_string(list_transform(
+  string_split(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)), lambda line, i: replace(replace(
+    [{', '.join(f"'{m}'" for m in STATUTE_LINES)}][(i - 1) % 12 + 1], '{{k}}', CAST(i AS VARCHAR)), '{{t}}', line)), chr(10)) html FROM documents)""",
     "relationships": f"""relationships AS (
   SELECT CAST(l_orderkey AS VARCHAR) doc_id, CAST(l_partkey AS VARCHAR) other_doc_id,
          {_sql_case('l_returnflag', RELATION_OF_FLAG, 'NULL')} relationship FROM lineitem)""",

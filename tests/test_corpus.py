@@ -1,6 +1,11 @@
+import html
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexspan.functions import spans
 from lexspan.operators import audit, chunks, parse, staging
 
 META = ("id string, title string, so_ky_hieu string, pham_vi string, co_quan_ban_hanh string, ngay_ban_hanh string, "
@@ -91,7 +96,7 @@ def test_edges_seeds_and_roles(spark, small):
 
 def articles_of(spark, html, size=6000):
     docs = spark.createDataFrame([("d", html)], "id string, content_html string")
-    return parse.articles(parse.parse_documents(docs), size)
+    return parse.articles(parse.parse_documents(docs, max_chars=size))
 
 
 def test_headings_and_references(spark):
@@ -169,3 +174,56 @@ def test_embedding_records_fail_closed(spark):
         bad = row[:place] + (value,) + row[place + 1:]
         with pytest.raises(Exception, match=why):
             chunks.embedding_records(spark.createDataFrame([bad], schema)).collect()
+
+
+def _shown_letters(raw):
+    """Every visible character that is no space, with its place, by cutting the markup letter by letter."""
+    found, at = [], 0
+    while at < len(raw):
+        hidden = re.match(r"(?is)<!--.*?-->|<(head|script|style|title)\b[^>]*>.*?</\1\s*>|<[^>]*>?", raw[at:])
+        entity = re.match(r"(?s)&[^;]*;", raw[at:])
+        size = len((hidden or entity).group(0)) if hidden or entity else 1
+        if not hidden:
+            found += [(c, at, at + size) for c in html.unescape(raw[at:at + size]) if not c.isspace()]
+        at += size
+    return found
+
+
+def test_span_map_against_single_letters():
+    rng = random.Random(3)
+    bits = ["a", "bc", "é ", "  ", "<p>", "</p>", "<b>", "<br>", "&amp;", "&nbsp;", "&zzz;", "&NotEqualTilde;", "<!-- x -->", "<script>q</script>", "&", "word", "<", "\n"]
+    for _ in range(1500):
+        raw = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        mapped, letters = spans.spans_of(raw), _shown_letters(raw)
+        places = [i for i, c in enumerate(mapped.text) if c != " "]
+        assert [(mapped.text[i], mapped.markup_end(i)[0]) for i in places] == [(c, e) for c, _, e in letters]
+        a, b = sorted((rng.randint(0, len(raw)), rng.randint(0, len(raw))))
+        inside = [i for i, (_, s, e) in zip(places, letters) if s >= a and e <= b]
+        assert mapped.shown(a, b) == (inside[-1] - inside[0] + 1 if inside else 0)
+
+
+def test_quotes_are_found_in_the_markup(spark):
+    page = "<p>Giá &amp; sách<b>vở</b></p><td>thư&nbsp;viện</td>"
+    rows = [("one", page, "& sáchvở thư"), ("absent", page, "báo"), ("empty", page, ""), ("null", None, "x"), ("no quote", page, None), ("end", page, "n"),
+            ("many", "<i>x</i> " * 3000 + "&lt;đích&gt;", "<đích>")]
+    docs = spark.createDataFrame(rows, "id string, content_html string, quote string").repartition(3)
+    got = {r.id: r for r in spans.quote_spans(docs, "content_html", "quote").collect()}
+    assert page[got["one"].source_start:got["one"].source_end] == "&amp; sách<b>vở</b></p><td>thư" and got["one"].text_start == 4
+    assert all(got[k].text_start is None and got[k].source_start is None for k in ("absent", "empty", "null", "no quote"))
+    many = rows[-1][1]
+    assert many[got["many"].source_start:got["many"].source_end] == "&lt;đích&gt;" and page[got["end"].source_start:got["end"].source_end] == "n"
+
+
+def test_staging_chain_counts_what_it_writes(spark):
+    docs = spark.createDataFrame([("ok", "<p>Điều 1. A</p><p>1. " + "sách " * 30 + "</p>"), ("two", "<p>Điều 1. A</p><p>Điều 2. B</p>"), ("none", "<p>x</p>"),
+                                  ("open", "<div><p>Điều 1. A</p>"), ("barred", "<p>Điều 1. A</p>"), ("null", None)], "id string, content_html string")
+    roles = spark.createDataFrame([(i, i != "barred") for i in ("ok", "two", "none", "open", "barred", "null", "absent")], "id string, searchable_candidate boolean")
+    staged, counters = staging.stage_documents(docs, roles, max_chars=60)
+    assert counters == {"attempted_documents": 5, "documents_with_successful_article_segmentation": 2, "zero_article_documents": 2,
+                        "quarantined_layout_documents": 1, "article_versions": 3}
+    assert {r.document_id: r.status for r in staged.collect()} == {"ok": "segmented", "two": "segmented", "none": "zero_article", "open": "quarantined_layout", "null": "zero_article"}
+    articles = staging.staged_articles(staged)
+    passages = parse.passages(articles, parse.children(articles)).collect()
+    assert articles.count() == 3 and sum(p.document_id == "two" and p.child_id.endswith(":article") for p in passages) == 2
+    assert sum(p.document_id == "ok" for p in passages) == 4
+    assert staging.stage_documents(docs, roles.where("false"))[1]["attempted_documents"] == 0
