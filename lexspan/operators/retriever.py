@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexspan.operators import bm25, dense, fusion, policy
-from lexspan.operators.skew import bounded_broadcast
 from lexspan.session import cut_lineage
 
 Rerank = Column | Callable[[DataFrame], DataFrame]
@@ -29,7 +28,7 @@ def _with_sources(fused: DataFrame, hits: DataFrame, articles: DataFrame, limit:
     rows = rows.drop("rank").join(matched, ["query_id", "article_id"], "left")
     # Candidates are queries x depth rows, read from tables; when their count shows them
     # small they are broadcast and the article side stays where it is.
-    return articles.join(bounded_broadcast(rows), "article_id")
+    return articles.join(rows, "article_id")
 
 
 def corpus_search(passages: DataFrame, points: DataFrame, articles: DataFrame, queries: DataFrame, vectors: DataFrame, *,
@@ -61,6 +60,6 @@ def hybrid_search(passages: DataFrame, points: DataFrame, articles: DataFrame, q
     fused = cut_lineage(fusion.rrf_fuse(hits, ["bm25", "dense"]))
     candidates = _with_sources(fused, hits, articles, rerank_limit)
     if rerank is not None:
-        candidates = fusion.rerank(candidates.join(bounded_broadcast(queries), "query_id"), rerank)
+        candidates = fusion.rerank(candidates.join(queries, "query_id"), rerank)
     return {"sparse": hits.where("branch = 'bm25'"), "dense": hits.where("branch = 'dense'"), "fused": fused,
             "evidence": fusion.select_evidence(candidates, evidence_cap)}

@@ -11,15 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # and go through the shuffle like any other.
 HOT_ROWS, MOST_HOT = 1_000_000, 10_000
 
-# Upper size of a side that is broadcast after its size has been measured.
-BROADCAST_ROWS = 500_000
-
-
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast the side only when a count that stops at the limit proves it is small;
-    otherwise leave the join strategy to the optimizer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def attach_group_size(df: DataFrame, keys: Sequence[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left-join each row with the number of rows that share its keys, where that is more

@@ -8,7 +8,6 @@ from lexspan.functions.classify import CENTRAL_SCOPE, topic_candidates
 from lexspan.functions.ids import ordinal_day, stable_id
 from lexspan.functions.text import clip_excerpt
 from lexspan.operators import citations, evidence, policy, trace
-from lexspan.operators.skew import bounded_broadcast
 from lexspan.plans.registry import query
 from lexspan.plans.retrieval import BM25_SQL, sparse_hits
 from lexspan.plans.tables import queries_from_benchmark, table
@@ -165,7 +164,7 @@ def _quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Each benchmark item as a quote from its first BM25 document."""
     best = cut_lineage(sparse_hits(spark, folder, 1).select("query_id", "doc_id"))
     texts = table(spark, folder, "documents").select("doc_id", "text")
-    return texts.join(bounded_broadcast(best), "doc_id").join(queries_from_benchmark(spark, folder), "query_id")
+    return texts.join(best, "doc_id").join(queries_from_benchmark(spark, folder), "query_id")
 
 
 _QUOTES_SQL = f"""{BM25_SQL}, q AS (SELECT query_id, doc_id, d.text, b.text quote FROM bmr JOIN documents d USING (doc_id)

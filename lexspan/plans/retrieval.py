@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.functions.text import tokenize
 from lexspan.operators import bm25, dense, fusion
-from lexspan.operators.skew import bounded_broadcast
 from lexspan.plans.registry import query
 from lexspan.plans.tables import queries_from_benchmark, spread, sql_tokens, table
 from lexspan.session import cut_lineage
@@ -172,8 +171,8 @@ SELECT query_id, article_id, rrf_score, rerank_score, rerank_rank FROM e WHERE r
 def rerank_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """First 20 fused documents, reranked by a scorer, first 5 as evidence."""
     texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
-    few = bounded_broadcast(cut_lineage(hybrid(spark, folder).where(F.col("rank") <= 20).select("query_id", "article_id", "rrf_score")))
-    rows = texts.join(few, "article_id").join(bounded_broadcast(queries_from_benchmark(spark, folder)), "query_id")
+    few = cut_lineage(hybrid(spark, folder).where(F.col("rank") <= 20).select("query_id", "article_id", "rrf_score"))
+    rows = texts.join(few, "article_id").join(queries_from_benchmark(spark, folder), "query_id")
     ranked = fusion.rerank(rows, overlap_score("query", "text")).select("query_id", "article_id", "rrf_score", "rerank_score")
     return fusion.select_evidence(ranked, 5).select("query_id", "article_id", "rrf_score", "rerank_score",
                                                     F.col("rerank_rank").cast("long").alias("rerank_rank"))
@@ -186,7 +185,7 @@ SELECT query_id, article_id, score, children, row_number() OVER (PARTITION BY qu
 def grouped_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Document hits grouped to their source, as passages are grouped to articles."""
     sources = table(spark, folder, "documents").select("doc_id", F.col("source").alias("article_id"))
-    hits = sources.join(bounded_broadcast(cut_lineage(sparse_hits(spark, folder))), "doc_id").select(
+    hits = sources.join(cut_lineage(sparse_hits(spark, folder)), "doc_id").select(
         "query_id", "article_id", F.col("doc_id").cast("string").alias("child_id"), "score", F.col("rank").alias("position"))
     return fusion.group_article_hits(hits, ["query_id"]).select(
         "query_id", "article_id", "score", F.array_join("matched_child_ids", "|").alias("children"), F.col("rank").cast("long").alias("rank"))

@@ -19,7 +19,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rebalance rows by a unique key when the input has fewer splits than half the cores,
-    as with one small file; larger inputs keep their splits and do not shuffle here."""
+    as with one file of one row group, which Spark reads in one task. The given tables are
+    such files. It belongs to reading them; the operators behind it have one plan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
 

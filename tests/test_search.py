@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,39 @@ def test_bm25_equals_brute_force(spark, corpus, tmp_path):
     assert [(r.id, r.score) for r in single] == expected[1]
 
 
+def test_bm25_shuffles_no_pairs_and_skips_runs(monkeypatch, spark, corpus):
+    docs, queries, df, qs = corpus
+    plain = sorted(map(tuple, bm25.search(df, qs, 3, id_cols=["id"], decimals=6).collect()))
+    hits = bm25.search(df, qs, 3, id_cols=["id"], decimals=6)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__query" in plan and "hashpartitioning(query_id" not in plan and "HashAggregate" not in plan
+    # Small blocks of queries and runs of rows change nothing; null ids and texts are rows as well.
+    for name, value in (("QUERY_TERMS", 2), ("BLOCK_ROWS", 2)):
+        monkeypatch.setattr(bm25, name, value)
+    assert sorted(map(tuple, bm25.search(df, qs, 3, id_cols=["id"], decimals=6).collect())) == plain
+    odd = spark.createDataFrame([(None, "x y"), ("b", "x y"), ("a", "x y"), ("a", None), ("c", "")], "id string, text string")
+    one = spark.createDataFrame([("q", "x z x"), ("none", "zz"), (None, None)], "query_id string, query string")
+    found = [(r.query_id, r.id, r.rank) for r in bm25.search(odd, one, 3, id_cols=["id"]).orderBy("rank").collect()]
+    assert found == [("q", None, 1), ("q", "a", 2), ("q", "b", 3)]
+    assert bm25.search(odd.where("false"), one, 3, id_cols=["id"]).count() == 0 and bm25.search(odd, one.where("false"), 3, id_cols=["id"]).count() == 0
+
+
+def test_block_bounds_end_early():
+    rng = np.random.default_rng(8)
+    rows, terms = 4096, 40
+    owners = np.repeat(np.arange(rows), 5)
+    numbers = np.concatenate([(row // 128 * 6 + rng.choice(6, 5, replace=False)) % terms for row in range(rows)])
+    tfs = np.where(owners < 256, 9, 1)  # the best rows stand together
+    ids = pa.RecordBatch.from_arrays([pa.array(range(rows))], ["id"])
+    factors = rng.random(terms) + 1
+    search = bm25.BlockMax([(np.arange(terms), factors)], 5.0, 4, 1.2, 0.75, 6)
+    search.add(ids, np.full(rows, 5), owners, numbers, tfs)
+    weight = tfs * 2.2 / (tfs + 1.2)
+    scores = np.bincount(owners, factors[numbers] * weight, rows)
+    assert [hit[4][0] for hit in search.best[0]] == sorted(range(rows), key=lambda r: (-round(scores[r], 6), r))[:4]
+    assert search.scored < rows // bm25.BLOCK_ROWS / 2
+
+
 def test_eligible_rows_fill_the_list(spark):
     docs = spark.createDataFrame([(i, "x " * (9 - i), i >= 5) for i in range(9)], "id int, text string, ok boolean")
     qs = spark.createDataFrame([(0, "x")], "query_id int, query string")
