@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexspan.functions.classify import CENTRAL_SCOPE
 from lexspan.functions.columns import as_col, equals, first_reason, is_true, let
 from lexspan.functions.text import is_blank, strip_whitespace
+from lexspan.operators import intervals
 
 # Request patterns and messages. "(?iuU)" gives Java the Unicode case
 # folding and word boundaries the patterns are written for.
@@ -199,3 +200,15 @@ def answer_state(missing_facts, conflict, sufficient) -> Column:
 
 def abstain_state(reason) -> Column:
     return F.when(as_col(reason) == "conflicting_status", "abstain_conflict").otherwise("abstain_insufficient_evidence")
+
+
+def evidence_in_force(questions: DataFrame, evidence: DataFrame, *, include_open_ended: bool = False, day: str = "legal_day") -> DataFrame:
+    """Each question with the evidence that is in force on its own day. What does not depend
+    on a day filters the evidence first; the days then meet the ranges of days on which each
+    row is eligible: from its start to the day before its end, or to the review horizon."""
+    open_ended = F.col("effective_to_day").isNull() & is_true("reviewed_open_ended")
+    must = (equals("pham_vi", CENTRAL_SCOPE) & equals("reviewed_status", "reviewed") & is_true("central_eligible") & ~contradictory_open_end()
+            & (F.col("effective_to_day").isNotNull() | (F.lit(include_open_ended) & open_ended)))
+    last = F.least("reviewed_through_day", F.col("effective_to_day") - 1)
+    ranges = evidence.where(must & F.col("reviewed_through_day").isNotNull()).withColumn("__last", last)
+    return intervals.containing(questions, day, ranges, "effective_from_day", "__last").drop("__last")

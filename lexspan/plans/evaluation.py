@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.operators import evaluation, fusion, metrics
 from lexspan.plans.registry import query
-from lexspan.plans.retrieval import BM25_SQL, DENSE_SQL, HYBRID_SQL, as_branch, dense_hits, hybrid, sparse_hits
-from lexspan.plans.tables import queries_from_benchmark, table
+from lexspan.operators.skew import ranked
+from lexspan.plans.retrieval import BM25_SQL, DENSE_SQL, HYBRID_SQL, as_branch, dense_hits, hybrid, overlap_score, sparse_hits
+from lexspan.plans.tables import queries_from_benchmark, sql_tokens, table
 from lexspan.session import cut_lineage
 
 K = 5
@@ -99,6 +100,49 @@ def sweep_grid(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.sweep(hits, queries_from_benchmark(spark, folder))
 
 
+# Cut-offs of the grid, and how many fused candidates a scorer may reorder.
+DEPTHS, RERANKED = (1, 3, 5, 10), (5, 10, 20)
+
+_GRID_SQL = f"""{HYBRID_SQL}, sc AS (SELECT fr.query_id, fr.doc_id, fr.rank place, round(len(list_intersect(list_distinct({sql_tokens('b.text')}), list_distinct({sql_tokens('d.text')})))
+  / greatest(len(list_distinct({sql_tokens('b.text')})), 1), 9) s FROM fr JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE fr.rank <= 20),
+cfg AS (SELECT 'bm25' config, query_id, doc_id, rank FROM bmr WHERE rank <= 30 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM der WHERE rank <= 30
+  UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM fr
+  UNION ALL SELECT 'rerank_' || d, query_id, doc_id, row_number() OVER (PARTITION BY d, query_id ORDER BY s DESC, CAST(doc_id AS VARCHAR)) FROM sc, (VALUES (5), (10), (20)) r(d) WHERE place <= d),
+gold AS (SELECT item_id query_id, doc_id FROM benchmark JOIN labels ON quality = 1 AND doc_id % 7 = item_id % 7 WHERE item_id % 5 <> 0),
+size AS (SELECT query_id, count(*) n FROM gold GROUP BY query_id),
+grid AS (SELECT config, item_id query_id, depth FROM (SELECT DISTINCT config FROM cfg), benchmark, (VALUES (1), (3), (5), (10)) v(depth)),
+got AS (SELECT config, query_id, depth, count(gold.doc_id) hits, min(CASE WHEN gold.doc_id IS NOT NULL THEN rank END) first
+  FROM grid LEFT JOIN cfg USING (config, query_id) LEFT JOIN gold USING (query_id, doc_id) WHERE rank <= depth GROUP BY ALL),
+per AS (SELECT g.config, g.query_id, g.depth, n IS NOT NULL measured, CASE WHEN n IS NOT NULL THEN coalesce(hits, 0) / n END recall,
+  CASE WHEN n IS NOT NULL THEN coalesce(1.0 / first, 0) END mrr FROM grid g LEFT JOIN size USING (query_id) LEFT JOIN got USING (config, query_id, depth))"""
+
+
+@query(f"""WITH {_GRID_SQL} SELECT config, depth, ['first', 'second', 'third'][query_id % 3 + 1] kind, count(*) cases, count(*) FILTER (measured) measured_cases,
+round(avg(recall), 9) mean_recall, round(avg(mrr), 9) mean_mrr FROM per GROUP BY ALL""")
+def evaluation_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ranking and rerank depth at every cut-off and kind of case, from one search each:
+    the rerank depths are nested in one scored list."""
+    branches = {name: cut_lineage(hits) for name, hits in _branches(spark, folder).items()}
+    texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
+    first = branches["rrf"].where(F.col("position") <= max(RERANKED)).select("query_id", "article_id", F.col("position").alias("place"))
+    scored = texts.join(first, "article_id").join(queries_from_benchmark(spark, folder), "query_id").select(
+        "query_id", "article_id", "place", overlap_score("query", "text").alias("score"))
+    nested = scored.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in RERANKED]))).where("place <= depth")
+    reordered = ranked(nested, ["depth", "query_id"], [F.desc("score"), F.asc("article_id")], "position").select(
+        F.concat(F.lit("rerank_"), F.col("depth").cast("string")).alias("config"), "query_id", "article_id", "position")
+    hits = cut_lineage(reordered)
+    for name, rows in branches.items():
+        hits = hits.unionByName(rows.select(F.lit(name).alias("config"), "query_id", "article_id", "position"))
+    items = queries_from_benchmark(spark, folder).select("query_id")
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id", (F.col("doc_id") % 7).alias("class"))
+    relevant = items.where("query_id % 5 <> 0").withColumn("class", F.col("query_id") % 7).join(good, "class").select(
+        "query_id", F.col("doc_id").cast("string").alias("article_id"))
+    per_case = metrics.metrics_by_depth(hits, relevant, items, list(DEPTHS)).withColumn(
+        "kind", F.element_at(F.array(F.lit("first"), F.lit("second"), F.lit("third")), (F.col("query_id") % 3 + 1).cast("int")))
+    means = metrics.macro_mean(per_case, F.col("measured"), ["recall", "mrr"], ("config", "depth", "kind"))
+    return means.select("config", "depth", "kind", "cases", "measured_cases", F.round("mean_recall", 9).alias("mean_recall"), F.round("mean_mrr", 9).alias("mean_mrr"))
+
+
 @query("""SELECT event_type, count(value) samples, round(quantile_cont(value, 0.5), 6) p50, quantile_disc(value, 0.95) p95 FROM events GROUP BY event_type""")
 def latency_distribution(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_type", "value")

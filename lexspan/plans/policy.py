@@ -55,6 +55,16 @@ def legal_filter_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _reviewed(spark, folder).where(policy.legal_filter(F.lit(LEGAL_DAY), include_open_ended=True)).select("o_orderkey")
 
 
+@query(f"""WITH {_REVIEWED_SQL}, q AS (SELECT item_id query_id, CASE WHEN item_id % 9 <> 4 THEN CAST({LEGAL_DAY} - 1500 + item_id * 37 AS INT) END legal_day FROM benchmark)
+SELECT query_id, legal_day, o_orderkey FROM q JOIN rv ON {_ELIGIBLE_SQL.format(day='legal_day', open='(effective_to_day IS NULL AND reviewed_open_ended) OR ')}""")
+def evidence_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Items as questions with days of their own (some without), and what is in force on each."""
+    item = F.col("item_id")
+    questions = table(spark, folder, "benchmark").select(
+        item.alias("query_id"), F.when(item % 9 != 4, (F.lit(LEGAL_DAY - 1500) + item * 37).cast("int")).alias("legal_day"))
+    return policy.evidence_in_force(questions, _reviewed(spark, folder), include_open_ended=True).select("query_id", "legal_day", "o_orderkey")
+
+
 # Phrases put before a user turn, by its first letter, so that every gate rule is met.
 PHRASES = {
     "a": "Điều 24 quy định gì về thử việc?", "e": "Quy định thử việc hiện nay: ", "i": "Hợp đồng và thử việc: ",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.functions.text import tokenize
-from lexspan.operators import bm25, dense, fusion
+from lexspan.operators import bm25, dense, fusion, retriever
 from lexspan.plans.registry import query
 from lexspan.plans.tables import queries_from_benchmark, spread, sql_tokens, table
 from lexspan.session import cut_lineage
@@ -189,3 +189,66 @@ def grouped_hits(spark: SparkSession, folder: str) -> DataFrame:
         "query_id", "article_id", F.col("doc_id").cast("string").alias("child_id"), "score", F.col("rank").alias("position"))
     return fusion.group_article_hits(hits, ["query_id"]).select(
         "query_id", "article_id", "score", F.array_join("matched_child_ids", "|").alias("children"), F.col("rank").cast("long").alias("rank"))
+
+
+# Two documents make an article; every seventeenth article is not in the catalogue.
+COMPOSED_DAY = 729_390
+
+_LEGAL_SQL = """{id} % 5 <> 0 AND {id} % 7 <> 0 AND {id} % 11 <> 0 AND 729000 + {id} % 300 <= 729390 AND 729600 + {id} % 300 >= 729390
+AND NOT ({id} % 13 = 0 AND {id} % 3 <> 0) AND ({id} % 3 = 0 OR 729200 + {id} % 300 + {id} % 200 > 729390)"""
+
+
+def _composed_sql(where: str, depth: int) -> str:
+    return f"""{BM25_SQL}, {DENSE_SQL},
+articles AS (SELECT 'a' || doc_id // 2 article_id, text canonical_text FROM documents WHERE doc_id % 2 = 0 AND doc_id // 2 % 17 <> 3),
+listed AS (SELECT 'bm25' branch, query_id, doc_id, score FROM bm WHERE score <> 0 UNION ALL SELECT 'dense', query_id, doc_id, score FROM de),
+hits AS (SELECT branch, query_id, 'a' || doc_id // 2 article_id, CAST(doc_id AS VARCHAR) child_id, score,
+  row_number() OVER (PARTITION BY branch, query_id ORDER BY score DESC, 'a' || doc_id // 2, CAST(doc_id AS VARCHAR)) position FROM listed WHERE {where} QUALIFY position <= {depth}),
+grouped AS (SELECT branch, query_id, article_id, max(score) best FROM hits GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY branch, query_id ORDER BY best DESC, article_id) rank FROM grouped),
+fused AS (SELECT query_id, article_id, sum(1.0 / (60 + rank) ORDER BY branch) rrf_score FROM places GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, article_id) place FROM fused),
+children AS (SELECT query_id, article_id, array_to_string(list_sort(list_distinct(list(child_id))), '|') children FROM hits GROUP BY ALL)"""
+
+
+def _with_law(rows: DataFrame, number: str) -> DataFrame:
+    """Article and child ids, and legal fields that follow from a number, so that each rule decides somewhere."""
+    n = F.col(number)
+    start = F.lit(729_000) + n % 300
+    return rows.withColumns({
+        "article_id": F.concat(F.lit("a"), F.floor(n / 2).cast("string")), "child_id": n.cast("string"),
+        "pham_vi": F.when(n % 5 != 0, "Trung ương").otherwise("Tỉnh"), "reviewed_status": F.when(n % 7 != 0, "reviewed").otherwise("draft"),
+        "central_eligible": n % 11 != 0, "effective_from_day": start, "reviewed_through_day": start + 600,
+        "effective_to_day": F.when(n % 3 != 0, start + 200 + n % 200), "reviewed_open_ended": (n % 3 == 0) | (n % 13 == 0)})
+
+
+def _composed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    passages = _with_law(_documents(spark, folder), "doc_id")
+    points = _with_law(table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    articles = table(spark, folder, "documents").where("doc_id % 2 = 0 AND doc_id div 2 % 17 <> 3").select(
+        F.concat(F.lit("a"), F.floor(F.col("doc_id") / 2).cast("string")).alias("article_id"), F.col("text").alias("canonical_text"))
+    return passages, points, articles, queries_from_benchmark(spark, folder), _query_vectors(spark, folder)
+
+
+@query(f"""WITH {_composed_sql('true', 30)}, kept AS (SELECT * FROM ranked JOIN articles USING (article_id)),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, article_id) evidence_rank FROM kept)
+SELECT query_id, article_id, round(rrf_score, 9) rrf_score, children, evidence_rank FROM e JOIN children USING (query_id, article_id) WHERE evidence_rank <= 5""")
+def corpus_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages and vectors fused to articles of the catalogue, five as evidence."""
+    found = retriever.corpus_search(*_composed(spark, folder), decimals=6)["evidence"]
+    return found.select("query_id", "article_id", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("matched_child_ids", "|").alias("children"),
+                        F.col("evidence_rank").cast("long").alias("evidence_rank"))
+
+
+@query(f"""WITH {_composed_sql(_LEGAL_SQL.format(id='doc_id'), 20)},
+c AS (SELECT r.query_id, r.article_id, rrf_score, list_distinct({sql_tokens('b.text')}) qt, list_distinct({sql_tokens('a.canonical_text')}) dt
+  FROM ranked r JOIN articles a USING (article_id) JOIN benchmark b ON b.item_id = r.query_id WHERE place <= 20),
+s AS (SELECT query_id, article_id, rrf_score, round(len(list_intersect(qt, dt)) / greatest(len(qt), 1), 9) rerank_score FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, article_id) rerank_rank FROM s)
+SELECT query_id, article_id, round(rrf_score, 9) rrf_score, rerank_score, rerank_rank, children FROM e JOIN children USING (query_id, article_id) WHERE rerank_rank <= 5""")
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over what is in force on a day, open ends included, with a scorer."""
+    found = retriever.hybrid_search(*_composed(spark, folder), COMPOSED_DAY, include_open_ended=True, decimals=6,
+                                    rerank=overlap_score("query", "canonical_text"))["evidence"]
+    return found.select("query_id", "article_id", F.round("rrf_score", 9).alias("rrf_score"), "rerank_score",
+                        F.col("rerank_rank").cast("long").alias("rerank_rank"), F.array_join("matched_child_ids", "|").alias("children"))

@@ -67,3 +67,28 @@ def test_case_checks(spark):
     assert {r.case_id for r in evaluation.leaked_targets(cases.where("case_id > '1'"), dev).collect()} == {"2", "3"}
     split = spark.createDataFrame([("f", "dev"), ("f", "heldout"), ("g", "dev")], "scenario_family_id string, split string")
     assert [r.scenario_family_id for r in evaluation.split_violations(split).collect()] == ["f"]
+
+
+def test_order_statistics_with_outliers_and_hot_values(spark):
+    rng = np.random.default_rng(2)
+    values = {"wide": np.concatenate([rng.normal(size=3000), [1e300, -1e300, 1e-300]]), "flat": np.full(2000, 7.5),
+              "steps": np.repeat(rng.normal(size=40), 50), "one": np.array([3.25])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("wide", None), ("none", None)]
+    df = spark.createDataFrame(rows, "kind string, value double").repartition(5)
+    for limit in (metrics.ORDER_ROWS, 100):  # the second narrows the ranges in rounds
+        n = F.col("samples")
+        got = {r.kind: r for r in metrics.order_statistics(df, "value", ["kind"], {"low": F.lit(1), "mid": F.floor(n / 2) + 1, "top": n}, limit).collect()}
+        assert got.keys() == values.keys()
+        for kind, vs in values.items():
+            ordered = np.sort(vs)
+            assert (got[kind].samples, got[kind].low, got[kind].mid, got[kind].top) == (len(vs), ordered[0], ordered[len(vs) // 2], ordered[-1])
+
+
+def test_metrics_by_depth(spark):
+    hits = spark.createDataFrame([("a", 1, "x", 1), ("a", 1, "y", 2), ("a", 1, "x", 3), ("a", 1, "z", 4), ("b", 1, "z", 1), ("b", 2, "q", 1)],
+                                 "config string, query_id int, article_id string, position int")
+    relevant = spark.createDataFrame([(1, "y"), (1, "z"), (1, "z"), (2, "p")], "query_id int, article_id string")
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    got = {(r.config, r.query_id, r.depth): (r.measured, r.recall, r.mrr) for r in metrics.metrics_by_depth(hits, relevant, cases, [1, 2, 3]).collect()}
+    assert len(got) == 18 and got["a", 1, 1] == (True, 0.0, 0.0) and got["a", 1, 2] == (True, 0.5, 0.5) and got["a", 1, 3] == (True, 1.0, 0.5)
+    assert got["b", 1, 1] == (True, 0.5, 1.0) and got["b", 2, 3] == (True, 0.0, 0.0) and got["a", 3, 3] == (False, None, None)

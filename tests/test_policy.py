@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import citations, evidence, policy, trace
+from lexspan.operators import citations, evidence, intervals, policy, trace
 
 DAY = 738886
 
@@ -161,3 +163,18 @@ def test_trace_rows_hold_nothing_private(spark):
     d = row.diagnostics[0]
     assert (d.exception_class, d.reason_class, d.upstream_http_status, d.elapsed_ms, d.usage) == (None, "Ok_1", None, 1.24, None)
     assert d.response_shape == {"content_length": "5", "a_type": "other"} and d.validation_reason_codes == ["invalid_state"]
+
+
+def test_days_meet_the_intervals_that_hold_them(spark):
+    rng = random.Random(6)
+    days = [(i, rng.choice([None, 0, intervals.LAST_DAY, intervals.LAST_DAY + 1, -3, rng.randint(0, 200), rng.randint(729_000, 731_000)])) for i in range(80)]
+    spans = [(i, *sorted((rng.randint(0, 200), rng.randint(0, 200)))) for i in range(60)] + [
+        (60, 0, intervals.LAST_DAY), (61, -50, 7), (62, 9, 8), (63, None, 9), (64, 3, None), (65, 729_390, 9_999_999), (66, 5, 5), (67, 729_001, 730_999)]
+    left = spark.createDataFrame(days, "q int, day int")
+    right = spark.createDataFrame(spans, "e int, first int, last int")
+    joined = intervals.containing(left, "day", right, "first", "last")
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
+    expected = sorted((q, e) for q, d in days for e, a, b in spans if None not in (d, a, b) and a <= d <= b and 0 <= d <= intervals.LAST_DAY)
+    assert sorted((r.q, r.e) for r in joined.collect()) == expected
+    blocks = right.select("e", F.size(intervals.interval_blocks(F.col("first"), F.col("last"))).alias("n")).collect()
+    assert max(r.n for r in blocks if r.n is not None) <= 2 * intervals.LEVELS

@@ -97,7 +97,8 @@ def test_dense_equals_numpy_in_blocks(spark):
     qs = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "query_id int, query_vector array<double>")
     scores = np.round(points @ queries.T, 6)
     for block, where in ((2048, None), (2, None), (2048, F.col("side") == 1)):
-        got = {(r.query_id, r.rank): (r.id, r.score) for r in dense.search(df, qs, 9, id_cols=["id"], decimals=6, block=block, where=where).collect()}
+        hits = dense.search(df, qs, 9, id_cols=["id"], decimals=6, block=block, where=where, pass_bytes=1 << 20 if block > 2 else 100)
+        got = {(r.query_id, r.rank): (r.id, r.score) for r in hits.collect()}
         for q in range(5):
             ids = [i for i in range(80) if where is None or i % 2]
             order = sorted(ids, key=lambda i: (-scores[i, q], i))[:9]
