@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexspan.functions.classify import CENTRAL_SCOPE
 from lexspan.functions.columns import as_col, equals, first_reason, is_false, is_true
@@ -14,37 +18,57 @@ MAX_TOKENS = 512
 DOCUMENT_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 
 
-def window_starts(tokens, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
-    """Start positions of windows over ``tokens`` tokens; the last window reaches the end."""
-    n = as_col(tokens)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(window - overlap))
-    return F.filter(starts, lambda p: (n > 0) & ((p == 0) | (p + overlap < n)))
+# What a tokenizer gives for a list of texts: per text its tokens as (start, end) places in it.
+Offsets = list[list[tuple[int, int]]]
+_WORD = re.compile(r"\S+")
+
+
+def words(texts: list[str]) -> Offsets:
+    """White-space words as tokens."""
+    return [[(w.start(), w.end()) for w in _WORD.finditer(text)] for text in texts]
+
+
+WINDOW_FIELDS = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("first", "last", "char_start", "char_end")), T.StructField("text", T.StringType()),
+                              T.StructField("tokens", T.IntegerType())])
+
+
+def _windower(tokenizer: Callable[[list[str]], Offsets], window: int, overlap: int, prefix: str | None):
+    def cut(text: str) -> list[tuple]:
+        kept = [(start, end) for start, end in tokenizer([text])[0] if end > start]
+        found, at = [], 0
+        while at < len(kept):
+            stop = min(at + window, len(kept))
+            low, high = kept[at][0], kept[stop - 1][1]
+            found.append((at, stop, low, high, text[low:high]))
+            at = len(kept) if stop == len(kept) else stop - overlap
+        counts = [None] * len(found) if prefix is None else map(len, tokenizer([prefix + w[4] for w in found]))
+        return [(*w, n) for w, n in zip(found, counts, strict=True)]
+
+    @F.pandas_udf(T.ArrayType(WINDOW_FIELDS))
+    def windows(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(text or "") for text in texts], dtype="object")
+
+    return windows.asNondeterministic()
+
+
+def token_windows(docs: DataFrame, id_cols: list[str], text: str | Column, tokenizer: Callable[[list[str]], Offsets] = words, window: int = WINDOW,
+                  overlap: int = OVERLAP, prefix: str | None = None) -> DataFrame:
+    """Windows of tokens with their characters in the prepared text: ids, first, last (token
+    places, last excluded), char_start, char_end, text, tokens.
+
+    The tokenizer's offsets are two numbers per token and every window is a slice between
+    two of them, so the cost is linear in the tokens of a text. ``tokens`` counts what the
+    encoder gets for the window behind ``prefix``, special tokens included. A text without
+    tokens has no window.
+    """
+    cut = docs.select(*id_cols, F.explode_outer(_windower(tokenizer, window, overlap, prefix)(prepare_text(text))).alias("w"))
+    return cut.where("w IS NOT NULL").select(*id_cols, "w.*")
 
 
 def word_windows(docs: DataFrame, id_cols: list[str], text: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of white-space words with their character span in the prepared text. All
-    windows of a text are cut inside its row."""
-    rows = docs.select(*id_cols, prepare_text(text).alias("__text"))
-    rows = rows.select(*id_cols, F.when(F.col("__text") == "", F.array().cast("array<string>")).otherwise(F.split("__text", " ")).alias("__words"))
-    rows = rows.select(*id_cols, "__words", F.explode_outer(window_starts(F.size("__words"), window, overlap)).alias("word_start"))
-    part = F.slice("__words", F.col("word_start") + 1, window)
-    before = F.when(F.col("word_start") == 0, 0).otherwise(F.length(F.array_join(F.slice("__words", F.lit(1), F.col("word_start")), " ")) + 1)
-    rows = rows.where("word_start IS NOT NULL").select(
-        *id_cols, "word_start", F.least(F.col("word_start") + window, F.size("__words")).alias("word_end"),
-        before.alias("char_start"), F.array_join(part, " ").alias("text"))
-    return rows.withColumn("char_end", F.col("char_start") + F.length("text"))
-
-
-def offset_windows(rows: DataFrame, offsets: str, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Windows over a tokenizer's offsets (array of start, end), as a vectorised tokenizer
-    call attaches them to prepared text."""
-    kept = F.filter(offsets, lambda o: o["end"] > o["start"])
-    base = rows.withColumn("__offsets", kept)
-    base = base.withColumn("__p", F.explode_outer(window_starts(F.size("__offsets"), window, overlap))).where("__p IS NOT NULL")
-    first = F.get("__offsets", F.col("__p"))["start"]
-    last = F.get("__offsets", F.least(F.col("__p") + window, F.size("__offsets")) - 1)["end"]
-    return base.withColumns({"char_start": first, "char_end": last}).withColumn(
-        "window_text", F.col(text).substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("__offsets", "__p")
+    """Windows of white-space words with their character span in the prepared text."""
+    return token_windows(docs, id_cols, text, window=window, overlap=overlap).select(
+        *id_cols, F.col("first").alias("word_start"), F.col("last").alias("word_end"), "char_start", "text", "char_end")
 
 
 def document_text(text) -> Column:
@@ -70,17 +94,35 @@ def record_violation() -> Column:
         (prepare_text("canonical_text") == "", "empty article text"), default=F.lit(None).cast("string"))
 
 
-def embedding_records(articles: DataFrame, prefix: str = "lexspan") -> DataFrame:
-    """Encoder records of the retrieval candidates, one per window. A candidate that breaks
-    the evidence policy fails the job."""
+# The fields of a record's payload that an article or its document's metadata gives, with their types.
+ARTICLE_FIELDS = {"article_id": "string", "article_version_id": "string", "document_id": "string", "document_version_id": "string", "content_sha256": "string"}
+METADATA_FIELDS = {
+    "pham_vi": "string", "title": "string", "so_ky_hieu": "string", "issuer": "string", "issue_date": "string", "effective_date": "string",
+    "reported_expiry_date": "string", "reported_status": "string", "expiry_state": "string", "amendment_state": "string", "corpus_disposition": "string",
+    "source_dataset_revision": "string", "source_dataset_url": "string"}
+LIST_FIELDS = ("topic_candidates", "quarantined_related_document_ids")
+
+
+def embedding_records(articles: DataFrame, tokenizer: Callable[[list[str]], Offsets] = words, max_tokens: int = MAX_TOKENS,
+                      prefix: str = "lexspan") -> DataFrame:
+    """Encoder records of the retrieval candidates, one per window: id, text, payload. A
+    candidate that breaks the evidence policy, or a window that the encoder could not take
+    whole, fails the job. Fields that the articles lack are NULL, lists empty."""
     rows = articles.where(is_true("retrieval_index_candidate")).withColumn("__why", record_violation())
     guarded = F.when(F.col("__why").isNull(), F.col("canonical_text")).otherwise(F.raise_error(F.col("__why")).cast("string"))
-    keys = ["article_id", "article_version_id", "document_id", "document_version_id", "label", "topic_candidates", "pham_vi"]
-    cut = word_windows(rows.withColumn("__guarded", guarded), keys, "__guarded")
-    child = F.concat_ws(":", "article_version_id", F.col("char_start").cast("string"), F.col("char_end").cast("string"))
-    return cut.withColumn("child_id", child).select(
-        point_id("article_id", "document_version_id", "child_id", prefix).alias("id"), document_text("text").alias("text"),
-        *keys, "child_id", F.col("char_start").alias("canonical_char_start"), F.col("char_end").alias("canonical_char_end"),
-        F.col("text").alias("canonical_text"), F.lit("unverified").alias("current_validity"),
-        F.lit(True).alias("retrieval_index_candidate"), F.lit(False).alias("answer_evidence_enabled"))
 
+    def given(name: str, kind: str) -> Column:
+        return (F.col(name) if name in articles.columns else F.lit(None)).cast(kind).alias(name)
+
+    carried = F.struct(*[given(n, k) for n, k in {**ARTICLE_FIELDS, **METADATA_FIELDS}.items()], given("label", "string"),
+                       *[F.coalesce(given(n, "array<string>"), F.array().cast("array<string>")).alias(n) for n in LIST_FIELDS],
+                       F.coalesce(given("reported_status_conflict", "boolean"), F.lit(False)).alias("reported_status_conflict"))
+    cut = token_windows(rows.select(carried.alias("c"), guarded.alias("guarded")), ["c"], "guarded", tokenizer, prefix=DOCUMENT_PREFIX)
+    child = F.concat_ws(":", "c.article_version_id", F.col("char_start").cast("string"), F.col("char_end").cast("string"))
+    payload = F.struct(
+        *[F.col(f"c.{n}").alias(n) for n in (*ARTICLE_FIELDS, *METADATA_FIELDS, *LIST_FIELDS, "reported_status_conflict")], child.alias("child_id"),
+        F.col("c.label").alias("article_label"), F.col("char_start").alias("canonical_char_start"), F.col("char_end").alias("canonical_char_end"),
+        F.col("text").alias("canonical_text"), F.lit("unverified").alias("current_validity"), F.lit(True).alias("retrieval_index_candidate"),
+        F.lit(False).alias("answer_evidence_enabled"))
+    text = check_token_limit(F.concat(F.lit(DOCUMENT_PREFIX), "text"), "tokens", max_tokens)
+    return cut.select(point_id("c.article_id", "c.document_version_id", child, prefix).alias("id"), text.alias("text"), payload.alias("payload"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.functions import spans
@@ -61,6 +63,29 @@ def token_windows_440_48(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.word_windows(docs, ["doc_id"], "text").select("doc_id", "word_start", "word_end", "char_start", "text")
 
 
+# A stand-in for an encoder's tokenizer: runs of word characters, and every other visible character by itself.
+_PIECES = re.compile(r"[a-zA-Z0-9]+|[^a-zA-Z0-9 ]")
+
+
+def _pieces(texts: list[str]) -> list[list[tuple[int, int]]]:
+    return [[piece.span() for piece in _PIECES.finditer(text)] for text in texts]
+
+
+@query(f"""WITH w AS (SELECT doc_id, {sql_collapse("nfc_normalize(text)")} clean FROM documents),
+u AS (SELECT doc_id, unnest(ps) p, unnest(range(len(ps))) n FROM (SELECT doc_id, regexp_extract_all(clean, '[a-zA-Z0-9]+|[^a-zA-Z0-9 ]| +') ps FROM w)),
+o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM u),
+t AS (SELECT doc_id, b, b + length(p) e, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 k, count(*) OVER (PARTITION BY doc_id) m FROM o WHERE p NOT LIKE ' %'),
+s AS (SELECT DISTINCT doc_id, m, unnest(range(0, m, 392)) first FROM t),
+b AS (SELECT s.doc_id, CAST(first AS INT) first, CAST(least(first + 440, s.m) AS INT) last, CAST(x.b AS INT) char_start, CAST(y.e AS INT) char_end
+  FROM s JOIN t x ON x.doc_id = s.doc_id AND x.k = first JOIN t y ON y.doc_id = s.doc_id AND y.k = least(first + 440, s.m) - 1 WHERE first = 0 OR first + 48 < s.m)
+SELECT doc_id, first, last, char_start, char_end, last - first + 2 tokens, substr(clean, char_start + 1, char_end - char_start) AS text FROM b JOIN w USING (doc_id)""")
+def encoder_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 440 tokens with 48 in common, and what the encoder gets with its prefix (two tokens)."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    rows = chunks.token_windows(docs, ["doc_id"], "text", _pieces, prefix=chunks.DOCUMENT_PREFIX)
+    return rows.select("doc_id", "first", "last", "char_start", "char_end", "tokens", "text")
+
+
 _SRC = "src AS (SELECT CAST(page_id AS VARCHAR) id, html FROM pages)"
 _LAYOUT = f"WITH RECURSIVE {_SRC}, {parse_sql.LAYOUT}"
 _ARTICLES = _LAYOUT + ", " + parse_sql.articles(r"^(\p{Lu}\p{L}*) ", r"(?:^|\P{L})(The|Und|Les|Las)(?:\P{L}|$)", r"(?:^|\P{L})(Of|Die|Des|De)(?:\P{L}|$)",

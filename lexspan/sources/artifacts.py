@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexspan.functions.classify import CENTRAL_SCOPE
 from lexspan.functions.columns import equals, first_reason, is_false, is_true
@@ -104,23 +104,54 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {found[0].asDict()}")
 
 
-def encode_shards(records: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], context: dict, shards: int) -> dict:
+LEDGER = "shard int, records long, digest decimal(38,0)"
+
+
+def _committed(spark: SparkSession, root: Path) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(str(root / "ledger")) if any((root / "ledger").glob("*.parquet")) else spark.createDataFrame([], LEDGER)
+
+
+def encode_shards(records: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], context: dict, shards: int, wave: int = 16) -> dict:
     """Encode records into a fixed number of shards and resume where a run stopped.
 
-    A record's shard follows from its id, so shards are stable; a shard counts as done
-    when its folder has a committed write. Another context in the folder is an error and
-    nothing is written.
+    The records are scanned once and written by shard, which follows from the id, so shards
+    are stable. Then waves of up to ``wave`` shards read only their own part: one
+    partitioned write, whose files become visible when it commits, then a ledger row for
+    each shard with its records and a digest of their ids. What is missing is the shards
+    without a ledger row; a wave that was cut off is written again as a whole. Another
+    context in the folder is an error and nothing is written.
     """
-    if shards <= 0:
-        raise ValueError("shards must be positive")
-    root, settings = Path(folder), {**context, "shards": shards}
-    state = root / "progress.json"
+    if shards <= 0 or wave <= 0:
+        raise ValueError("shards and wave must be positive")
+    spark, root, settings = records.sparkSession, Path(folder), {**context, "shards": shards}
+    state, staged, vectors = root / "progress.json", str(root / "records"), str(root / "vectors")
     if state.is_file() and json.loads(state.read_text(encoding="utf-8")) != settings:
         raise ValueError("the folder holds an incompatible artifact")
     write_json_atomic(state, settings)
-    done = sorted(int(p.name.split("=")[1]) for p in root.glob("shard=*") if (p / "_SUCCESS").is_file())
-    keyed = records.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    for shard in [s for s in range(shards) if s not in done]:
-        part = encode(keyed.where(F.col("shard") == shard).drop("shard"))
-        part.write.mode("overwrite").parquet(str(root / f"shard={shard}"))
-    return {**settings, "resumed": len(done), "written": shards - len(done)}
+    if not (root / "records" / "_SUCCESS").is_file():
+        keyed = records.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+        keyed.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(staged)
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+    missing = sorted(r["shard"] for r in every.join(_committed(spark, root), "shard", "left_anti").toLocalIterator())
+    schema = T.StructType([*records.schema.fields, T.StructField("shard", T.IntegerType())])
+    for at in range(0, len(missing), wave):
+        now = missing[at:at + wave]
+        part = spark.read.schema(schema).parquet(staged).where(F.col("shard").isin(now))
+        encoded = encode(part)
+        (encoded.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(vectors))
+        written = spark.read.schema(encoded.schema).parquet(vectors).where(F.col("shard").isin(now)).groupBy("shard").agg(
+            F.count(F.lit(1)).alias("records"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest"))
+        rows = spark.createDataFrame([(s,) for s in now], "shard int").join(written, "shard", "left")
+        rows.select("shard", F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("digest", F.lit(0)).cast("decimal(38,0)").alias("digest")).coalesce(
+            1).write.mode("append").parquet(str(root / "ledger"))
+    return {**settings, "resumed": shards - len(missing), "written": len(missing)}
+
+
+def shard_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards whose vectors are not those of their ledger row."""
+    root = Path(folder)
+    found = spark.read.parquet(str(root / "vectors")).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("d"))
+    rows = _committed(spark, root).join(found, "shard", "full")
+    same = F.coalesce("n", F.lit(0)).eqNullSafe(F.col("records")) & F.coalesce("d", F.lit(0)).eqNullSafe(F.col("digest"))
+    return rows.where(~same).select("shard", "records", F.col("n").alias("found"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import spans
 from lexspan.operators import audit, chunks, parse, staging
+from lexspan.sources import artifacts
 
 META = ("id string, title string, so_ky_hieu string, pham_vi string, co_quan_ban_hanh string, ngay_ban_hanh string, "
         "ngay_het_hieu_luc string, tinh_trang_hieu_luc string, row_index long")
@@ -160,8 +161,10 @@ def test_windows(spark):
     assert [(r.word_start, r.word_end) for r in rows if r.id == "a"] == [(0, 440), (392, 832), (784, 1000)]
     assert all(words[r.char_start:r.char_end] == r.text for r in rows if r.id == "a")
     assert [r.text for r in rows if r.id == "c"] == ["one two"] and sum(r.id == "d" for r in rows) == 2 and not any(r.id == "b" for r in rows)
-    offsets = spark.createDataFrame([("ab cd ef", [(0, 2), (3, 5), (6, 8), (8, 8)])], "t string, o array<struct<start:int,end:int>>")
-    assert [r.window_text for r in chunks.offset_windows(offsets, "o", "t", 2, 1).collect()] == ["ab cd", "cd ef"]
+    single = spark.createDataFrame([("k", "ab cd ef")], "id string, t string")
+    with_special = lambda texts: [[(0, 0)] + [(w.start(), w.end()) for w in re.finditer(r"\w", t)] + [(len(t), len(t))] for t in texts]
+    cut = chunks.token_windows(single, ["id"], "t", with_special, 3, 1, prefix="q ").orderBy("first").collect()
+    assert [(r.first, r.last, r.text, r.tokens) for r in cut] == [(0, 3, "ab c", 6), (2, 5, "cd e", 6), (4, 6, "ef", 5)]
 
 
 def test_embedding_records_fail_closed(spark):
@@ -169,7 +172,13 @@ def test_embedding_records_fail_closed(spark):
               "pham_vi string, validity string, current_validity string, answer_evidence_enabled boolean, retrieval_index_candidate boolean, canonical_text string")
     row = ("a", "av", "d", "dv", "Điều 1", ["contracts"], "Trung ương", "unverified", "unverified", False, True, "w " * 500)
     records = chunks.embedding_records(spark.createDataFrame([row], schema)).collect()
-    assert len(records) == 2 and records[0].text.startswith("passage: ") and len({r.id for r in records}) == 2
+    assert len(records) == 2 and records[0].text.startswith("passage: ") and len({r.id for r in records}) == 2 and len(records[0].payload) == 29
+    full = spark.createDataFrame([row], schema).withColumns({"expiry_state": F.lit("unknown_expiry"), "amendment_state": F.lit("none"),
+                                                             "source_dataset_revision": F.lit("r")})
+    points = chunks.embedding_records(full).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    assert artifacts.point_violations(points, 2, "r").count() == 0
+    with pytest.raises(Exception, match="token limit"):
+        chunks.embedding_records(spark.createDataFrame([row], schema), max_tokens=400).collect()
     for place, value, why in ((6, None, "noncentral"), (8, "valid", "promotion"), (9, True, "evidence"), (11, " ", "empty")):
         bad = row[:place] + (value,) + row[place + 1:]
         with pytest.raises(Exception, match=why):

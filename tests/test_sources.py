@@ -86,10 +86,16 @@ def test_resumable_encoding(spark, tmp_path):
         return vectors(df)
 
     with pytest.raises(RuntimeError):
-        artifacts.encode_shards(records, str(tmp_path), broken, {"input": "x"}, 4)
+        artifacts.encode_shards(records, str(tmp_path), broken, {"input": "x"}, 4, wave=1)
+    # A wave that wrote vectors but no ledger row is done again.
+    (tmp_path / "vectors" / "shard=3").mkdir()
     result = artifacts.encode_shards(records, str(tmp_path), vectors, {"input": "x"}, 4)
-    assert result["resumed"] == 2 and result["written"] == 2
-    assert spark.read.parquet(*[str(p) for p in tmp_path.glob("shard=*")]).select("id").distinct().count() == 50
+    assert result["resumed"] == 2 and result["written"] == 2 and len(calls) == 3
+    made = spark.read.parquet(str(tmp_path / "vectors"))
+    assert made.count() == made.select("id").distinct().count() == 50
+    assert sum(r.records for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == 50 and artifacts.shard_violations(spark, str(tmp_path)).count() == 0
+    made.where("shard = 1").limit(3).write.mode("append").parquet(str(tmp_path / "vectors" / "shard=1"))
+    assert [r.shard for r in artifacts.shard_violations(spark, str(tmp_path)).collect()] == [1]
     assert artifacts.encode_shards(records, str(tmp_path), vectors, {"input": "x"}, 4)["written"] == 0
     for context, shards in (({"input": "y"}, 4), ({"input": "x"}, 5)):
         with pytest.raises(ValueError, match="incompatible"):
