@@ -35,6 +35,7 @@ COMPOSED_ONLY = (r"\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{1E00}-\x{1EFF}\
 COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
                    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 
+# Markup that shows nothing, tags that are blocks, and tags that break words.
 IGNORED_MARKUP = r"(?isu)<!--.*?-->|<(head|script|style|title)\b[^>]*>.*?</\1\s*>"
 
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "section", "article", "div")

@@ -132,27 +132,29 @@ def query_topics(question) -> Column:
         *[F.when(_asks(q, pattern), F.lit(topic)) for topic, pattern in TOPIC_QUERIES.items()])))
 
 
+def _time_reasons(question: Column, dated, conflict) -> list[tuple]:
+    """What both gates refuse first: questions about validity, a day or amendments."""
+    torn = is_true(conflict)
+    unless_torn = lambda reason: F.when(torn, "conflicting_status").otherwise(reason)
+    return [(_asks(question, VALIDITY_QUERY), unless_torn("validity_unverified")),
+            (is_true(dated) | _asks(question, AS_OF_QUERY), unless_torn("requested_date_unverified")),
+            (_asks(question, AMENDMENT_QUERY), "amendments_unverified")]
+
+
 def source_text_gate(question, dated, rows, conflict, all_ok) -> Column:
     """Reason of the source-text gate. Evidence comes as its row count, whether any row
     has a status conflict, and whether every row may be quoted."""
-    torn = is_true(conflict)
     full = rf"{_FLAGS}^(?:{SOURCE_TEXT_REQUEST})\z"
     return let(F.coalesce(as_col(question), F.lit("")), lambda q: first_reason(
-        (_asks(q, VALIDITY_QUERY), F.when(torn, "conflicting_status").otherwise("validity_unverified")),
-        (is_true(dated) | _asks(q, AS_OF_QUERY), F.when(torn, "conflicting_status").otherwise("requested_date_unverified")),
-        (_asks(q, AMENDMENT_QUERY), "amendments_unverified"),
-        (~strip_whitespace(q).rlike(full), "source_text_request_required"),
+        *_time_reasons(q, dated, conflict), (~strip_whitespace(q).rlike(full), "source_text_request_required"),
         (F.coalesce(as_col(rows), F.lit(0)) == 0, "no_evidence"),
         (~is_true(all_ok), "evidence_not_provisional_eligible"), default="snapshot_text_only"))
 
 
 def excerpt_gate(question, dated, rows, conflict, all_ok) -> Column:
     """Reason of the ordinary-topic excerpt gate."""
-    torn = is_true(conflict)
     return let(F.coalesce(as_col(question), F.lit("")), lambda q: first_reason(
-        (_asks(q, VALIDITY_QUERY), F.when(torn, "conflicting_status").otherwise("validity_unverified")),
-        (is_true(dated) | _asks(q, AS_OF_QUERY), F.when(torn, "conflicting_status").otherwise("requested_date_unverified")),
-        (_asks(q, AMENDMENT_QUERY), "amendments_unverified"), (_asks(q, OUT_OF_SCOPE_QUERY), "out_of_scope"),
+        *_time_reasons(q, dated, conflict), (_asks(q, OUT_OF_SCOPE_QUERY), "out_of_scope"),
         (_asks(q, ARTICLE_REFERENCE), "source_text_request_required"),
         (_asks(q, PERSONAL_QUERY) | _asks(q, APPLICABILITY_QUERY), "applicability_unverified"),
         (F.size(query_topics(q)) > 1, "ambiguous_facts"), (F.size(query_topics(q)) == 0, "out_of_scope"),

@@ -65,14 +65,16 @@ def evidence_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return policy.evidence_in_force(questions, _reviewed(spark, folder), include_open_ended=True).select("query_id", "legal_day", "o_orderkey")
 
 
-# Phrases put before a user turn, by its first letter, so that every gate rule is met.
+# Phrases put before a user turn, by its first letter, so that every gate rule is met; and
+# requests for a source text, one more question of each conversation.
+REQUESTS = ("Điều 24 quy định gì về thử việc?", "Nội dung của Điều 5 là gì")
 PHRASES = {
-    "a": "Điều 24 quy định gì về thử việc?", "e": "Quy định thử việc hiện nay: ", "i": "Hợp đồng và thử việc: ",
+    "e": "Quy định thử việc hiện nay: ", "i": "Hợp đồng và thử việc: ",
     "o": "Làm thêm giờ là gì: ", "u": "Luật sửa đổi: ", "t": "Nghỉ phép vào ngày 2020-01-02: ", "d": "Tôi được nghỉ phép: ",
-    "l": "Thuế và hợp đồng: ", "s": "Nội dung của Điều 5 là gì", "b": "Giờ làm theo Điều 7: ", "r": "thử  việc: "}
+    "l": "Thuế và hợp đồng: ", "b": "Giờ làm theo Điều 7: ", "r": "thử  việc: "}
 _ASK = "lower(left(text, 1))"
 _QUESTION_SQL = (f"CASE {_ASK} " + " ".join(
-    f"WHEN '{k}' THEN " + (f"'{v}'" if k in "as" else f"'{v}' || text") for k, v in PHRASES.items()) + " ELSE text END")
+    f"WHEN '{k}' THEN '{v}' || text" for k, v in PHRASES.items()) + " ELSE text END")
 _LEFT, _RIGHT = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
 
 
@@ -87,24 +89,27 @@ def _matches(pattern: str, column: str = "q") -> str:
     return f"regexp_matches({column}, '{_sql_pattern(pattern)}')"
 
 
-_QUESTIONS_SQL = f"qs AS (SELECT conv_id, turn, {_QUESTION_SQL} q FROM conversations WHERE role = 'user')"
+_QUESTIONS_SQL = f"""qs AS (SELECT conv_id, CAST(turn AS VARCHAR) turn, {_QUESTION_SQL} q, conv_id % 7 = 6 bare, conv_id % 3 = 0 AND conv_id % 7 <> 6 torn
+  FROM conversations WHERE role = 'user'
+  UNION ALL SELECT DISTINCT conv_id, 'request', ['{REQUESTS[0]}', '{REQUESTS[1]}'][conv_id % 2 + 1], conv_id % 7 = 6, conv_id % 3 = 0 AND conv_id % 7 <> 6 FROM conversations)"""
 _TOPICS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_matches(p)} THEN '{t}' END" for t, p in policy.TOPIC_QUERIES.items()) + "], lambda x: x IS NOT NULL)"
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    letter, text = F.lower(F.substring("text", 1, 1)), F.col("text")
-    phrase = None
+    letter, text, phrase = F.lower(F.substring("text", 1, 1)), F.col("text"), None
     for key, value in PHRASES.items():
-        shown = F.lit(value) if key in "as" else F.concat(F.lit(value), text)
-        phrase = F.when(letter == key, shown) if phrase is None else phrase.when(letter == key, shown)
-    return table(spark, folder, "conversations").where("role = 'user'").select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "conv_id", "turn",
-        phrase.otherwise(text).alias("query"), F.lit(False).alias("dated"))
+        phrase = F.when(letter == key, value) if phrase is None else phrase.when(letter == key, value)
+    turns = table(spark, folder, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", F.col("turn").cast("string").alias("turn"), F.concat(phrase.otherwise(""), text).alias("query"))
+    requests = turns.select("conv_id").distinct().select(
+        "conv_id", F.lit("request").alias("turn"), F.when(F.col("conv_id") % 2 == 0, REQUESTS[0]).otherwise(REQUESTS[1]).alias("query"))
+    return asked.unionByName(requests).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), "turn").alias("query_id"), "conv_id", "query", F.lit(False).alias("dated"))
 
 
 def _evidence(questions: DataFrame) -> DataFrame:
-    """One evidence row per question; the conversation decides conflict and scope."""
-    return questions.select(
+    """One evidence row per question; the conversation decides conflict and scope, and one in seven has no evidence."""
+    return questions.where("conv_id % 7 <> 6").select(
         "query_id", F.when(F.col("conv_id") % 5 != 0, CENTRAL_SCOPE).otherwise("Tỉnh").alias("pham_vi"), F.lit(True).alias("retrieval_index_candidate"),
         F.lit("unverified").alias("current_validity"), F.lit("unknown_expiry").alias("expiry_state"),
         (F.col("conv_id") % 3 == 0).alias("reported_status_conflict"), F.lit("r").alias("source_dataset_revision"),
@@ -116,24 +121,24 @@ _FULL = "(?i)^(?:" + policy.SOURCE_TEXT_REQUEST + ")$"
 
 
 @query(f"""WITH {_QUESTIONS_SQL} SELECT conv_id || ':' || turn query_id, CASE
-WHEN {_matches(policy.VALIDITY_QUERY)} THEN CASE WHEN conv_id % 3 = 0 THEN 'conflicting_status' ELSE 'validity_unverified' END
-WHEN {_matches(policy.AS_OF_QUERY)} THEN CASE WHEN conv_id % 3 = 0 THEN 'conflicting_status' ELSE 'requested_date_unverified' END
+WHEN {_matches(policy.VALIDITY_QUERY)} THEN CASE WHEN torn THEN 'conflicting_status' ELSE 'validity_unverified' END
+WHEN {_matches(policy.AS_OF_QUERY)} THEN CASE WHEN torn THEN 'conflicting_status' ELSE 'requested_date_unverified' END
 WHEN {_matches(policy.AMENDMENT_QUERY)} THEN 'amendments_unverified'
 WHEN NOT regexp_matches(trim(q), '{_FULL}') THEN 'source_text_request_required'
-WHEN conv_id % 5 = 0 THEN 'evidence_not_provisional_eligible' ELSE 'snapshot_text_only' END reason FROM qs""")
+WHEN bare THEN 'no_evidence' WHEN conv_id % 5 = 0 THEN 'evidence_not_provisional_eligible' ELSE 'snapshot_text_only' END reason FROM qs""")
 def source_text_gate(spark: SparkSession, folder: str) -> DataFrame:
     questions = _questions(spark, folder)
     return policy.decide_source_text(questions, _evidence(questions)).select("query_id", "reason")
 
 
 @query(f"""WITH {_QUESTIONS_SQL}, t AS (SELECT *, {_TOPICS_SQL} topics FROM qs) SELECT conv_id || ':' || turn query_id, CASE
-WHEN {_matches(policy.VALIDITY_QUERY)} THEN CASE WHEN conv_id % 3 = 0 THEN 'conflicting_status' ELSE 'validity_unverified' END
-WHEN {_matches(policy.AS_OF_QUERY)} THEN CASE WHEN conv_id % 3 = 0 THEN 'conflicting_status' ELSE 'requested_date_unverified' END
+WHEN {_matches(policy.VALIDITY_QUERY)} THEN CASE WHEN torn THEN 'conflicting_status' ELSE 'validity_unverified' END
+WHEN {_matches(policy.AS_OF_QUERY)} THEN CASE WHEN torn THEN 'conflicting_status' ELSE 'requested_date_unverified' END
 WHEN {_matches(policy.AMENDMENT_QUERY)} THEN 'amendments_unverified' WHEN {_matches(policy.OUT_OF_SCOPE_QUERY)} THEN 'out_of_scope'
 WHEN {_matches(policy.ARTICLE_REFERENCE)} THEN 'source_text_request_required'
 WHEN {_matches(policy.PERSONAL_QUERY)} OR {_matches(policy.APPLICABILITY_QUERY)} THEN 'applicability_unverified'
 WHEN len(topics) > 1 THEN 'ambiguous_facts' WHEN len(topics) = 0 THEN 'out_of_scope'
-WHEN conv_id % 5 = 0 OR topics[1] NOT IN ('probation', 'working_time') THEN 'evidence_not_provisional_eligible'
+WHEN bare THEN 'no_evidence' WHEN conv_id % 5 = 0 OR topics[1] NOT IN ('probation', 'working_time') THEN 'evidence_not_provisional_eligible'
 ELSE 'snapshot_excerpt_only' END reason FROM t""")
 def policy_gate(spark: SparkSession, folder: str) -> DataFrame:
     questions = _questions(spark, folder)
