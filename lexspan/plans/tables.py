@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspan.sources.readers import read_in_order
+from lexspan.sources.readers import read_in_order, read_with_place
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,9 +51,9 @@ def _shared_id(number: str, prefix: str):
     return F.when(F.col(number) % 2 == 1, F.col(number).cast("string")).otherwise(F.concat(F.lit(prefix), F.col(number).cast("string")))
 
 
-def _rows(spark: SparkSession, folder: str, names: list[str], ordered: bool) -> list[DataFrame]:
+def _rows(spark: SparkSession, folder: str, names: list[str], ordered: bool, read=read_in_order) -> list[DataFrame]:
     if ordered:
-        return read_in_order(spark, *(f"{folder}/{name}.parquet" for name in names))
+        return read(spark, *(f"{folder}/{name}.parquet" for name in names))
     return [table(spark, folder, name).withColumn("row_index", F.lit(None).cast("long")) for name in names]
 
 
@@ -81,8 +81,8 @@ def metadata(spark: SparkSession, folder: str, ordered: bool = False) -> DataFra
 
 def content(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """Content rows: every document text, then every page; every second page is a later row
-    of a document."""
-    texts, pages = _rows(spark, folder, ["documents", "pages"], ordered)
+    of a document. ``row_index`` only orders the rows: texts are not joined with a count."""
+    texts, pages = _rows(spark, folder, ["documents", "pages"], ordered, read_with_place)
     return texts.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content_html"), "row_index").unionByName(
         pages.select(_shared_id("page_id", "p").alias("id"), F.col("html").alias("content_html"), "row_index"))
 

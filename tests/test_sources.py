@@ -152,3 +152,12 @@ def test_row_index_is_the_place_in_the_input(spark, tmp_path):
     got = [r.x for r in sorted(first.collect() + second.collect(), key=lambda r: r.row_index)]
     assert got == [f"a1-{k}" for k in range(70)] + [f"a2-{k}" for k in range(3)] + [f"b1-{k}" for k in range(5)]
     assert sorted(r.row_index for r in first.repartition(3).collect()) == list(range(73))
+
+
+def test_places_order_rows_as_the_row_index_does(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(40).select(F.concat(F.lit(name), F.col("id").cast("string")).alias("x")).repartition(3).write.parquet(str(tmp_path / name))
+    paths = [str(tmp_path / name) for name in ("a", "b")]
+    dense, places = readers.read_in_order(spark, *paths), readers.read_with_place(spark, *paths)
+    by_index = [r.x for r in dense[0].unionAll(dense[1]).orderBy("row_index").collect()]
+    assert [r.x for r in places[0].unionAll(places[1]).orderBy("row_index").collect()] == by_index and len(by_index) == 80
