@@ -103,38 +103,81 @@ def safe_url(url) -> Column:
     return F.when(scheme.isin("http", "https") & (host != "") & ~F.contains(authority, F.lit("@")), col)
 
 
+# Classes of refused provider calls in order of precedence. A class holds where
+# the type, code or parameter of the error is among its own, or the message names it: one of
+# its words, or one of its second words beside "model".
+UPSTREAM_CLASSES = {
+    "structured_output_rejected": {"code": ("json_validate_failed", "response_format_not_supported"), "param": ("response_format",),
+                                   "words": ("response_format", "json schema")},
+    "request_parameter_rejected": {"code": ("unsupported_value", "invalid_value", "missing_required_parameter", "unknown_parameter"),
+                                   "param": ("max_completion_tokens", "max_tokens", "reasoning_effort"),
+                                   "words": ("max_completion_tokens", "max_tokens", "reasoning_effort")},
+    "authentication_or_permission_rejected": {"type": ("authentication_error", "permission_error"), "code": ("invalid_api_key", "insufficient_quota"),
+                                              "words": ("invalid api key", "authentication", "permission")},
+    "rate_limited": {"type": ("rate_limit_error",), "code": ("rate_limit_exceeded",), "words": ("rate limit",)},
+    "model_unavailable": {"type": ("not_found_error",), "code": ("model_not_found",), "model_words": ("not found", "unavailable")},
+}
+# Values that are in no class but may be told.
+UPSTREAM_OTHERS = {"type": ("invalid_request_error", "server_error", "internal_server_error"), "code": ("context_length_exceeded",), "param": ("model", "messages")}
+
+
+def upstream_values(kind: str) -> tuple[str, ...]:
+    """What an error's type, code or parameter may be told as, besides ``other``."""
+    return tuple(v for rule in UPSTREAM_CLASSES.values() for v in rule.get(kind, ())) + UPSTREAM_OTHERS[kind]
+
+
 def upstream_error_class(error_type, code, param, message) -> Column:
-    """Class of a refused provider call: code and parameter first, then type, then message."""
+    """The first class that the error's values or its message name, else ``other``."""
     said = message_class(message)
-    kind, number, name = (casefold(F.coalesce(as_col(c), F.lit(""))) for c in (error_type, code, param))
-    return first_reason(
-        (number.isin("json_validate_failed", "response_format_not_supported") | (name == "response_format")
-         | equals(said, "structured_output_rejected"), "structured_output_rejected"),
-        (number.isin("unsupported_value", "invalid_value", "missing_required_parameter", "unknown_parameter")
-         | name.isin("max_completion_tokens", "max_tokens", "reasoning_effort")
-         | equals(said, "request_parameter_rejected"), "request_parameter_rejected"),
-        (kind.isin("authentication_error", "permission_error") | number.isin("invalid_api_key", "insufficient_quota")
-         | equals(said, "authentication_or_permission_rejected"), "authentication_or_permission_rejected"),
-        ((kind == "rate_limit_error") | (number == "rate_limit_exceeded") | equals(said, "rate_limited"), "rate_limited"),
-        ((kind == "not_found_error") | (number == "model_not_found") | equals(said, "model_unavailable"),
-         "model_unavailable"), default="other")
+    given = {kind: casefold(as_col(c)) for kind, c in (("type", error_type), ("code", code), ("param", param))}
+
+    def named(name: str, rule: dict) -> Column:
+        found = equals(said, name)
+        for kind, values in given.items():
+            if kind in rule:
+                found = found | F.coalesce(values.isin(*rule[kind]), F.lit(False))
+        return found
+
+    return first_reason(*((named(name, rule), name) for name, rule in UPSTREAM_CLASSES.items()), default="other")
 
 
 def message_class(message) -> Column:
+    """The first class whose words a message has, ``other`` where none does; NULL without one."""
     text = casefold(as_col(message))
 
-    def has(*words):
-        found = F.lit(False)
-        for word in words:
-            found = found | F.contains(text, F.lit(word))
-        return found
-
-    return F.when(as_col(message).isNotNull(), first_reason(
-        (has("response_format", "json schema"), "structured_output_rejected"),
-        (has("max_completion_tokens", "max_tokens", "reasoning_effort"), "request_parameter_rejected"),
-        (has("invalid api key", "authentication", "permission"), "authentication_or_permission_rejected"),
-        (has("rate limit"), "rate_limited"),
-        (has("model") & has("not found", "unavailable"), "model_unavailable"), default="other"))
+    def has(words):
+        return F.exists(lit_array(words), lambda word: F.contains(text, word))
+
+    rules = [(has(rule["words"]) if "words" in rule else F.contains(text, F.lit("model")) & has(rule["model_words"]), name)
+             for name, rule in UPSTREAM_CLASSES.items()]
+    return F.when(as_col(message).isNotNull(), first_reason(*rules, default="other"))
+
+
+def upstream_error(body) -> Column:
+    """What may be told of the body of a refused call, as a struct; NULL where the body is no
+    JSON object with an object ``error``. Values outside the known ones become ``other``; of a
+    failed generation only its length and whether it is JSON are told (an object that repeats a
+    key counts as invalid)."""
+    parsed = F.try_parse_json(as_col(body))
+
+    def told(error: Column) -> Column:
+        def text(key: str) -> Column:
+            value = F.try_variant_get(error, f"$.{key}", "variant")
+            return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(error, f"$.{key}", "string"))
+
+        values = {kind: text(kind) for kind in ("type", "code", "param")}
+        made = F.try_variant_get(error, "$.failed_generation", "variant")
+        present, output = made.isNotNull(), text("failed_generation")
+        verdict = first_reason((~present, "absent"), (output.isNull(), "not_string"), (F.try_parse_json(output).isNotNull(), "valid"), default="invalid")
+        mapped = [F.coalesce(F.when(casefold(value).isin(*upstream_values(kind)), casefold(value)), F.lit("other")).alias(f"upstream_error_{kind}")
+                  for kind, value in values.items()]
+        return F.struct(
+            *mapped, upstream_error_class(*values.values(), text("message")).alias("upstream_error_classification"),
+            message_class(text("message")).alias("upstream_error_message_classification"), present.alias("failed_generation_present"),
+            F.length(output).alias("failed_generation_length_chars"), verdict.alias("failed_generation_json_verdict"))
+
+    error = F.try_variant_get(parsed, "$.error", "variant")
+    return F.when(F.startswith(F.schema_of_variant(error), F.lit("OBJECT")), let(error, told))
 
 
 def collection_name(prefix: str, revision: Column | str, spec_hash=None) -> Column:

@@ -66,7 +66,8 @@ def _citation_rows(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def validate(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """valid, unknown_ids, uncited_claims and invalid_citations per answer.
+    """valid, citation_ids, unknown_ids, uncited_claims and invalid_citations per answer.
+    ``citation_ids`` are the cited evidence ids in order, none where the answer's form is wrong.
 
     Lists per answer come from the answer's own claims and citations, so they stay as
     small as the answer; evidence is only ever joined.
@@ -111,7 +112,8 @@ def validate(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     invalid = F.when(F.col("schema_error").isNotNull(), F.array("schema_error")).otherwise(
         F.concat(before, F.coalesce("broken", none), F.coalesce("not_extracted", none), after))
-    result = joined.select("answer_id", F.coalesce("unknown_ids", none).alias("unknown_ids"),
+    cited = F.when(F.col("schema_error").isNull(), F.transform("citations", lambda c: c["evidence_id"]))
+    result = joined.select("answer_id", F.coalesce(cited, none).alias("citation_ids"), F.coalesce("unknown_ids", none).alias("unknown_ids"),
                            F.coalesce("uncited_claims", none).alias("uncited_claims"), invalid.alias("invalid_citations"))
     return result.withColumn("valid", (F.size("unknown_ids") == 0) & (F.size("uncited_claims") == 0) & (F.size("invalid_citations") == 0))
 
@@ -121,15 +123,16 @@ def joined_claims() -> Column:
 
 
 def repair_text(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Adopt the joined claims as the text where that alone makes an answer valid."""
-    first = validate(answers, evidence).select("answer_id", F.col("valid").alias("was_valid"), "invalid_citations")
-    repaired = answers.withColumn("text", F.coalesce(joined_claims(), F.lit("")))
-    second = validate(repaired, evidence).select("answer_id", F.col("valid").alias("now_valid"))
-    rows = answers.join(first, "answer_id").join(second, "answer_id")
-    adopt = ~F.col("was_valid") & F.col("now_valid")
-    return rows.select(*[F.when(adopt, F.coalesce(joined_claims(), F.lit(""))).otherwise(F.col("text")).alias("text") if c == "text"
-                         else F.col(c) for c in answers.columns], adopt.alias("text_repaired"),
-                       (F.col("was_valid") | F.col("now_valid")).alias("valid"))
+    """Adopt the joined claims as the text of answers whose text is all that is wrong with them:
+    provisional ones, and those with a blank text. A new text mends nothing else, so one
+    validation decides. A NULL text is an error of form and stays."""
+    checked = validate(answers, evidence)
+    only_text = ((F.size("unknown_ids") == 0) & (F.size("uncited_claims") == 0) & (F.size("invalid_citations") == 1)
+                 & (F.get("invalid_citations", F.lit(0)) == "unvalidated_text"))
+    rows = answers.join(checked.select("answer_id", F.col("valid").alias("__valid"), only_text.alias("__only_text")), "answer_id")
+    adopt = F.col("__only_text") & ((F.col("state") == "provisional") | (_strip(F.col("text")) == ""))
+    return rows.select(*[F.when(adopt, joined_claims()).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in answers.columns],
+                       adopt.alias("text_repaired"), (F.col("__valid") | adopt).alias("valid"))
 
 
 def unique_span(text: Column, quote: Column) -> Column:

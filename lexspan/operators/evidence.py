@@ -65,6 +65,28 @@ def resolve_articles(questions: DataFrame, catalog: DataFrame, topical: bool = T
         F.when(F.col("status") == "resolved", F.col("only.document_version_id")).alias("document_version_id"))
 
 
+def decide_articles(questions: DataFrame, catalog: DataFrame, topical: bool = True) -> DataFrame:
+    """Questions (query_id, query, dated) that name articles: whether the article's text may be
+    shown, the reason, and which it is.
+
+    The gate for source texts comes first, as if there were no evidence; what passes it is
+    looked up, and the gate is asked again with the row that was found. Rows of the catalogue
+    that repeat an article and version count as one, which has to pass as a whole.
+    """
+    asked = questions.join(requested_articles(questions).select("query_id"), "query_id", "left_semi").withColumn(
+        "before", policy.source_text_gate("query", "dated", F.lit(0), F.lit(False), F.lit(True)))
+    keys = ["article_id", "document_version_id"]
+    found = resolve_articles(asked.where("before = 'no_evidence'"), catalog, topical).select("query_id", "status", *keys)
+    facts = catalog.join(found.where("status = 'resolved'").select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
+        F.bool_or(is_true("reported_status_conflict")).alias("conflict"), F.bool_and(policy.provisional_row_ok()).alias("row_ok"))
+    rows = asked.join(found, "query_id", "left").join(facts, keys, "left")
+    after = policy.source_text_gate("query", "dated", F.lit(1), "conflict", "row_ok")
+    reason = F.when(F.col("before") != "no_evidence", F.col("before")).when(F.col("status") != "resolved", F.col("status")).otherwise(after)
+    allowed = F.col("reason") == "snapshot_text_only"
+    return rows.withColumn("reason", reason).select(
+        "query_id", "reason", allowed.alias("allowed"), F.when(allowed, F.concat_ws(":", *keys)).alias("evidence_id"))
+
+
 def unique_catalog(catalog: DataFrame) -> DataFrame:
     """Catalogue rows whose (article, version) occurs once."""
     keys = ["article_id", "document_version_id"]
@@ -72,21 +94,40 @@ def unique_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.join(once, keys, "left_semi")
 
 
-def excerpt_evidence(questions: DataFrame, hits: DataFrame, catalog: DataFrame, cap: int = EXCERPT_CAP) -> DataFrame:
-    """Hits (query_id, article_id, document_version_id, rank) that the excerpt gate lets
-    through, first ``cap`` in rank order, with the clipped excerpt. Filtering comes before
-    the cap, so denied rows do not use it up."""
+def _gated_hits(questions: DataFrame, hits: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Hits on catalogue rows that occur once and have a text, with the excerpt gate's reason for each alone."""
     keys = ["article_id", "document_version_id"]
     rows = hits.select("query_id", *keys, F.col("rank").alias("hit_rank")).join(unique_catalog(catalog), keys)
     rows = rows.where(~is_blank("canonical_text")).join(questions.select("query_id", "query", "dated"), "query_id")
     topic = F.get(policy.query_topics("query"), F.lit(0))
     ok = policy.provisional_row_ok() & F.coalesce(F.array_contains("topic_candidates", topic), F.lit(False))
-    gate = policy.excerpt_gate("query", "dated", F.lit(1), is_true("reported_status_conflict"), ok)
-    allowed = rows.where(gate == "snapshot_excerpt_only")
+    return rows.withColumn("gate", policy.excerpt_gate("query", "dated", F.lit(1), is_true("reported_status_conflict"), ok))
+
+
+def excerpt_evidence(questions: DataFrame, hits: DataFrame, catalog: DataFrame, cap: int = EXCERPT_CAP) -> DataFrame:
+    """Hits (query_id, article_id, document_version_id, rank) that the excerpt gate lets
+    through, first ``cap`` in rank order, with the clipped excerpt. Filtering comes before
+    the cap, so denied rows do not use it up."""
+    allowed = _gated_hits(questions, hits, catalog).where("gate = 'snapshot_excerpt_only'").drop("gate")
     picked = top_k(allowed, ["query_id"], [F.asc("hit_rank")], cap, "evidence_rank")
-    return picked.withColumns({"evidence_id": F.concat_ws(":", *keys),
+    return picked.withColumns({"evidence_id": F.concat_ws(":", "article_id", "document_version_id"),
                                "excerpt": clip_excerpt("canonical_text", EXCERPT_CHARS)}).drop("query", "dated")
 
 
+def decide_excerpts(questions: DataFrame, hits: DataFrame, catalog: DataFrame, cap: int = EXCERPT_CAP) -> DataFrame:
+    """One decision per question: the number of excerpts (``cap`` at most), whether any of
+    their sources reports a conflict, and the reason. Without an excerpt it is the denial of
+    the best hit, or the gate's own answer where no hit is on a usable row."""
+    gated = _gated_hits(questions, hits, catalog).select("query_id", "hit_rank", "gate", is_true("reported_status_conflict").alias("conflict"))
+    picked = top_k(gated.where("gate = 'snapshot_excerpt_only'"), ["query_id"], [F.asc("hit_rank")], cap, "evidence_rank").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("excerpts"), F.bool_or("conflict").alias("conflict"))
+    denied = gated.where("gate <> 'snapshot_excerpt_only'").groupBy("query_id").agg(F.min_by("gate", "hit_rank").alias("denial"))
+    rows = questions.join(picked, "query_id", "left").join(denied, "query_id", "left")
+    empty = policy.excerpt_gate("query", "dated", F.lit(0), F.lit(False), F.lit(True))
+    excerpts = F.coalesce("excerpts", F.lit(0))
+    return rows.select("query_id", excerpts.alias("excerpts"), is_true("conflict").alias("conflict"),
+                       F.when(excerpts > 0, "snapshot_excerpt_only").otherwise(F.coalesce("denial", empty)).alias("reason"))
+
+
 def first_sources(evidence: DataFrame, cap: int = PROVIDER_CAP) -> DataFrame:
     return evidence.where(F.col("evidence_rank") <= cap)

@@ -5,8 +5,11 @@ Works on a static table and, being stateless, unchanged on a stream.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexspan.functions.classify import UPSTREAM_CLASSES, upstream_values
 from lexspan.functions.columns import as_col, lit_array
 from lexspan.functions.ids import sha256
 
@@ -27,6 +30,14 @@ VALIDATION_CODES = (
     "requested_legal_date_required", "provisional_as_of_date_not_allowed", "invalid_answer_legal_date",
     "contradictory_legal_date", "non_answer_state_contains_claims", "unvalidated_text", "unknown_evidence_reference",
     "uncited_claim", "evidence_or_claim_reference")
+GENERATION_VERDICTS = ("absent", "not_string", "valid", "invalid", "unassessed")
+# Fields of a diagnostic beyond the ones it always has, with what each may hold: one of the
+# values, any flag (None) or a count that is not negative (0).
+FURTHER_FIELDS = {
+    **{f"upstream_error_{kind}": (*upstream_values(kind), "other") for kind in ("type", "code", "param")},
+    "upstream_error_classification": (*UPSTREAM_CLASSES, "other"), "upstream_error_message_classification": (*UPSTREAM_CLASSES, "other"),
+    "failed_generation_present": None, "failed_generation_length_chars": 0, "failed_generation_json_verdict": GENERATION_VERDICTS,
+    "invalid_citation_count": 0, "unknown_evidence_count": 0, "uncited_claim_count": 0}
 
 
 def only(value, allowed) -> Column:
@@ -48,11 +59,16 @@ def class_name(value) -> Column:
     return F.when(col.rlike(r"^[A-Za-z][A-Za-z0-9_]{0,79}\z"), col)
 
 
-def safe_diagnostic(source: Column) -> Column:
+def _further(source: Column, name: str) -> Column:
+    allowed, value = FURTHER_FIELDS[name], source[name]
+    return (value if allowed is None else F.when(value >= 0, value) if allowed == 0 else only(value, allowed)).alias(name)
+
+
+def safe_diagnostic(source: Column, further: Iterable[str] = ()) -> Column:
     """A diagnostic struct reduced to its allowed values; NULL when its phase is unknown.
     Expects fields phase, outcome, exception_class, upstream_http_status, elapsed_ms,
     finish_reason, reason_class, response_shape (map of strings), usage and
-    validation_reason_codes."""
+    validation_reason_codes, and those of FURTHER_FIELDS that are named."""
     status, elapsed = source["upstream_http_status"], source["elapsed_ms"]
     shape = F.transform_values(
         F.map_filter(source["response_shape"], lambda key, value: F.when(key.isin(*SHAPE_COUNTS), value.rlike(r"^\d+\z"))
@@ -65,7 +81,8 @@ def safe_diagnostic(source: Column) -> Column:
         F.when((elapsed >= 0) & (elapsed < float("inf")), F.round(elapsed, 2)).alias("elapsed_ms"),
         only(source["finish_reason"], FINISH_REASONS).alias("finish_reason"), shape.alias("response_shape"),
         keep_counts(source["usage"], USAGE_KEYS).alias("usage"),
-        F.array_sort(F.array_intersect(source["validation_reason_codes"], lit_array(VALIDATION_CODES))).alias("validation_reason_codes")))
+        F.array_sort(F.array_intersect(source["validation_reason_codes"], lit_array(VALIDATION_CODES))).alias("validation_reason_codes"),
+        *[_further(source, name) for name in further]))
 
 
 def redact(events: DataFrame) -> DataFrame:
@@ -77,7 +94,9 @@ def redact(events: DataFrame) -> DataFrame:
         F.coalesce(F.array_compact("evidence_ids"), F.array().cast("array<string>")).alias("evidence_ids"),
         keep_counts("usage", USAGE_KEYS).alias("usage"), only("reason", REASONS).alias("reason"), sha256("query").alias("query_sha256")]
     if "diagnostics" in events.columns:
-        safe = F.array_compact(F.transform("diagnostics", safe_diagnostic))
+        given = events.schema["diagnostics"].dataType.elementType.fieldNames()
+        further = [name for name in FURTHER_FIELDS if name in given]
+        safe = F.array_compact(F.transform("diagnostics", lambda source: safe_diagnostic(source, further)))
         columns.append(F.when(F.size(safe) > 0, safe).alias("diagnostics"))
     return events.select(*columns)
 

@@ -24,4 +24,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> None:
-    from lexspan.plans import audit, evaluation, parsing, policy, retrieval, staging  # noqa: F401
+    from lexspan.plans import answers, audit, evaluation, parsing, policy, retrieval, staging  # noqa: F401

@@ -73,6 +73,12 @@ def test_upstream_errors(values):
         "structured_output_rejected", "request_parameter_rejected", "authentication_or_permission_rejected", "rate_limited",
         "model_unavailable", "other", "other"]
     assert values(["Rate_Limit_Error"], lambda c: classify.upstream_error_class(c, none, none, none)) == ["rate_limited"]
+    bodies = ['{"error": {"code": "Invalid_Value", "message": "x", "failed_generation": "[1, NaN]"}}', '{"error": {"type": "odd", "failed_generation": null}}',
+              '{"error": []}', "[1]", "no", None, '{"error": {}}']
+    told = values(bodies, classify.upstream_error)
+    assert tuple(told[0]) == ("other", "invalid_value", "other", "request_parameter_rejected", "other", True, 8, "invalid")
+    assert tuple(told[1])[5:] == (True, None, "not_string") and told[2:6] == [None] * 4
+    assert tuple(told[6])[3:] == ("other", None, False, None, "absent")
 
 
 def test_vectors(values):

@@ -178,3 +178,39 @@ def test_days_meet_the_intervals_that_hold_them(spark):
     assert sorted((r.q, r.e) for r in joined.collect()) == expected
     blocks = right.select("e", F.size(intervals.interval_blocks(F.col("first"), F.col("last"))).alias("n")).collect()
     assert max(r.n for r in blocks if r.n is not None) <= 2 * intervals.LEVELS
+
+
+def test_article_and_excerpt_decisions(spark):
+    schema = ("article_id string, document_version_id string, label string, canonical_text string, title string, so_ky_hieu string, pham_vi string, "
+              "retrieval_index_candidate boolean, topic_candidates array<string>, current_validity string, expiry_state string, reported_status_conflict boolean, "
+              "source_dataset_revision string, content_sha256 string")
+
+    def row(key, number, validity="unverified", conflict=False, text="t"):
+        return (key, "v", f"Điều {number}", text, "Bộ luật", "1", "Trung ương", True, ["leave"], validity, "unknown_expiry", conflict, "r", "h")
+
+    catalog = spark.createDataFrame([row("a", 1), row("b", 2, "verified"), row("c", 3), row("d", 3), row("e", 4), row("e", 4, "verified"), row("f", 5, text=" "),
+                                     row("g", 6, conflict=True), row("h", 7, "verified", True)], schema)
+    asked = {"1": "trích điều 1", "2": "trích điều 2", "3": "trích điều 3", "4": "trích điều 4", "5": "điều 1 và điều 2", "6": "điều 1 còn hiệu lực?", "9": "trích điều 9",
+             "x": "no number", "n": None}
+    questions = spark.createDataFrame([(k, q, False) for k, q in asked.items()] + [("d", "trích điều 1", True)], "query_id string, query string, dated boolean")
+    got = {r.query_id: (r.reason, r.evidence_id) for r in evidence.decide_articles(questions, catalog).collect()}
+    assert got == {"1": ("snapshot_text_only", "a:v"), "2": ("evidence_not_provisional_eligible", None), "3": ("requested_article_not_unambiguous", None),
+                   "4": ("evidence_not_provisional_eligible", None), "5": ("source_text_request_required", None), "6": ("validity_unverified", None),
+                   "9": ("requested_article_not_unambiguous", None), "d": ("requested_date_unverified", None)}
+    hits = [("p", "b", 1), ("p", "a", 2), ("p", "g", 3), ("q", "f", 1), ("q", "e", 2), ("r", "h", 1), ("r", "b", 2), ("s", "zz", 1), ("t", "h", 1), ("t", "a", 2)]
+    topic = spark.createDataFrame([(k, "nghỉ phép", False) for k in "pqrsu"] + [("t", "nghỉ phép hiện nay", False)], "query_id string, query string, dated boolean")
+    found = spark.createDataFrame([(q, a, "v", k) for q, a, k in hits], "query_id string, article_id string, document_version_id string, rank int")
+    decided = {r.query_id: (r.excerpts, r.conflict, r.reason) for r in evidence.decide_excerpts(topic, found, catalog).collect()}
+    refused = "evidence_not_provisional_eligible"
+    assert decided == {"p": (2, True, "snapshot_excerpt_only"), "q": (0, False, "no_evidence"), "r": (0, False, refused), "s": (0, False, "no_evidence"),
+                       "t": (0, False, "conflicting_status"), "u": (0, False, "no_evidence")}
+    assert evidence.decide_excerpts(topic, found, catalog, cap=1).where("query_id = 'p'").first().excerpts == 1
+
+
+def test_only_the_text_is_repaired(contract):
+    answers, sources = contract
+    nulled = answers.where("answer_id = 'text'").withColumn("text", F.lit(None).cast("string"))
+    assert not citations.repair_text(nulled, sources).first().text_repaired
+    stated = answers.where("answer_id = 'ok'").withColumn("text", F.lit("other words"))
+    assert not citations.repair_text(stated, sources).first().text_repaired
+    assert citations.validate(*contract).where("answer_id = 'ok'").first().citation_ids == ["E1"]
