@@ -1,20 +1,22 @@
 """Language identification (operator 2): known words first, shorter n-grams for the rest.
 
-Words are runs of letters, lower-cased. A word that is frequent in some language scores
+Words are runs of letters, lower-cased. A word that was learned in some language scores
 its log10 relative frequency in every language. Any other word backs off: it takes the
 mean over its known character n-grams of the longest order that has one, from four
 characters down to one, with the word's edges as characters. Where a language lacks what
-another has, a fixed penalty stands. The language with the highest sum wins, ties go to
-the first in alphabetical order, and the score is its share after exponentiation.
-
-The model holds words and n-grams with a relative frequency of at least ``MIN_SHARE``
-within a language and order, so a language has at most 1 / MIN_SHARE of each order: that
-bounds what is gathered and sent to tasks. All learning documents are counted.
+another has, it takes a penalty: -7, or half an occurrence where that is less. Scores are
+whole millionths, so their sums are the same in any order. The language with the highest
+sum wins, ties go to the first in alphabetical order, and the score is its share after
+exponentiation.
+
+All words and n-grams of all learning documents are the model, as tables. Tasks are sent
+only its most frequent words, at most ``SENT_SCORES`` scores whatever the number of
+languages; the other words of a text stay in its row, and each distinct one is looked up
+once by joins: in the table of words, then, order by order, in the tables of n-grams.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexspan.llm.common import cut_lineage
+
 ORDERS = (4, 3, 2, 1)
-MIN_SHARE = 4e-6
-PENALTY = -7.0
-# Words outside the model whose back-off a worker remembers.
-REMEMBERED = 200_000
+PENALTY, SCALE = -7.0, 1_000_000
+# Words sent to tasks, and scores (a word has one for each language): bounds of a broadcast only.
+SENT_WORDS, SENT_SCORES = 250_000, 8_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -52,90 +55,89 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.array(list(counter.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, size, gram, share): frequent words (size 0) and n-grams of every language."""
+def _grams(word: str, size: int) -> Column:
+    """N-grams of a word between its edges, in order and with repeats."""
+    padded = F.concat(F.lit(" "), F.col(word), F.lit(" "))
+    count = F.length(padded) - (size - 1)
+    return F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda at: F.substring(padded, at, F.lit(size)))
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """(languages in order, table of (size, gram, n, scores)): all words (size 0) and n-grams
+    with their scores by language. Rows of the totals, a few per language, pass the driver."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
-    pieces = [F.transform(F.sequence(F.lit(1), F.length(padded) - (size - 1)),
-                          lambda at, size=size: F.struct(F.lit(size).alias("size"), F.substring(padded, at, F.lit(size)).alias("gram")))
-              for size in ORDERS]
-    pieces = [F.when(F.length(padded) >= size, piece).otherwise(F.slice(piece, 1, 0)) if size > 3 else piece
-              for size, piece in zip(ORDERS, pieces, strict=True)]
-    grams = counted.select("lang", "n", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), "gram")), *pieces)).alias("x"))
-    sums = grams.groupBy("lang", "x.size", "x.gram").agg(F.sum("n").alias("n"))
-    # Sizes per language: word tokens give the number of n-grams of each order as well.
-    totals = counted.select("lang", "n", F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.greatest(
-        F.lit(0), F.length("gram") + 2 - (size - 1)).alias("each")) for size in ORDERS], F.struct(F.lit(0).alias("size"), F.lit(1).alias("each")))).alias("x"))
-    totals = totals.groupBy("lang", "x.size").agg(F.sum(F.col("n") * F.col("x.each")).alias("total"))
-    return (sums.join(totals, ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
-            .where(F.col("share") >= MIN_SHARE).select("lang", "size", "gram", "share"))
-
-
-class Model:
-    """Log relative frequencies as one row per word or n-gram, a column per language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, float]]):
-        self.languages = sorted({r[0] for r in rows})
-        place = {lang: k for k, lang in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, int]] = {size: {} for size in (0, *ORDERS)}
-        for _, size, gram, _ in rows:
-            self.tables[size].setdefault(gram, len(self.tables[size]))
-        self.scores = {size: np.full((len(t), len(self.languages)), PENALTY, dtype=np.float32) for size, t in self.tables.items()}
-        for lang, size, gram, share in rows:
-            self.scores[size][self.tables[size][gram], place[lang]] = math.log10(share)
-
-    def back_off(self, word: str) -> np.ndarray:
-        padded = f" {word} "
-        for size in ORDERS:
-            table = self.tables[size]
-            known = [table[g] for k in range(len(padded) - size + 1) if (g := padded[k:k + size]) in table]
-            if known:
-                return self.scores[size][known].mean(axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
-
-
-class Scorer:
-    """The model in a worker, with the back-off of words met before."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known = dict(model.tables[0])
-        self.fixed = len(self.known)
-        self.rows = np.concatenate([model.scores[0],
-                                    np.zeros((REMEMBERED, len(model.languages)), dtype=np.float32)])
-        self.added: list[str] = []
-
-    def _row(self, word: str) -> int:
-        if len(self.added) >= REMEMBERED:
-            for old in self.added:
-                del self.known[old]
-            self.added.clear()
-        row = self.fixed + len(self.added)
-        self.rows[row] = self.model.back_off(word)
-        self.known[word] = row
-        self.added.append(word)
-        return row
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.model.languages or not has_letter(words):
-            return "und", 0.0
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), REMEMBERED // 2):
-            part = Counter(words[at:at + REMEMBERED // 2])
-            if len(self.added) + len(part) > REMEMBERED:
-                self._row_space()
-            known = self.known
-            index = [known[w] if w in known else self._row(w) for w in part]
-            total += np.fromiter(part.values(), np.float64, len(part)) @ self.rows[index]
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(1 / np.exp(np.maximum(-700, (total - total[best]) * math.log(10))).sum())
-
-    def _row_space(self) -> None:
-        for old in self.added:
-            del self.known[old]
-        self.added.clear()
+    counted = cut_lineage(rows.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    each = [(0, F.lit(1)), *((size, F.greatest(F.lit(0), F.length("gram") + 2 - (size - 1))) for size in ORDERS)]
+    totals = counted.groupBy("lang").agg(*[F.sum(F.col("n") * number).alias(f"total_{size}") for size, number in each]).orderBy("lang").collect()
+    languages = [row["lang"] for row in totals]
+
+    def sized(size: int) -> Column:
+        # A function of its own: a second parameter of the lambda would be the position.
+        return F.transform(_grams("gram", size), lambda gram: F.struct(F.lit(size).alias("size"), gram.alias("gram")))
+
+    parts = [F.array(F.struct(F.lit(0).alias("size"), F.col("gram"))), *map(sized, ORDERS)]
+    sums = (counted.select("lang", "n", F.explode(F.concat(*parts)).alias("x")).groupBy("x.size", "x.gram", "lang").agg(F.sum("n").alias("n"))
+            .groupBy("size", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+
+    def score(row, size: int) -> Column:
+        total = float(max(row[f"total_{size}"], 1))
+        seen = F.round(F.log10(F.col("by")[row["lang"]] / F.lit(total)) * SCALE).cast("long")
+        return F.coalesce(seen, F.lit(round(min(PENALTY, float(np.log10(0.5 / total))) * SCALE)).cast("long"))
+
+    scores = None
+    for size, _ in each:
+        values = F.array(*[score(row, size) for row in totals])
+        scores = F.when(F.col("size") == size, values) if scores is None else scores.when(F.col("size") == size, values)
+    return languages, cut_lineage(sums.select("size", "gram", "n", (scores if languages else F.array().cast("array<bigint>")).alias("scores")))
+
+
+def _sent(table: DataFrame, languages: int) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent words and their scores, no more than the bounds allow."""
+    words = table.where("size = 0")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    least = total / min(SENT_WORDS, SENT_SCORES // languages)  # no more words than that can have as many tokens
+    rows = words.where(F.col("n") >= least).select("gram", "scores").toArrow()
+    return {word: k for k, word in enumerate(rows["gram"].to_pylist())}, np.array(rows["scores"].to_pylist(), dtype=np.int64).reshape(-1, languages)
+
+
+FIRST = "doc_id long, letters boolean, total array<bigint>, rest array<struct<word:string,n:bigint>>"
+
+
+def _score_sent(held, languages: int):
+    """Sums over the words that tasks know, and the other words of each text with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scores = held.value
+        for batch in batches:
+            letters, totals, rest = [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                letters.append(has_letter(words))
+                counts = Counter(words) if letters[-1] else {}
+                found = [w for w in counts if w in known]
+                sums = np.array([counts[w] for w in found], dtype=np.int64) @ scores[[known[w] for w in found]] if found else np.zeros(languages, np.int64)
+                totals.append(sums.tolist())
+                rest.append([{"word": w, "n": n} for w, n in counts.items() if w not in known])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(letters, pa.bool_()), pa.array(totals, pa.list_(pa.int64())),
+                 pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], ["doc_id", "letters", "total", "rest"])
+
+    return run
+
+
+def word_scores(words: DataFrame, table: DataFrame, languages: int) -> DataFrame:
+    """(word, scores) of distinct words: their own, or the mean of their known n-grams of the
+    longest order that has one. A word without any known n-gram has no row."""
+    own = table.where("size = 0").select(F.col("gram").alias("word"), "scores")
+    found, left = words.join(own, "word"), cut_lineage(words.join(own.select("word"), "word", "left_anti"))
+    for size in ORDERS:
+        grams = table.where(F.col("size") == size).select("gram", "scores")
+        means = (left.select("word", F.explode(_grams("word", size)).alias("gram")).join(grams, "gram").groupBy("word").agg(
+            F.array(*[F.round(F.sum(F.get("scores", F.lit(k))) / F.count(F.lit(1))).cast("long") for k in range(languages)]).alias("scores")))
+        means = cut_lineage(means)
+        found = found.unionByName(means)
+        left = left.join(means.select("word"), "word", "left_anti")
+    return found
 
 
 def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -148,19 +150,21 @@ def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_
     count as often as they occur and get equal results; an empty table gives no rows. Only
     the text decides; other columns are not read.
     """
-    rows = [(r["lang"], r["size"], r["gram"], r["share"]) for r in learn(learning, text_col, lang_col).collect()]  # bounded by MIN_SHARE
-    held = docs.sparkSession.sparkContext.broadcast(Model(rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        for batch in batches:
-            scorer = scorer or Scorer(held.value)
-            found = [scorer.predict(text.as_py()) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()),
-                                              pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double")
+    languages, table = learn(learning, text_col, lang_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not languages:
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    held = docs.sparkSession.sparkContext.broadcast(_sent(table, len(languages)))
+    # A written table, so that the numbers of the rows stay as they are.
+    first = cut_lineage(rows.mapInArrow(_score_sent(held, len(languages)), FIRST).withColumn("row", F.monotonically_increasing_id()))
+    rest = first.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
+    scored = rest.join(word_scores(rest.select("word").distinct(), table, len(languages)), "word")
+    more = scored.groupBy("row").agg(F.array(*[F.sum(F.col("n") * F.get("scores", F.lit(k))) for k in range(len(languages))]).alias("more"))
+    total = F.zip_with("total", F.coalesce("more", F.array_repeat(F.lit(0).cast("long"), len(languages))), lambda a, b: a + b)
+    summed = first.join(more, "row", "left").select("doc_id", "letters", total.alias("total")).withColumn("best", F.array_max("total"))
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), (x - F.col("best")) / SCALE))
+    named = F.element_at(F.array(*[F.lit(name) for name in languages]), F.array_position("total", F.col("best")).cast("int"))
+    return summed.select("doc_id", F.when(F.col("letters"), named).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"))
 
 
 def fold(id_col: str, folds: int) -> Column:

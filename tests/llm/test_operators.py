@@ -69,6 +69,60 @@ def test_language(docs, spark, empty):
     assert language_id.identify(asked.where("doc_id < 0"), learning).count() == 0
 
 
+def test_language_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcde", "bb": "cdefgh", "cc": "xyzabé"}
+
+    def say(lang, words):
+        return " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 7))) for _ in range(words))
+
+    learned = [(say(lang, 60), lang) for lang in letters for _ in range(8)] + [("onlyonce", "bb"), (None, "aa"), ("", "cc"), ("zz yy", None)]
+    texts = [say(lang, n) for lang in letters for n in (1, 5, 40)] + ["onlyonce", "ONLYONCE ½", "日本", None, "", " 12 ", say("aa", 9000) + say("bb", 5), "onlyonce"]
+    counts = {lang: {size: collections.Counter() for size in (0, 1, 2, 3, 4)} for lang in letters}
+    for text, lang in learned:
+        for word in language_id.words_of(text) if lang else []:
+            counts[lang][0][word] += 1
+            for size in language_id.ORDERS:
+                counts[lang][size].update(f" {word} "[k:k + size] for k in range(len(word) + 3 - size))
+
+    def scores(size, gram):
+        totals = [counts[lang][size].total() for lang in sorted(counts)]
+        return [round(1e6 * (np.log10(counts[lang][size][gram] / t) if gram in counts[lang][size] else min(-7, np.log10(0.5 / t))))
+                for lang, t in zip(sorted(counts), totals, strict=True)]
+
+    def known(size, gram):
+        return any(gram in c[size] for c in counts.values())
+
+    def expect(text):
+        words = language_id.words_of(text)
+        if not language_id.has_letter(words):
+            return "und", 0
+        total = np.zeros(3)
+        for word in words:
+            if known(0, word):
+                total += scores(0, word)
+                continue
+            for size in language_id.ORDERS:
+                found = [scores(size, g) for k in range(len(word) + 3 - size) if known(size, g := f" {word} "[k:k + size])]
+                if found:
+                    total += np.floor(np.mean(found, axis=0) + 0.5)
+                    break
+        best = int(np.argmax(total))
+        return sorted(counts)[best], 1 / (10 ** ((total - total[best]) / 1e6)).sum()
+
+    asked = spark.createDataFrame([(None if k == 3 else k, t, "w", k) for k, t in enumerate(texts)], "doc_id long, text string, word string, row int").repartition(3)
+    model = spark.createDataFrame(learned, "text string, lang string")
+    for sent in (250_000, 40, 1):  # what tasks are sent changes no result
+        monkeypatch.setattr(language_id, "SENT_WORDS", sent)
+        got = {r.doc_id: r for r in language_id.identify(asked, model).collect()}
+        assert len(got) == len(texts)
+        for k, text in enumerate(texts):
+            row, (lang, score) = got[None if k == 3 else k], expect(text)
+            assert row.lang_pred == lang and abs(row.score - score) < 1e-4, (text, row, lang, score)
+        once = texts.index("onlyonce")
+        assert got[once].lang_pred == "bb" and got[len(texts) - 1].score == got[once].score
+
+
 def test_prefix_hashes_answer_spans():
     a, b = prefix_hash.PrefixHashes("xxabcdefg"), prefix_hash.PrefixHashes("abcdeXfg")
     assert a.equal(2, b, 0, 5) and not a.equal(2, b, 0, 6) and a.common_extension(2, b, 0) == 5
