@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines (operator 9), DataFrame functions only.
 
-A rolling hash over the hashes of ``WINDOW`` lines ends a chunk behind every line where it
-is divisible by ``DIVISOR``, so the boundaries within a repeated passage do not depend on
-what stands before it. Chunks of several lines are grouped by digest over all documents,
-the bytes of a group's chunks are compared, and all but the earliest occurrence (by id,
-then position) are removed. Chunks of one line are never removed.
+A rolling hash over the hashes of ``WINDOW`` lines ends a chunk behind a line where it is
+divisible by ``DIVISOR``, unless a chunk ended right before that line: of a run of such
+lines every second one ends a chunk, so the boundaries within a repeated passage do not
+depend on what stands before the first line of it that ends none. A boundary that would
+leave the last line alone is dropped as well: every chunk has two lines or more, but for
+texts of one line. Chunks are grouped by digest over all documents, the bytes of a group's
+chunks are compared, and all but the earliest occurrence (by id, then position) are
+removed. A text of one line is never removed.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ def chunks(text: Column) -> Column:
             return total % DIVISOR
 
         last = F.size(hashes) - 1
-        return F.filter(F.sequence(F.lit(0), last), lambda at: (at == last) | (rolled(at) == 0))
+        flags = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda at: F.when(rolled(at) == 0, "1").otherwise("0")), "")
+        # A mark in front of the text, then of each pair of neighbours the second goes.
+        spread = F.substr(F.replace(F.concat(F.lit("1"), flags), F.lit("11"), F.lit("10")), F.lit(2))
+        closed = F.when(last == 0, "1").otherwise(F.concat(F.left(spread, last - 1), F.lit("01")))
+        return let(F.split(closed, ""), lambda marks: F.filter(F.sequence(F.lit(0), last), lambda at: F.get(marks, at) == "1"))
 
     def cut(lines: Column) -> Column:
         return let(ends_of(lines), lambda found: F.transform(found, lambda end, k: let(
@@ -87,8 +94,10 @@ SQL = f"""WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) h FROM lines),
 rolled AS (SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR}) % {DIVISOR} = 0 ends FROM hashed),
-numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c
-             FROM rolled),
+spread AS (SELECT doc_id, count(*) n, substr(replace('1' || string_agg(CASE WHEN ends THEN '1' ELSE '0' END, '' ORDER BY i), '11', '10'), 2) m FROM rolled GROUP BY doc_id),
+closed AS (SELECT doc_id, string_split(CASE WHEN n = 1 THEN '1' ELSE left(m, n - 2) || '01' END, '') marks FROM spread),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN marks[i + 1] = '1' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c
+             FROM rolled JOIN closed USING (doc_id)),
 chunk AS (SELECT doc_id, c, count(*) n, string_agg(line, chr(10) ORDER BY i) body FROM numbered GROUP BY ALL),
 kept AS (SELECT *, n >= {MIN_LINES} AND row_number() OVER (PARTITION BY body, n >= {MIN_LINES} ORDER BY doc_id, c) > 1 gone FROM chunk)
 SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '') AS "text", CAST(sum(n) AS BIGINT) n_lines,
