@@ -105,9 +105,33 @@ def select(docs: DataFrame, weights: list[dict], budget: int | None = None, shar
     return whole.unionByName(parts[0]).unionByName(parts[1])
 
 
-def mix(docs: DataFrame, weights: list[dict], id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The selected rows of ``docs`` with their columns, once for each epoch that takes them."""
-    taken = select(docs, weights, id_col=id_col, text_col=text_col, **settings)
-    times = taken.select(F.col("doc_id").alias("__id"), F.col("__tie").alias("__taken"), "epoch").distinct()
-    return docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__taken"))).select(
-        *[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, weights: list[dict], id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, **settings) -> DataFrame:
+    """The selected rows of ``docs`` with their columns, once for each time they are taken.
+
+    Null ids, texts and levels are values like others. Rows that repeat id, text and levels
+    count each for itself; where an epoch takes fewer than there are, one of them stands for
+    those taken. An empty table gives no rows.
+    """
+    keys = ["__id", "__taken", *(f"__{level}" for level in levels)]
+    taken = select(docs, weights, levels=levels, id_col=id_col, text_col=text_col, **settings)
+    times = taken.select(F.col("doc_id").alias("__id"), F.col("__tie").alias("__taken"), *[F.col(level).alias(f"__{level}") for level in levels], "epoch")
+    times = times.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("__times"))
+    path = [F.coalesce(F.col(level).cast("string"), F.lit("")) for level in levels]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__taken"),
+                       *[column.alias(f"__{level}") for column, level in zip(path, levels, strict=True)])
+    # Only keys that occur again need their number of rows.
+    have = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__have")).where("__have > 1")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        condition = F.lit(True)
+        for key in keys:
+            condition = condition & a[key].eqNullSafe(b[key])
+        return condition
+
+    plan = times.join(have, same(times, have), "left").select(*[times[k] for k in keys], "epoch", "__times", F.coalesce("__have", F.lit(1)).alias("__have"))
+    plan = cut_lineage(plan)
+    found = rows.join(plan, same(rows, plan)).select("__row", *[plan[k] for k in keys], "epoch", "__times", "__have")
+    whole = found.where("__times = __have").select("__row.*")
+    part = (found.where("__times < __have").groupBy(*keys, "epoch").agg(F.any_value("__row").alias("__row"), F.min("__times").alias("__times"))
+            .select("__row", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select("__row.*"))
+    return whole.unionByName(part)
