@@ -46,7 +46,7 @@ FREQUENT, MOST_FREQUENT = 64, 1_000_000
 # Rounds with further pivots before the product.
 MORE_STARS = 1
 
-SETS = "doc_id long, n_shingles long, class long, class_check long, merged long"
+SETS = "doc_id long, tie long, n_shingles long, class long, class_check long, merged long"
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,6 +72,11 @@ def _columns(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(blocks) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows by id and a hash of their text, which tells apart the texts of one id."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, blocks: int, size: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: size of its set, its class (the set's digest in two parts) and how
     many of its shingles share a column with another one of its own."""
@@ -88,11 +93,11 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, blocks: int, size:
             if counts:
                 keys = np.concatenate(classes).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(keys[:, 0].copy()),
+                    [batch.column("doc_id"), batch.column("tie"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(keys[:, 0].copy()),
                      pa.array(keys[:, 1].copy()), pa.array(np.concatenate(merged).astype(np.int64))],
-                    ["doc_id", "n_shingles", "class", "class_check", "merged"])
+                    ["doc_id", "tie", "n_shingles", "class", "class_check", "merged"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SETS)
+    return _rows(docs, id_col, text_col).mapInArrow(run, SETS)
 
 
 POSTINGS = "g int, block int, kind int, columns binary, rows binary, classes binary"
@@ -264,11 +269,17 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                         [pa.array(keys[hit, 0].view(np.int64)), pa.array([hashes[bounds[k]:bounds[k + 1]].view(np.int64) for k in hit],
                                                                         pa.list_(pa.int64()))], ["class", "hashes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return (rows.join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, hashes array<long>")
+    rows = _rows(docs, id_col, text_col)
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tie"] == wanted["tie"])
+    return (rows.join(wanted, same).select("class", "text").mapInArrow(run, "class long, hashes array<long>")
             .groupBy("class").agg(F.first("hashes").alias("hashes")))
 
 
+def _in_order():
+    """What orders rows: ids that are not null come first."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("tie"))
+
+
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents with the class of their set, pairs (a, b) of classes). The pairs connect
@@ -277,7 +288,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = 4 * shuffle_partitions(spark)
     sets = cut_lineage(shingle_sets(docs, id_col, text_col, blocks, size))
     reps = (sets.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("merged").alias("merged")))
+        F.min(_in_order()).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("merged").alias("merged"))
+        .select("class", "first.doc_id", "first.tie", "n_shingles", "merged"))
     entries = (docs.select(F.col(text_col).alias("text")).mapInArrow(_post(blocks, size), POSTINGS)
                .groupBy("g").applyInArrow(_shared_entries, "column long, class long"))
     listed = entries.groupBy("class").agg(F.collect_set("column").alias("entries"))
@@ -296,7 +308,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
     late = np.sort(np.array([r["column"] for r in counts.where(F.col("df") >= least).select("column").collect()], dtype=np.int64))
     prefixes = cut_lineage(alive.mapInArrow(_prefixes(spark.sparkContext.broadcast(late)), "column long, class long, n long, merged long, place long, listed long"))
-    whole = cut_lineage(_whole_sets(docs, alive.select("doc_id", "class"), id_col, text_col, size))
+    whole = cut_lineage(_whole_sets(docs, alive.select("doc_id", "tie", "class"), id_col, text_col, size))
     # Stars: every entry of a column against one of its classes.
     pivots = prefixes.groupBy("column").agg(F.min(F.struct("class", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = (prefixes.join(pivots, "column").select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("x"), "n")
@@ -336,20 +348,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     null. Repeated rows have the same set and so the same component. An empty table gives
     no rows. Other columns are not read.
     """
-    sets, links = classes_and_links(docs, id_col, text_col, size)
-    found = components(links)
-    by_class = (sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-                .join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    by_class = cut_lineage(by_class)
+    sets, by_class = _labelled(docs, id_col, text_col, size)
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = by_class.join(least, "component").select("class", "component_id")
     named = sets.join(labels, "class", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one whose id is its component's, with all its
-    columns. Documents without words stay, as do rows with a null id that stand alone."""
-    found = join(docs, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with the class of their set, classes with their component and least id)."""
+    sets, links = classes_and_links(docs, id_col, text_col, size)
+    found = components(links)
+    by_class = (sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+                .join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    return sets, cut_lineage(by_class)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each component with all its columns: the one of the least id, null ids
+    last, then the least hash of its text. Of rows that repeat both, one stays. Rows whose
+    text is null, empty or without words all stay. An empty table gives no rows."""
+    sets, by_class = _labelled(docs, id_col, text_col, size)
+    rows = sets.where("n_shingles > 0").join(by_class.select("class", "component"), "class").groupBy("component", "doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min_by("n", _in_order()).alias("__n"), F.min(_in_order()).alias("f"))
+    first = cut_lineage(first.select(F.col("f.doc_id").alias("__id"), F.col("f.tie").alias("__tie"), "__n"))
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
+    found = (docs.where(words).select(whole, F.col(id_col).cast("long").alias("__own"), F.xxhash64(text_col).alias("__hash"))
+             .join(first, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie"))))
+    repeated = found.where("__n > 1").groupBy("__id", "__tie").agg(F.any_value("__row").alias("__row"))
+    return docs.where(~words).unionByName(found.where("__n = 1").select("__row.*")).unionByName(repeated.select("__row.*"))

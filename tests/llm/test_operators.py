@@ -59,6 +59,36 @@ def test_jaccard_components(docs, rows, empty):
     assert ngram_jaccard.join(empty).count() == 0
 
 
+def test_jaccard_repeated_rows_and_null_ids(spark, empty):
+    base, other, alone = _text(50, 120), _text(51, 120), _text(52, 120)
+    near, third = base + " added words here", _text(53, 90)
+    rows = [(5, base, "x"), (5, base, "x"), (5, other, "y"), (7, near, "z"), (None, alone, "n"), (None, alone + " more", "m"), (9, other, "w"), (None, base, "q"),
+            (3, None, "e"), (3, "", "e"), (None, " \n", "b"), (8, third, "t"), (8, third, "u")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, tie string").repartition(3)
+    label = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_jaccard.join(table).collect() if r.n_shingles}
+    assert {c for (i, _), c in label.items() if i == 7} == {5} and {c for (i, _), c in label.items() if i == 9} == {5}
+    kept = sorted(((r.doc_id, r.text, r.tie) for r in ngram_jaccard.keep_one(table).collect()), key=str)
+    assert [(i, t) for i, t, _ in kept if t == alone or t == alone + " more"] in ([(None, alone)], [(None, alone + " more")])
+    assert sorted((i, t) for i, t, _ in kept if i and (t or "").strip()) == sorted([(5, base), (5, other), (8, third)])
+    assert sum(not (t or "").strip() for _, t, _ in kept) == 3 and len(kept) == 7
+    assert ngram_jaccard.keep_one(empty).count() == 0 and ngram_jaccard.keep_one(empty).columns == empty.columns
+
+
+def test_near_misses_of_one_group(spark):
+    """Sets that share a long part and miss the threshold stay apart; the ones at it link."""
+    shared = [f"s{k}" for k in range(70)]
+    texts = [" ".join(shared + ([] if d % 10 else [f"g{k}" for k in range(10)]) + [f"d{d}w{k}" for k in range(12 if d % 10 else 3)]) for d in range(80)]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    expected = list(range(80))
+    for _ in range(3):
+        for a in range(80):
+            for b in range(80):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    expected[a] = expected[b] = min(expected[a], expected[b])
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k] for k in range(80)] == expected and 1 < len(set(expected)) < 80
+
+
 def test_language(docs, spark, empty):
     learning = spark.createDataFrame([("the house and the garden", "en"), ("das haus und der garten", "de"), ("x", None)], "text string, lang string")
     asked = spark.createDataFrame([(1, "The GARDEN house"), (2, "gartenhaus und"), (3, None), (4, "12 ½ !"), (5, "")], "doc_id long, text string")
@@ -145,6 +175,20 @@ def test_fingerprints(spark, rows, empty):
     assert prefix_hash.fingerprints(empty).count() == 0
 
 
+def test_mix_takes_repeated_rows_as_often_as_they_are_selected(spark, empty):
+    rows = [(1, "one two three", "en", "a", 1), (1, "one two three", "en", "a", 2), (2, "four five", "en", "a", 3), (None, None, None, None, 4), (3, "six", "de", None, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __row int").repartition(2)
+    weights = [{}, {}]
+    for seed in range(4):
+        for share, epochs in ((0.5, 1), (1.0, 1), (1.6, 3)):
+            settings = {"share": share, "max_epochs": epochs, "seed": seed, "levels": ("lang", "source")}
+            chosen = collections.Counter((r.doc_id, r.lang) for r in mixing.select(table, weights, **settings).collect())
+            mixed = mixing.mix(table, weights, **settings)
+            assert mixed.columns == table.columns
+            assert collections.Counter((r.doc_id, r.lang or "") for r in mixed.collect()) == chosen
+    assert mixing.mix(empty, weights, levels=("lang", "source")).count() == 0
+
+
 def test_packing_is_a_partition_of_all_tokens(docs, rows, empty):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path())
@@ -217,12 +261,12 @@ def _chunks(text):
     """Chunks as the module defines them, in plain Python."""
     lines = text.split("\n")
     hashes = [int(hashlib.md5(line.encode()).hexdigest()[:8], 16) for line in lines]
-    result, start = [], 0
+    ends, last = [-1], len(lines) - 1
     for k, own in enumerate(hashes):
-        if (own + line_chunks.FACTOR * (hashes[k - 1] if k else 0)) % line_chunks.DIVISOR == 0 or k == len(lines) - 1:
-            result.append(lines[start:k + 1])
-            start = k + 1
-    return result
+        if (own + line_chunks.FACTOR * (hashes[k - 1] if k else 0)) % line_chunks.DIVISOR == 0 and k > ends[-1] + 1:
+            ends.append(k)
+    ends = [k for k in ends if k < last - 1 or k == -1] + [last]
+    return [lines[a + 1:b + 1] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def test_line_chunks(docs, spark, empty):
@@ -245,6 +289,11 @@ def test_line_chunks(docs, spark, empty):
         assert (got[i].text, got[i].n_removed_lines, got[i].n_lines) == ("\n".join(left), gone, len(text.split("\n")))
     assert got[2].n_removed_lines > 0 and got[6].n_removed_lines > got[2].n_removed_lines
     assert line_chunks.dedup(empty).count() == 0
+    rng = np.random.default_rng(4)
+    originals = ["\n".join(f"line {rng.integers(1 << 30)}" for _ in range(n)) for n in range(2, 60)]
+    copies = spark.createDataFrame([(k, t) for k, t in enumerate(originals + originals)], "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r for r in line_chunks.dedup(copies).collect()}
+    assert all(left[k].text == t and left[k + len(originals)].text == "" for k, t in enumerate(originals))
 
 
 def test_unit_removals(docs, rows, empty):
