@@ -93,10 +93,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 def _sent(table: DataFrame, languages: int) -> tuple[dict[str, int], np.ndarray]:
     """The most frequent words and their scores, no more than the bounds allow."""
-    words = table.where("size = 0")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = total / min(SENT_WORDS, SENT_SCORES // languages)  # no more words than that can have as many tokens
-    rows = words.where(F.col("n") >= least).select("gram", "scores").toArrow()
+    words = table.where("size = 0").withColumn("step", F.floor(F.log2("n") * 8))
+    least, sent = 1 << 20, 0
+    for step, n in words.groupBy("step").count().orderBy(F.desc("step")).collect():  # some hundred rows
+        sent += n
+        if sent > min(SENT_WORDS, SENT_SCORES // languages):
+            break
+        least = step
+    rows = words.where(F.col("step") >= least).select("gram", "scores").toArrow()
     return {word: k for k, word in enumerate(rows["gram"].to_pylist())}, np.array(rows["scores"].to_pylist(), dtype=np.int64).reshape(-1, languages)
 
 
