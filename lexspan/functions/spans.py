@@ -14,10 +14,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexspan.functions.columns import as_col, let
+from lexspan.functions.pieces import row_function
 from lexspan.functions.text import SEPARATOR_TAGS
 
 _PART = re.compile(r"(?P<none><!--.*?-->|<(?P<name>head|script|style|title)\b[^>]*>.*?</(?P=name)\s*>)"
@@ -101,14 +101,12 @@ MAP = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.
                     T.StructField("solid", T.ArrayType(T.BooleanType()))])
 
 
-@F.pandas_udf(MAP)
-def _span_map(markup: pd.Series) -> pd.DataFrame:
-    found = [spans_of(raw or "") for raw in markup]
-    return pd.DataFrame({"text": [s.text for s in found], "at": [s.at for s in found], "raw": [s.raw for s in found], "end": [s.end for s in found],
-                         "solid": [s.solid for s in found]})
+def _mapped(markup: str | None) -> dict:
+    found = spans_of(markup or "")
+    return {"text": found.text, "at": found.at, "raw": found.raw, "end": found.end, "solid": found.solid}
 
 
-_span_map = _span_map.asNondeterministic()
+_span_map = row_function(MAP, _mapped).asNondeterministic()
 
 
 def span_map(markup) -> Column:
