@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexspan.functions.classify import CENTRAL_SCOPE
 from lexspan.functions.columns import as_col, equals, first_reason, is_false, is_true
 from lexspan.functions.ids import point_id
+from lexspan.functions.pieces import row_function
 from lexspan.functions.text import prepare_text
 
 WINDOW, OVERLAP = 440, 48
@@ -33,7 +33,8 @@ WINDOW_FIELDS = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("fir
 
 
 def _windower(tokenizer: Callable[[list[str]], Offsets], window: int, overlap: int, prefix: str | None):
-    def cut(text: str) -> list[tuple]:
+    def cut(text: str | None) -> list[tuple]:
+        text = text or ""
         kept = [(start, end) for start, end in tokenizer([text])[0] if end > start]
         found, at = [], 0
         while at < len(kept):
@@ -44,11 +45,7 @@ def _windower(tokenizer: Callable[[list[str]], Offsets], window: int, overlap: i
         counts = [None] * len(found) if prefix is None else map(len, tokenizer([prefix + w[4] for w in found]))
         return [(*w, n) for w, n in zip(found, counts, strict=True)]
 
-    @F.pandas_udf(T.ArrayType(WINDOW_FIELDS))
-    def windows(texts: pd.Series) -> pd.Series:
-        return pd.Series([cut(text or "") for text in texts], dtype="object")
-
-    return windows.asNondeterministic()
+    return row_function(T.ArrayType(WINDOW_FIELDS), cut).asNondeterministic()
 
 
 def token_windows(docs: DataFrame, id_cols: list[str], text: str | Column, tokenizer: Callable[[list[str]], Offsets] = words, window: int = WINDOW,

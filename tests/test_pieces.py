@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from lexspan.functions import pieces, text
-from lexspan.operators import parse
+from lexspan.operators import chunks, parse
 
 PAGE = "<p>Điều 1. " + "x &hellip; y " * 2000 + "</p>"
 
@@ -25,8 +25,9 @@ def test_pieces_are_bounded_and_keep_all_rows_in_order():
 
 def test_a_batch_of_long_rows_gives_results_piece_by_piece():
     pages = pa.array([PAGE] * 300)
-    found = _results(parse._layout, pages)
-    assert sum(map(len, found)) == 300 and len(found) > 4 and max(map(len, found)) * len(PAGE) <= 2 * pieces.PIECE_BYTES
+    for udf in (parse._layout, chunks._windower(chunks.words, 440, 48, None)):
+        found = _results(udf, pages)
+        assert sum(map(len, found)) == 300 and len(found) > 4 and max(map(len, found)) * len(PAGE) <= 2 * pieces.PIECE_BYTES
     laid = parse._scan_layout(PAGE)
     bounds = parse._fold_structure([{"chapter": None, "section": None, "label": "Điều 1", "clause": None, "point": None, "start": 0, "end": len(PAGE)}], [0], len(PAGE))
     spans = pa.array([[{"start": s, "end": e} for s, e, _ in laid["blocks"]]] * 300)
