@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lexspan.functions.pieces import pieces
 from lexspan.functions.text import tokenize
 from lexspan.operators.skew import top_k
 from lexspan.session import cut_lineage
@@ -68,8 +69,8 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
 # Stands for "every document" among the terms; no token is empty.
 EVERY_DOCUMENT = ""
 
-# Distinct terms of a block of queries; rows whose bounds are kept together; rows of a task scored at a time.
-QUERY_TERMS, BLOCK_ROWS, GROUP_ROWS = 100_000, 128, 1 << 13
+# Distinct terms of a block of queries; rows whose bounds are kept together; Arrow bytes of a task's rows scored at a time.
+QUERY_TERMS, BLOCK_ROWS, GROUP_BYTES = 100_000, 128, 8 << 20
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, *, id_cols: list[str], text: str = "text",
@@ -116,15 +117,14 @@ def _restricted(docs: DataFrame, vocabulary: list[str], id_cols: list[str], text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(held.value, pa.string())
-        for batch in batches:
-            words, tfs = batch.column("words"), batch.column("tfs")
+        for *others, words, tfs in (piece for batch in batches for piece in pieces(tuple(batch.columns))):
             number = pc.index_in(words.flatten(), value_set=known)
             has = pc.is_valid(number)
             before = np.concatenate([[0], np.cumsum(has.to_numpy(zero_copy_only=False))]).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
             offsets = pa.array(before[ends], pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, values.filter(has)) for values in (number, tfs.flatten())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists], schema.names)
+            yield pa.RecordBatch.from_arrays([*others, *lists], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -212,8 +212,8 @@ def _search_block(docs: DataFrame, block: list[tuple[object, Counter]], k: int,
         search_ = BlockMax(*held.value)
         names = None
         for whole in batches:
-            for at in range(0, whole.num_rows, GROUP_ROWS):
-                batch = whole.slice(at, GROUP_ROWS)
+            for columns in pieces(tuple(whole.columns), GROUP_BYTES):
+                batch = pa.RecordBatch.from_arrays(list(columns), schema=whole.schema)
                 names = names or [batch.schema.field(c).type for c in id_cols]
                 owners = np.repeat(np.arange(batch.num_rows), batch.column("terms").value_lengths().to_numpy())
                 search_.add(batch.select(id_cols), batch.column("length").to_numpy(), owners, batch.column("terms").flatten().to_numpy(),

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from lexspan.functions import pieces, text
-from lexspan.operators import chunks, parse
+from lexspan.operators import bm25, chunks, parse
 
 PAGE = "<p>Điều 1. " + "x &hellip; y " * 2000 + "</p>"
 
@@ -45,3 +45,15 @@ def test_row_functions_see_every_row_once_in_any_partitioning(spark):
     assert {r.i: r.x for r in rows.select("i", lengths(F.col("t"), F.col("i")).alias("x")).collect()} == {
         i: c if c is None else [len(c), i] for i, c in enumerate(cases)}
     assert rows.where("false").select(lengths(F.col("t"), F.col("i"))).collect() == []
+
+
+def test_bm25_scores_are_the_same_in_small_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 60))) for i in range(400)], "id int, text string").coalesce(1)
+    queries = spark.createDataFrame([(n, f"w{n} w{n + 3} w{n + 3} none") for n in range(12)], "query_id int, query string")
+
+    def hits():
+        return sorted(map(tuple, bm25.search(docs, queries, 7, id_cols=["id"], decimals=6).collect()))
+
+    whole = hits()
+    monkeypatch.setattr(bm25, "GROUP_BYTES", 3000)
+    assert hits() == whole and len(whole) == 84
