@@ -60,12 +60,16 @@ def content_state(body, visible: Column, joined: Column) -> Column:
 
 
 def employment_reasons(title, sector, field, terms: tuple[str, ...] = EMPLOYMENT_TERMS) -> Column:
-    """Sorted distinct terms of a title, and the contract-in-labour-context rule."""
-    heading = casefold(F.coalesce(as_col(title), F.lit("")))
+    """Sorted distinct terms of a title, and the contract-in-labour-context rule. A title may
+    be a whole text: it is folded once, whatever the number of terms."""
     context = casefold(F.concat_ws(" ", F.coalesce(as_col(sector), F.lit("")), F.coalesce(as_col(field), F.lit(""))))
-    contract = F.contains(heading, F.lit("hợp đồng")) & F.contains(F.concat_ws(" ", heading, context), F.lit("lao động"))
-    extra = F.when(contract, F.array(F.lit("labor_context_for_contract"))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.concat(contains_any(heading, terms), extra)))
+
+    def reasons(heading: Column) -> Column:
+        contract = F.contains(heading, F.lit("hợp đồng")) & F.contains(F.concat_ws(" ", heading, context), F.lit("lao động"))
+        extra = F.when(contract, F.array(F.lit("labor_context_for_contract"))).otherwise(F.array().cast("array<string>"))
+        return F.array_sort(F.array_distinct(F.concat(contains_any(heading, terms), extra)))
+
+    return let(casefold(F.coalesce(as_col(title), F.lit(""))), reasons)
 
 
 def topic_candidates(heading, topics: dict[str, tuple[str, ...]] | None = None) -> Column:

@@ -135,8 +135,9 @@ def decisions(metadata: DataFrame, content: DataFrame, hot_rows: int = HOT_ROWS)
 
 
 def latest_rows(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per id: of repeated ids the last one in input order; combines map-side."""
-    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "row_index").alias("last")).select("id", "last.*")
+    """One row per id: of repeated ids the last one in input order; combines map-side. Columns
+    that nobody reads are not shuffled."""
+    return rows.groupBy("id").agg(*[F.max_by(column, "row_index").alias(column) for column in columns])
 
 
 def corpus_counts(metadata: DataFrame, facts: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from lexspan.functions.classify import employment_reasons
 from lexspan.operators import curation, evaluation, staging
+from lexspan.operators.audit import latest_rows
 
 DECIDED = ("id string, primary_reason string, scope_reason string, content_state string, visible_characters long, issuer_signal string, flags array<string>")
 
@@ -59,3 +61,22 @@ def test_reviewed_cases(spark):
     ready = evaluation.readiness(cases.where("case_id IN ('ok', 'abstain')")).first()
     assert (ready.cases, ready.families, ready.ready_for_measurement) == (2, 1, True)
     assert not evaluation.readiness(cases).first().ready_for_measurement
+
+
+def test_titles_are_folded_once_and_latest_rows_leave_out_what_is_not_read(spark, tmp_path, capsys):
+    titles = ["Hợp đồng lao động và THỬ VIỆC", "Hợp đồng thuê", None, "Bộ Luật Lao Động, hợp đồng"]
+    spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(titles)], "id int, row_index int, title string").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+
+    def plan(df):
+        df.explain(True)
+        return capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+
+    found = rows.select("row_index", employment_reasons("title", F.lit(None).cast("string"), F.lit("Lao động")).alias("why"))
+    assert plan(found).split("== Physical Plan ==")[0].count("coalesce(title#") == 1
+    assert {r.row_index: r.why for r in found.collect()} == {
+        0: ["hợp đồng lao động", "labor_context_for_contract", "thử việc"], 1: ["labor_context_for_contract"], 2: [],
+        3: ["bộ luật lao động", "labor_context_for_contract"]}
+    last = latest_rows(rows, "title", "row_index")
+    assert sorted(map(tuple, last.collect())) == [(0, titles[3], 3), (1, titles[1], 1), (2, None, 2)]
+    assert "title#" not in plan(latest_rows(rows, "title", "row_index").select("id", "row_index")).split("== Physical Plan ==")[1]
