@@ -21,6 +21,8 @@ from lexspan.llm import bytespans as B
 # Bound of the labelled sample: rows used for fitting, and for calibration.
 FIT_ROWS, CALIBRATION_ROWS = 3_000, 1_500
 HASH_BITS = 18
+# Entries of the sample whose products the fit holds at a time.
+FIT_ENTRIES = 1 << 17
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_PROBABILITY = 0.5
 
@@ -124,19 +126,41 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _cuts(counts: np.ndarray, limit: int = FIT_ENTRIES) -> Iterator[tuple[slice, slice]]:
+    """(owners, their entries) in runs of at most ``limit`` entries or a single owner."""
+    ends, at = np.concatenate([[0], np.cumsum(counts)]), 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+        yield slice(at, end), slice(ends[at], ends[end])
+        at = end
+
+
 def _fit_weights(rows: list, steps: int = 120, rate: float = 1.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weighted logistic loss by full-batch Adagrad; both classes carry the same total weight."""
-    columns = np.concatenate([r[1] for r in rows])
-    shares = np.concatenate([r[2] for r in rows]).astype(np.float64)
-    sizes = np.array([len(r[1]) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    """Weighted logistic loss by full-batch Adagrad; both classes carry the same total weight.
+
+    The entries are held in order of rows, for the margins, and in order of columns, for the
+    slopes, 20 bytes in all; products of them exist for a piece at a time."""
+    columns, shares = (np.concatenate([r[k] for r in rows]) for k in (1, 2))
+    sizes, of_column = np.array([len(r[1]) for r in rows]), np.bincount(columns, minlength=1 << HASH_BITS)
+    order = np.argsort(columns, kind="stable").astype(np.int32)
+    column_rows, column_shares = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order], shares[order]
+    del order
+    by_row, by_column = list(_cuts(sizes)), list(_cuts(of_column))
     y = np.array([r[0] for r in rows], dtype=np.float64)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     weights, bias, seen, seen_bias = np.zeros(1 << HASH_BITS), 0.0, np.full(1 << HASH_BITS, 1e-12), 1e-12
+    margin, slope = np.zeros(len(rows)), np.zeros(1 << HASH_BITS)
+
+    def sums(into: np.ndarray, pieces: list, counts: np.ndarray, products) -> None:
+        for owners, part in pieces:
+            n = owners.stop - owners.start
+            into[owners] = np.bincount(np.repeat(np.arange(n), counts[owners]), products(part), n)
+
     for _ in range(steps):
-        margin = np.bincount(owner, weights[columns] * shares, len(rows)) + bias
-        error = (_sigmoid(margin) - y) * balance
-        slope = np.bincount(columns, error[owner] * shares, 1 << HASH_BITS) + decay * weights
+        sums(margin, by_row, sizes, lambda part: weights[columns[part]] * shares[part])
+        error = (_sigmoid(margin + bias) - y) * balance
+        sums(slope, by_column, of_column, lambda part, error=error: error[column_rows[part]] * column_shares[part])
+        slope += decay * weights
         seen += slope ** 2
         seen_bias += error.sum() ** 2
         weights -= rate * slope / np.sqrt(seen)
@@ -160,10 +184,29 @@ def _fit_sigmoid(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(offset)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, as a row; none where they lack one of the classes."""
+    rows = []
+    for batch in batches:
+        # The rows stay in Arrow's buffers; arrays of them are views.
+        values = [[np.frombuffer(v.as_buffer(), kind) for v in batch.column(name)] for name, kind in (("buckets", np.int32), ("shares", np.float32))]
+        rows += zip(batch.column("label").to_pylist(), *values, batch.column("part").to_pylist(), strict=True)
+    rows.sort(key=lambda r: (r[3], r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    fitting, held = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
+    if len({r[0] for r in fitting}) < 2:
+        return
+    weights, bias = _fit_weights(fitting)
+    held = held if len({r[0] for r in held}) == 2 else fitting
+    scores = np.array([weights[r[1]] @ r[2] + bias for r in held])
+    slope, offset = _fit_sigmoid(scores, np.array([r[0] for r in held], dtype=np.float64))
+    yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()], "bias": [float(bias)], "slope": [slope], "offset": [offset]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Model from at most ``fit_rows + calibration_rows`` labelled rows, those with the
-    smallest hash of their id. None where the sample lacks one of the classes."""
+    smallest hash of their id. None where the sample lacks one of the classes. One task fits
+    the rows of the sample; the driver is sent the model alone."""
     total = fit_rows + calibration_rows
     chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
@@ -171,17 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most ``total`` rows of (id, label): small by construction.
     part = (F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(29)), F.lit(total)) >= fit_rows).cast("int")
     sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("label", part.alias("part"), F.col(text_col).alias("text"))
-    found = sample.mapInArrow(_features, "label int, part int, buckets binary, shares binary").limit(total).collect()
-    rows = [(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["part"]) for r in found]
-    rows.sort(key=lambda r: (r[3], r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    fitting, held = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
-    if len({r[0] for r in fitting}) < 2:
-        return None
-    weights, bias = _fit_weights(fitting)
-    held = held if len({r[0] for r in held}) == 2 else fitting
-    scores = np.array([weights[r[1]] @ r[2] + bias for r in held])
-    slope, offset = _fit_sigmoid(scores, np.array([r[0] for r in held], dtype=np.float64))
-    return Model(weights.astype(np.float32), bias, slope, offset)
+    found = (sample.mapInArrow(_features, "label int, part int, buckets binary, shares binary").limit(total).coalesce(1)
+             .mapInArrow(_fitted, "weights binary, bias double, slope double, offset double").collect())
+    return Model(np.frombuffer(found[0]["weights"], np.float32), *found[0][1:]) if found else None
 
 
 def score(model: Model, data, offsets, starts, words, texts) -> np.ndarray:

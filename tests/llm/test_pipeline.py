@@ -1,12 +1,13 @@
 """The pipeline's stages against brute force, each on all that its predecessor kept."""
 
 import collections
+import os
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexspan.llm import line_chunks, mixing
+from lexspan.llm import line_chunks, mixing, quality
 from lexspan.llm.queries import MIX, tokenizer_path
 from tests.llm.test_operators import LOWER, WORD, _chunks, _text
 
@@ -108,3 +109,29 @@ def test_stages(spark, folder):
         sequences[p.sequence_id] += p.length
     assert packed == total
     assert all(n == 1024 or n & (n - 1) == 0 for n in sequences.values()) and np.ptp(list(sequences)) == len(sequences) - 1
+
+
+def test_quality_is_fitted_away_from_the_driver(spark, monkeypatch):
+    texts = [(k, _text(k, 80) if k % 2 else "buy now " + "cheap pills " * (20 + k), k % 2) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, quality int").repartition(3)
+    labels = docs.select("doc_id", "quality")
+    driver, fit = os.getpid(), quality._fit_weights
+
+    def elsewhere(rows):
+        assert os.getpid() != driver
+        return fit(rows)
+
+    monkeypatch.setattr(quality, "_fit_weights", elsewhere)
+    model = quality.fit(docs, labels)
+    assert model is not None and model.weights.any()
+    assert quality.fit(docs, labels.where("quality = 1")) is None
+
+
+def test_pieces_of_the_fit_change_no_bit(monkeypatch):
+    random = np.random.default_rng(3)
+    rows = [(k % 2, np.sort(random.choice(1 << quality.HASH_BITS, 50 + k, replace=False)).astype(np.int32) // (1 + k % 3), random.random(50 + k, np.float32))
+            for k in range(30)]
+    whole = quality._fit_weights(rows, steps=5)
+    monkeypatch.setattr(quality._cuts, "__defaults__", (40,))
+    cut = quality._fit_weights(rows, steps=5)
+    assert np.array_equal(whole[0], cut[0]) and whole[1] == cut[1]
