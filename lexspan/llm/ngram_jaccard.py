@@ -19,8 +19,11 @@ something to find:
 4. *Product.* Columns that still hold several components are multiplied block by block.
    Sets that link share ceil(3(n+m)/7) shingles, and the first column they share has all
    of them at or behind its places in both lists: pairs in different components whose places
-   leave less are discarded. For the others the overlap is accumulated over the whole sets
-   of 64-bit hashes.
+   leave less are discarded, and so are pairs whose parities differ too often: every class
+   has SKETCH_BITS bits, each the parity of the number of its shingles that fall there, and
+   a shingle of only one of two sets turns one bit, so sets differ in as many shingles as
+   bits at least. For the others the overlap is accumulated over the whole sets of 64-bit
+   hashes.
 
 Nothing is capped: the order of shingles and the pivots decide only how much work it takes.
 """
@@ -28,6 +31,8 @@ Nothing is capped: the order of shingles and the pivots decide only how much wor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ FLUSH_POSTINGS, FLUSH_DOCS = 1_500_000, 60_000
 # A column with as many entries goes to the end of the order; at most so many do, the most
 # frequent ones, which bounds what tasks are sent.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
+# Bits of the parities of a class, a multiple of 64.
+SKETCH_BITS = 1024
 # Rounds with further pivots before the product.
 MORE_STARS = 1
 
@@ -248,6 +255,32 @@ def _as_links(known: DataFrame) -> DataFrame:
     return known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities of a set, as longs."""
+    bits = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _product(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a column, as far as bounds let them link."""
+    salts, longs = 8, range(SKETCH_BITS // 64)
+    rows = rows.join(sets.select("class", "parities"), "class")
+    bits = lambda side: [F.col("parities")[k].alias(f"{side}{k}") for k in longs]
+    left = rows.select("column", F.pmod("class", F.lit(salts)).alias("salt"), F.col("class").alias("a"), F.col("n").alias("na"),
+                       F.col("merged").alias("ma"), F.col("component").alias("ca"), F.col("place").alias("pa"), F.col("listed").alias("la"), *bits("sa"))
+    right = rows.select("column", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt"), F.col("class").alias("b"),
+                        F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), F.col("listed").alias("lb"), *bits("sb"))
+    # The first column that two sets share has all they share at or behind it in both lists.
+    needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+    follows = F.least(F.col("la") - F.col("pa"), F.col("lb") - F.col("pb")) + F.col("ma")
+    # Sets that link differ in (100 - PERCENT) / (100 + PERCENT) of their shingles at most.
+    apart = reduce(add, [F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in longs])
+    return (left.join(right, ["column", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _least_share("na", "nb")
+                                                       & _least_share("nb", "na") & (follows >= needed)
+                                                       & (apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)))
+            .select("a", "b").distinct())
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are alike enough."""
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha"))
@@ -266,13 +299,14 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 hit = np.flatnonzero(keys[:, 0].view(np.int64) == want[first:first + len(keys)])
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[hit, 0].view(np.int64)), pa.array([hashes[bounds[k]:bounds[k + 1]].view(np.int64) for k in hit],
-                                                                        pa.list_(pa.int64()))], ["class", "hashes"])
+                        [pa.array(keys[hit, 0].view(np.int64)),
+                         pa.array([hashes[bounds[k]:bounds[k + 1]].view(np.int64) for k in hit], pa.list_(pa.int64())),
+                         pa.array([parities(hashes[bounds[k]:bounds[k + 1]]) for k in hit], pa.list_(pa.int64()))], ["class", "hashes", "parities"])
 
     rows = _rows(docs, id_col, text_col)
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tie"] == wanted["tie"])
-    return (rows.join(wanted, same).select("class", "text").mapInArrow(run, "class long, hashes array<long>")
-            .groupBy("class").agg(F.first("hashes").alias("hashes")))
+    return (rows.join(wanted, same).select("class", "text").mapInArrow(run, "class long, hashes array<long>, parities array<long>")
+            .groupBy("class").agg(F.first("hashes").alias("hashes"), F.first("parities").alias("parities")))
 
 
 def _in_order():
@@ -325,19 +359,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         known = components(_as_links(known).unionByName(_linked(stars, whole)))
         open_rows = _apart(prefixes, known)
     # Product of what is still apart, column by column.
-    salts = 8
-    left = open_rows.select("column", F.pmod("class", F.lit(salts)).alias("salt"), F.col("class").alias("a"), F.col("n").alias("na"),
-                            F.col("merged").alias("ma"), F.col("component").alias("ca"), F.col("place").alias("pa"), F.col("listed").alias("la"))
-    right = open_rows.select("column", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt"), F.col("class").alias("b"),
-                             F.col("n").alias("nb"), F.col("merged").alias("mb"), F.col("component").alias("cb"),
-                             F.col("place").alias("pb"), F.col("listed").alias("lb"))
-    # The first column that two sets share has all they share at or behind it in both lists.
-    needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
-    follows = F.least(F.col("la") - F.col("pa"), F.col("lb") - F.col("pb")) + F.col("ma")
-    product = (left.join(right, ["column", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _least_share("na", "nb")
-                                                           & _least_share("nb", "na") & (follows >= needed))
-               .select("a", "b").distinct())
-    return sets, _as_links(known).unionByName(_linked(product, whole))
+    return sets, _as_links(known).unionByName(_linked(_product(open_rows, whole), whole))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:

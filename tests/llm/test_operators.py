@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -89,6 +90,42 @@ def test_near_misses_of_one_group(spark):
     assert [got[k] for k in range(80)] == expected and 1 < len(set(expected)) < 80
 
 
+def test_near_misses_are_not_paired(spark, monkeypatch):
+    # 60 copies with two changed words each, at one common place at most: any two just miss the threshold.
+    base, texts = _text(11, 90).split(), []
+    for one, other in list(itertools.combinations(range(2, 90, 7), 2))[:60]:
+        words = list(base)
+        words[one], words[other] = f"own{one}x{other}", f"other{one}x{other}"
+        texts.append(" ".join(words))
+    texts += [texts[0] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sent, linked = [], ngram_jaccard._linked
+
+    def counted(pairs, sets):
+        sent.append(pairs.count())
+        return linked(pairs, sets)
+
+    monkeypatch.setattr(ngram_jaccard, "_linked", counted)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.join(docs).collect()}
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    pairs = [(a, b) for a in label for b in label if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == dict(enumerate(label)) and len(set(label)) > 40
+    assert sent[-1] <= 60, sent
+
+
+def test_parities_differ_no_more_than_sets():
+    random = np.random.default_rng(5)
+    for size in (0, 1, 300, 5000):
+        both, one = (random.integers(0, 1 << 64, n, dtype=np.uint64) for n in (size, 40))
+        a, b = np.concatenate([both, one[:25]]), np.concatenate([both, one[25:]])
+        bits = sum(int(x).bit_count() for x in (ngram_jaccard.parities(a) ^ ngram_jaccard.parities(b)).view(np.uint64))
+        assert bits <= 40 and (40 - bits) % 2 == 0
+
+
 def test_language(docs, spark, empty):
     learning = spark.createDataFrame([("the house and the garden", "en"), ("das haus und der garten", "de"), ("x", None)], "text string, lang string")
     asked = spark.createDataFrame([(1, "The GARDEN house"), (2, "gartenhaus und"), (3, None), (4, "12 ½ !"), (5, "")], "doc_id long, text string")
