@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import json
+import pathlib
 import re
 import zlib
 
@@ -476,6 +477,44 @@ def test_tree_is_whole(spark, monkeypatch, share):
     assert len(got) == len(texts) and all(abs(got[k] - e) < 1e-6 * max(1, -e) for k, e in enumerate(expected))
 
 
+def test_tree_leaves_one_table(spark):
+    from pyspark.sql import functions as F
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    table = spark.createDataFrame([(k, _text(k)) for k in range(20)], "doc_id long, text string")
+    scored = suffix_tree.score(table, F.col("doc_id") % 5 != 0)
+    made = [path for path in folder.iterdir() if path not in before]
+    assert sum(spark.read.parquet(str(path)).count() > 0 for path in made) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert scored.count() == scored.count() == 20
+
+
+def test_runs_once_are_sent_in_few_bytes(spark):
+    import pyarrow as pa
+    texts = pa.RecordBatch.from_arrays([pa.array([_text(k, 2000) + f" r{k}" for k in range(50)])], ["text"])
+    sent = pa.Table.from_batches(suffix_tree._count_runs(1, 4, None, None)(iter([texts])))
+    context, word, n = (suffix_tree._unpacked(sent.column(name)) for name in ("context", "word", "n"))
+    pairs = collections.Counter()
+    for text in texts.column("text").to_pylist():
+        words = [*WORD.findall(text), "\0"]
+        pairs.update(zip(words, words[1:]))
+    assert sorted(n.tolist()) == sorted(pairs.values()) and len(set(zip(context.tolist(), word.tolist()))) == len(pairs)
+    # A row of three hashes and a count has 32 bytes, of which compression takes few.
+    assert sum(len(zlib.compress(value.as_py(), 1)) for name in sent.column_names[1:] for value in sent.column(name)) < 14 * len(pairs)
+
+
+def test_places_of_hashes():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 7, 5000):
+        table = rng.permutation(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) & ~np.uint64(0xF)))  # many share a slot
+        asked = np.concatenate([table, table + np.uint64(1), rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
+        there = {int(value): k for k, value in enumerate(table)}
+        assert suffix_tree.Places(table).of(asked).tolist() == [there.get(int(value), -1) for value in asked]
+        values = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        assert size == 0 or (suffix_tree._unpacked(pa.chunked_array([[suffix_tree._packed(values)]])) == values).all()
+
+
 def test_lines_of_short_sentences_go(spark):
     short = "En la des et. Tai. Réle eau.\nTwo words\n\nYes."
     wide = "これは長い文の一つである。別の文がここに続いている。"
