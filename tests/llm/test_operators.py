@@ -493,7 +493,7 @@ def test_runs_once_are_sent_in_few_bytes(spark):
     import pyarrow as pa
     texts = pa.RecordBatch.from_arrays([pa.array([_text(k, 2000) + f" r{k}" for k in range(50)])], ["text"])
     sent = pa.Table.from_batches(suffix_tree._count_runs(1, 4, None, None)(iter([texts])))
-    context, word, n = (suffix_tree._unpacked(sent.column(name)) for name in ("context", "word", "n"))
+    context, word, n = (np.concatenate([suffix_tree._unpacked(value, name == "context") for value in sent.column(name)]) for name in ("context", "word", "n"))
     pairs = collections.Counter()
     for text in texts.column("text").to_pylist():
         words = [*WORD.findall(text), "\0"]
@@ -512,7 +512,8 @@ def test_places_of_hashes():
         there = {int(value): k for k, value in enumerate(table)}
         assert suffix_tree.Places(table).of(asked).tolist() == [there.get(int(value), -1) for value in asked]
         values = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
-        assert size == 0 or (suffix_tree._unpacked(pa.chunked_array([[suffix_tree._packed(values)]])) == values).all()
+        for gaps in (False, True):
+            assert (suffix_tree._unpacked(pa.scalar(suffix_tree._packed(values, gaps), pa.binary()), gaps) == values).all()
 
 
 def test_lines_of_short_sentences_go(spark):
