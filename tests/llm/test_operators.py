@@ -503,6 +503,54 @@ def test_runs_once_are_sent_in_few_bytes(spark):
     assert sum(len(zlib.compress(value.as_py(), 1)) for name in sent.column_names[1:] for value in sent.column(name)) < 14 * len(pairs)
 
 
+def test_only_repeated_runs_are_sent_whole():
+    import types
+    import pyarrow as pa
+    texts = pa.RecordBatch.from_arrays([pa.array([_text(k, 2000) + f" r{k} s{k} t{k}" for k in range(50)])], ["text"])
+    # Words are cut once and read again packed.
+    packed = pa.Table.from_batches(suffix_tree._pack_words(iter([texts]))).combine_chunks().to_batches()
+    for (words, owners), (again, same) in zip(suffix_tree._tokens(texts), (x for b in packed for x in suffix_tree._tokens(b)), strict=True):
+        assert (words == again).all() and (owners == same).all()
+    groups = collections.defaultdict(list)
+    for batch in suffix_tree._sketch(suffix_tree._repeated_runs(1, None), 4, 2)(iter(packed)):
+        for part, places in zip(batch.column("part").to_pylist(), batch.column("places"), strict=True):
+            groups[part].append(places)
+    bits = np.zeros((4, 4096), dtype=np.uint8)
+    for part, places in groups.items():
+        merged = suffix_tree._merge_sketch(4096, 2)(pa.table({"part": pa.array([part] * len(places), pa.int32()), "places": pa.array([x.as_py() for x in places])}))
+        bits[part] = np.frombuffer(merged.column("bits")[0].as_py(), dtype=np.uint8)
+    often = types.SimpleNamespace(value=suffix_tree.Sketch(bits.ravel(), 4))
+    counts = [np.concatenate([suffix_tree._unpacked(value) for batch in suffix_tree._count_runs(1, 4, None, None, given)(iter(packed)) for value in batch.column("n")])
+              for given in (None, often)]
+    assert sorted(counts[1][counts[1] > 1]) == sorted(counts[0][counts[0] > 1])
+    assert (counts[1] == 1).sum() < 0.2 * (counts[0] == 1).sum()
+
+
+def test_lookup_answers_by_string():
+    import pyarrow as pa
+    texts, known = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([False] * 300), pa.array([_text(k) for k in range(300)])],
+                                              ["doc_id", "held_out", "text"]), np.zeros(0)
+    sketch = suffix_tree.Sketch(np.zeros(8, dtype=np.uint8), 8)
+    held = suffix_tree.Frequent(known.astype(np.uint64), known, known, known.astype(np.uint64), known, sketch, 1)
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    import pyspark
+    before, pyspark.TaskContext.get = pyspark.TaskContext.get, staticmethod(Task)
+    try:
+        sent = pa.Table.from_batches(suffix_tree._score_known(type("Held", (), {"value": held}), 8)(iter([texts])))
+    finally:
+        pyspark.TaskContext.get = before
+    none = pa.table({name: pa.array([], pa.binary()) for name in ("words", "counts", "values")})
+    replies = pa.concat_tables([suffix_tree._look_up(10, 5)(sent.filter(pa.compute.equal(sent.column("part"), part)), none) for part in range(8)])
+    assert len(replies) == 300 + 8  # and not a row of each text for each bucket
+    total = suffix_tree._add_up(replies)
+    expected = [(k, (len(WORD.findall(_text(k))) + 1) * np.log10(0.5 / 13)) for k in range(300)]
+    assert total.column("doc_id").to_pylist() == [k for k, _ in expected] and np.allclose(total.column("base").to_numpy(), [b for _, b in expected])
+
+
 def test_places_of_hashes():
     import pyarrow as pa
     rng = np.random.default_rng(5)
