@@ -526,6 +526,36 @@ def test_only_repeated_runs_are_sent_whole():
     assert (counts[1] == 1).sum() < 0.2 * (counts[0] == 1).sum()
 
 
+def test_levels_share_a_pass_and_stay_packed():
+    import types
+    import pyarrow as pa
+    texts = pa.RecordBatch.from_arrays([pa.array([_text(k % 20, 500) + f" r{k}" for k in range(50)])], ["text"])
+    full = types.SimpleNamespace(value=[suffix_tree.Sketch(np.full(8, 255, dtype=np.uint8), 4)] * 3)
+    counted = lambda depth, levels: pa.Table.from_batches(suffix_tree._count_runs(depth, 4, None, full, None, levels)(iter([texts])))
+    shared, runs = counted(5, 3), lambda table, name: np.sort(np.concatenate([suffix_tree._unpacked(value, name == "context") for value in table.column(name)]))
+    for k in range(3):
+        own = shared.filter(pa.compute.equal(pa.compute.divide(shared.column("part"), 4), k))
+        assert all((runs(own, name) == runs(counted(5 + k, 1), name)).all() for name in ("context", "word", "n"))
+    # Runs that repeat leave their bucket packed, in a string for each bucket of the next step, and not as a row each.
+    pairs = collections.Counter()
+    for text in texts.column("text").to_pylist():
+        words = [*WORD.findall(text.translate(LOWER)), "\0"]
+        pairs.update(zip(words, words[1:]))
+    sent = counted(1, 1)
+    merged = [suffix_tree._merge_runs(1, 4)(sent.filter(pa.compute.equal(sent.column("part"), part))) for part in range(4)]
+    assert sum(map(len, merged)) <= 4 * 4
+    assert sorted(n for table in merged for value in table.column("n") for n in suffix_tree._unpacked(value).tolist()) == sorted(n for n in pairs.values() if n > 1)
+
+
+def test_order_of_hashes():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 2, 3000):
+        values = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for found in (np.concatenate([values, values]), values >> np.uint64(60), np.concatenate([values, values[:5] ^ np.uint64(1), values[:5]])):  # some share all but a bit
+            assert (suffix_tree._order(found) == np.argsort(found, kind="stable")).all()
+            assert sorted(suffix_tree._grouped(found).tolist()) == list(range(len(found)))
+
+
 def test_lookup_answers_by_string():
     import pyarrow as pa
     texts, known = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([False] * 300), pa.array([_text(k) for k in range(300)])],
