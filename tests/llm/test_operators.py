@@ -532,7 +532,7 @@ def test_levels_share_a_pass_and_stay_packed():
     texts = pa.RecordBatch.from_arrays([pa.array([_text(k % 20, 500) + f" r{k}" for k in range(50)])], ["text"])
     full = types.SimpleNamespace(value=[suffix_tree.Sketch(np.full(8, 255, dtype=np.uint8), 4)] * 3)
     counted = lambda depth, levels: pa.Table.from_batches(suffix_tree._count_runs(depth, 4, None, full, None, levels)(iter([texts])))
-    shared, runs = counted(5, 3), lambda table, name: np.sort(np.concatenate([suffix_tree._unpacked(value, name == "context") for value in table.column(name)]))
+    shared, runs = counted(5, 3), lambda table, name: np.sort(np.concatenate([suffix_tree._unpacked(value, name == "word") for value in table.column(name)]))
     for k in range(3):
         own = shared.filter(pa.compute.equal(pa.compute.divide(shared.column("part"), 4), k))
         assert all((runs(own, name) == runs(counted(5 + k, 1), name)).all() for name in ("context", "word", "n"))
